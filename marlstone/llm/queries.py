@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import edit_embedding, telephony
-from .common import store, table
+from . import edit_embedding, langid, quality, telephony
+from .common import held_out, store, table
+
+
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, F.col("doc_id").isNotNull() & ~held_out())
+    return langid.identify(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +24,11 @@ def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op5_telephony, op9_edit_embedding)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = store(quality.document_statistics(table(spark, sf_dir, "documents").select("doc_id", "text")), "stats")
+    return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
+QUERIES = {f.__name__: f for f in (op3_language, op5_telephony, op9_edit_embedding, op10_quality)}
 
 ORACLES: dict[str, str] = {}
