@@ -5,10 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, langid, packing, quality, telephony
+from . import chat, edit_embedding, langid, packing, quality, telephony, warc
 from .common import held_out, store, table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.write_captures(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    records = store(warc.read_records(spark, path, payload=False), "records")
+    return warc.capture_digests(warc.assemble(records))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+coded AS (
+  SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+    translate(to_base(CAST('0x' || substr(h, 1, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(h, 11, 10) AS BIGINT), 32, 8)
+      || to_base(CAST('0x' || substr(h, 21, 10) AS BIGINT), 32, 8) || to_base(CAST('0x' || substr(h, 31, 10) AS BIGINT), 32, 8),
+      '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+    min(page_id) OVER (PARTITION BY h) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM coded
+"""
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.train(docs, F.col("doc_id").isNotNull() & ~held_out())
@@ -63,6 +85,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
-QUERIES = {f.__name__: f for f in (op3_language, op4_packing, op5_telephony, op8_chat, op9_edit_embedding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_language, op4_packing, op5_telephony, op8_chat, op9_edit_embedding, op10_quality)}
 
-ORACLES: dict[str, str] = {"op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op8_chat": OP8_SQL}
