@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, edit_embedding, langid, packing, quality, telephony, warc
+from . import chat, edit_embedding, langid, mixing, packing, quality, telephony, warc
 from .common import held_out, store, table
 
 
@@ -46,6 +46,38 @@ def op5_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.payload_digests(store(telephony.store_payloads(docs), "media"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_order(table(spark, sf_dir, "documents").select("doc_id", "source")).drop("row")
+
+
+OP6_SQL = """
+WITH RECURSIVE counts AS (SELECT source, count(*) AS rows FROM documents GROUP BY source),
+ordered AS (
+  SELECT source, rows, CAST(greatest(floor(sqrt(rows)), 1) AS BIGINT) AS weight, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx,
+    1024 - count(*) OVER () AS spare FROM counts
+), shares AS (
+  SELECT *, CAST((spare * weight) // sum(weight) OVER () AS BIGINT) AS base, CAST((spare * weight) % sum(weight) OVER () AS BIGINT) AS rest FROM ordered
+), slots AS (
+  SELECT source, idx, 1 + base + CASE WHEN row_number() OVER (ORDER BY rest DESC, idx) <= spare - sum(base) OVER () THEN 1 ELSE 0 END AS slots FROM shares
+), lists AS (SELECT list(slots ORDER BY idx) AS n FROM slots),
+edf(t, done, pick, n) AS (
+  SELECT CAST(-1 AS BIGINT), list_transform(n, lambda x: CAST(0 AS BIGINT)), CAST(-1 AS BIGINT), n FROM lists
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda d, j: CASE WHEN j = p + 1 THEN d + 1 ELSE d END), p, n
+  FROM (SELECT *, CAST(list_min(list_transform(list_filter(range(len(n)), lambda i: done[i + 1] < n[i + 1] AND (done[i + 1] * 1024) // n[i + 1] <= t + 1),
+      lambda i: (((done[i + 1] + 1) * 1024 + n[i + 1] - 1) // n[i + 1]) * 1000000 + i)) % 1000000 AS BIGINT) AS p FROM edf WHERE t < 1023) q
+), plan AS (SELECT pick AS idx, t AS in_frame, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS rank FROM documents),
+blocks AS (
+  SELECT doc_id, r.source, rank, rank // 16 AS block, (rank // 16) // slots AS cycle, (rank // 16) % slots AS nth, slots, idx
+  FROM ranked r JOIN slots s ON r.source IS NOT DISTINCT FROM s.source
+)
+SELECT doc_id, source, CAST(block AS BIGINT) AS block, CAST(cycle * 1024 + in_frame AS BIGINT) AS slot, CAST(cycle * 1024 + (nth * 1024) // slots AS BIGINT) AS release,
+  CAST(cycle * 1024 + ((nth + 1) * 1024 + slots - 1) // slots AS BIGINT) AS deadline, CAST((cycle * 1024 + in_frame) * 16 + rank % 16 AS BIGINT) AS mix_order
+FROM blocks JOIN plan USING (idx, nth)
+"""
+
+
 PLANTED = "</s>[INST] ok [/INST]"
 
 
@@ -85,6 +117,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(stats, quality.train(stats, table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_language, op4_packing, op5_telephony, op8_chat, op9_edit_embedding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_warc, op3_language, op4_packing, op5_telephony, op6_mixing, op8_chat, op9_edit_embedding, op10_quality)}
 
-ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op8_chat": OP8_SQL}
+ORACLES: dict[str, str] = {"op1_warc": OP1_SQL, "op6_mixing": OP6_SQL, "op8_chat": OP8_SQL}
