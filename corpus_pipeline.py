@@ -1,10 +1,58 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Five stages, each on all rows that the one before kept. All but the last return
+the columns of their input, so extra columns pass through.
+
+1. language: rows whose language can't be told go.
+2. dedup: of each group of near duplicates the row with the smallest doc_id stays.
+3. pii: personal data and the words that disclose it are replaced in the text.
+4. mixing: the rows are written in the mixed order of their sources.
+5. packing: pieces of sequences; the files that mixing wrote are packed one after
+   another, so the sequences follow the mixture, and along the curve within each.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marlstone.llm import langid, minhash, mixing, packing, sanitise
+from marlstone.llm.common import held_out, store
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_identified(docs, F.col("doc_id").isNotNull() & ~held_out())
+
+
+def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.deduplicate(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sanitise.redact(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    try:
+        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"))
+    except AnalysisException:  # not a scan: no files, so one curve over all rows
+        rows = docs.select("doc_id", "text", F.lit("").alias("__file"))
+    return packing.pack(rows, window="__file")
+
+
+STAGES = [("language", language), ("dedup", dedup), ("pii", pii), ("mixing", mix), ("packing", pack)]
+
+#: Naive Bayes and tokenizers have no SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -155,17 +155,23 @@ def train(docs: DataFrame, learnable: Column, alpha: float = 0.5) -> Model:
     return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(docs_seen / docs_seen.sum()))
 
 
-def identify(docs: DataFrame, model: Model, carry: list[str]) -> DataFrame:
-    """The columns ``carry`` of ``docs`` with lang_pred and score; the text alone is read for them."""
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
-    source = docs.select(*[F.col(c) for c in carry if c not in ("lang_pred", "score")], F.col("text").alias("__text"))
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+def identify(docs: DataFrame, model: Model, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``carry`` of ``docs`` with the predicted language and its score, called ``names``."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    own = [c for c in carry if c not in names]
+    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").alias("__scored"))
+    schema = source.select(*[F.col(f"`{c}`") for c in own]).schema.add(names[0], "string").add(names[1], "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            names, scores = held.value.predict(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            found, scores = held.value.predict(batch.column(batch.num_columns - 1).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
 
     return source.mapInArrow(score, schema)
+
+
+def keep_identified(docs: DataFrame, learnable: Column, least: float = 0.5) -> DataFrame:
+    """``docs`` without the rows whose language can't be told: ``und``, or a score below ``least``."""
+    model = train(docs, learnable)
+    scored = identify(docs, model, docs.columns, ("__lang", "__score"))
+    return scored.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

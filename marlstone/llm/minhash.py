@@ -186,22 +186,22 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
 
-SIGNED = "doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"
+SIGNED = "row long, doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, a hash of its text, its set's size, name and buckets."""
+    """Per row of ``docs``: row, doc_id, a hash of its text, its set's size, name and buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in _batches(batches, 2):
+        for part, texts in _batches(batches, 3):
             doc, code = shingle_sets(texts)
             n = np.bincount(doc, minlength=len(texts))
             k1, k2 = set_keys(doc, code, len(texts))
             bands = band_keys(signatures(doc, code, len(texts)))[n > 0]
             sizes = np.where(n > 0, BANDS, 0)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), _lists(bands.ravel(), sizes)], names=["doc_id", "text_hash", "n", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), _lists(bands.ravel(), sizes)], names=["row", "doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
-    source = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
     return source.mapInArrow(run, SIGNED)
 
 
@@ -266,7 +266,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept."""
+    """Per row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, root, kept.
+
+    root numbers the component (null without words), row is the
+    monotonically_increasing_id of ``docs``, which therefore should be a scan.
+    """
     signed = store(sign(docs.select("doc_id", "text")), "signed")
     # a class for each set, numbered after its smallest id and one of its texts
     classes = store(
@@ -291,10 +295,21 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     root = store(components(links), "roots")
     named = classes.select("k1", "k2", "node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = store(named.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
-    naming = store(named.join(firsts, "root").select("k1", "k2", "component_id"), "naming")
-    alone = signed.filter("n = 0").select("doc_id", "text_hash", "n", F.col("doc_id").alias("component_id"))
-    linked = signed.filter("n > 0").select("doc_id", "text_hash", "n", "k1", "k2").join(naming, ["k1", "k2"]).select("doc_id", "text_hash", "n", "component_id")
-    return linked.unionByName(alone).select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
+    naming = store(named.join(firsts, "root").select("k1", "k2", "component_id", "root"), "naming")
+    alone = signed.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
+    linked = signed.filter("n > 0").select("row", "doc_id", "n", "k1", "k2").join(naming, ["k1", "k2"]).select("row", "doc_id", "n", "component_id", "root")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
+    return linked.unionByName(alone).select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root", kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs`` with one row of each component, that of the smallest doc_id, and all rows without words."""
+    found = near_duplicates(docs, percent)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    picks = found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
+    kept = store(picks.unionByName(found.filter("root is null").select(F.col("row").alias("__row"))), "kept")
+    # the rows kept grow with the corpus: a merge at every size, never a broadcast
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.hint("merge"), "__row", "left_semi").drop("__row")
 
 
 def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:

@@ -151,7 +151,8 @@ def cut(encoded: DataFrame, at: DataFrame, capacity: int = CAPACITY, tokenizer:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=names)
 
-    joined = encoded.select("row", "doc_id", "n", "ids").join(at, "row").select("doc_id", "at", "n", "ids")
+    # offsets grow with the rows, so the join is a merge at every size, never a broadcast
+    joined = encoded.select("row", "doc_id", "n", "ids").join(at.hint("merge"), "row").select("doc_id", "at", "n", "ids")
     return joined.mapInArrow(run, PIECE)
 
 

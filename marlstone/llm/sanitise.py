@@ -41,10 +41,6 @@ CLASS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE
 _CHUNK = 256
 
 
-def _q(pattern: str) -> Column:
-    return F.lit(pattern)
-
-
 def running_sums(lengths: Column) -> Column:
     """Sums of all entries before each entry, in two levels so that no long array is copied again and again."""
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int"))), lambda b: F.aggregate(F.slice(lengths, b * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, x: a + x))
@@ -99,14 +95,16 @@ def _needed(kind: str) -> str:
     return {"email": "@", "ip": ".", "card": "", "phone": "+"}[kind]
 
 
+def _found(text: Column, kind: str) -> Column:
+    """Array of (start, match) of the accepted matches of a kind."""
+    found = F.filter(matches(text, F.lit(PATTERNS[kind])), _accepts(kind))
+    none = F.array().cast("array<struct<start:int,match:string>>")
+    return F.when(F.contains(text, F.lit(_needed(kind))), found).otherwise(none)
+
+
 def find_entities(df: DataFrame) -> DataFrame:
-    """``df`` with array columns email, ip, card and phone of (start, match)."""
-    text = F.coalesce("text", F.lit(""))
-    for kind in KINDS:
-        found = F.filter(matches(text, _q(PATTERNS[kind])), _accepts(kind))
-        none = F.array().cast("array<struct<start:int,match:string>>")
-        df = df.withColumn(kind, F.when(F.contains(text, F.lit(_needed(kind))), found).otherwise(none))
-    return df
+    """``df`` with array columns __email, __ip, __card and __phone of (start, match)."""
+    return df.select("*", *[_found(F.coalesce("text", F.lit("")), k).alias(f"__{k}") for k in KINDS])
 
 
 def entity_list(kinds: tuple[str, ...] = KINDS) -> Column:
@@ -115,7 +113,7 @@ def entity_list(kinds: tuple[str, ...] = KINDS) -> Column:
         value = (lambda m: F.lower(m["match"])) if kind in ("email", "ip") else (lambda m: _digits(m["match"]))
         return lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), value(m).alias("value"))
 
-    parts = [F.transform(F.col(k), named(k)) for k in kinds]
+    parts = [F.transform(F.col(f"__{k}"), named(k)) for k in kinds]
     return F.concat(*parts)
 
 
@@ -132,7 +130,7 @@ def context_terms(text: Column, start: Column, end: Column) -> Column:
     before = F.regexp_replace(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, start - F.greatest(start - REACH, F.lit(0))), r"^\p{L}+", "")
     after = F.regexp_replace(F.substring(text, end + 1, F.lit(REACH)), r"\p{L}+$", "")
     clean = F.regexp_replace(F.concat(before, F.lit("\n"), after), r"[^\s]*[@0-9][^\s]*", " ")
-    return F.array_distinct(F.regexp_extract_all(_fold(clean), _q(WORD), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(_fold(clean), F.lit(WORD), F.lit(0)))
 
 
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
@@ -149,7 +147,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = beside.select("row", "e.kind", "e.value", F.explode(context_terms(F.col("text"), F.col("e.start"), F.col("e.end"))).alias("term")).distinct()
     pairs = store(pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT), "pairs")
     terms = store(pairs.select("term").distinct(), "terms")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), _q(WORD), F.lit(0)))).alias("term"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
     n = terms.count()
     if n <= BROADCAST_TERMS:
         counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
@@ -170,28 +168,33 @@ def term_spans(text: Column, terms: Column) -> Column:
 
 
 def analyse(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, ...): all columns, the base entities and the array terms of (start, match, whole).
+    """All rows and columns of ``docs``, with __entities (kind, start, end, value) and __terms (start, match, whole).
 
-    New columns: __row, __entities (kind, start, end, value), __terms.
+    Rows with entities are written once; the others come straight from ``docs``
+    (the patterns run again and give the same answer), so their texts are never
+    shuffled.
     """
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
     text = F.coalesce("text", F.lit(""))
-    base = rows.select("__row", F.col("text")).transform(find_entities).select("__row", F.col("text"), entity_list().alias("entities"))
-    found = store(base.filter(F.size("entities") > 0).select(F.col("__row").alias("row"), "text", "entities"), "entities")
-    terms = store(disclosing_terms(found, docs.select("text")), "terms")
-    # rows with an entity that some term discloses
-    hit = found.select("row", F.explode("entities").alias("e")).select("row", "e.kind", "e.value").distinct()
-    own = hit.join(terms, ["kind", "value"]).groupBy("row", "term").agg(F.max("whole").alias("whole")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "whole"))).alias("own"))
-    extra = found.join(own, "row", "left").select(
-        F.col("row").alias("__row"), F.col("entities").alias("__entities"),
-        F.when(F.col("own").isNotNull(), F.transform(term_spans(F.coalesce("text", F.lit("")), F.map_keys("own")), lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.element_at(F.col("own"), m["match"]).alias("whole")))).alias("__terms"),
-    )
-    joined = rows.join(store(extra, "spans"), "__row", "left")
-    joined = joined.withColumn("__entities", F.coalesce("__entities", F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")))
-    joined = joined.withColumn("__terms", F.coalesce("__terms", F.array().cast("array<struct<start:int,match:string,whole:boolean>>")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    spread = docs.select(*columns, *[_found(text, k).alias(f"__{k}") for k in KINDS])
+    none_e = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    none_t = F.array().cast("array<struct<start:int,match:string,whole:boolean>>")
+    some = None
+    for k in KINDS:
+        has = F.size(f"__{k}") > 0
+        some = has if some is None else some | has
+    rest = spread.filter(~some).select(*columns, none_e.alias("__entities"), none_t.alias("__terms"))
+    found = store(spread.filter(some).select(*columns, entity_list().alias("__entities"), F.monotonically_increasing_id().alias("__row")), "found")
+    light = found.select(F.col("__row").alias("row"), text.alias("text"), F.col("__entities").alias("entities"))
+    terms = store(disclosing_terms(light, docs.select("text")), "terms")
+    hit = light.select("row", F.explode("entities").alias("e")).select("row", "e.kind", "e.value").distinct()
+    own = hit.join(terms, ["kind", "value"]).groupBy("row", "term").agg(F.max("whole").alias("whole"))
+    own = store(own.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "whole"))).alias("__own")).withColumnRenamed("row", "__row"), "own")
+    marked = F.transform(term_spans(text, F.map_keys("__own")), lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.element_at(F.col("__own"), m["match"]).alias("whole")))
     # a term inside an entity goes with the entity
-    inside = lambda t: F.exists("__entities", lambda e: (t["start"] < e["end"]) & (t["start"] + F.length(t["match"]) > e["start"]))
-    return joined.withColumn("__terms", F.filter("__terms", lambda t: ~inside(t)))
+    outside = lambda t: ~F.exists("__entities", lambda e: (t["start"] < e["end"]) & (t["start"] + F.length(t["match"]) > e["start"]))
+    done = found.join(own, "__row", "left").select(*columns, "__entities", F.when(F.col("__own").isNotNull(), F.filter(marked, outside)).otherwise(none_t).alias("__terms"))
+    return done.unionByName(rest)
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -232,5 +235,5 @@ def redact(docs: DataFrame) -> DataFrame:
     text = F.when(F.size(spans) > 0, F.concat(F.array_join(folded["out"], ""), F.substring(body, folded["at"] + 1, F.length(body)))).otherwise(body)
     out = done.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(F.concat("__entities", "__terms")) > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("__entities") + F.size("__terms") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
