@@ -1,7 +1,8 @@
 """Packing along a space-filling curve.
 
-A document's token counts are a hashed vector; a fixed random matrix projects it
-to ``DIMS`` dimensions, whose cells are numbered along a Hilbert curve. The
+A document's token ids are counted in ``HASHED`` columns; a fixed random matrix
+projects that vector to ``DIMS`` dimensions, whose cells are numbered along a
+Hilbert curve. The
 documents are range-sorted by that number, laid end to end, and the stream is
 cut every ``CAPACITY`` tokens, so that a sequence holds neighbours on the curve
 and only the very last one can need padding.
@@ -29,15 +30,15 @@ from pyspark.sql import functions as F
 from . import tokens
 from .common import store
 
-CAPACITY, DIMS, CELL_BITS, END_ID = 1024, 4, 8, 0
-_MATRIX: dict[int, np.ndarray] = {}
+CAPACITY, DIMS, CELL_BITS, END_ID, HASHED = 1024, 4, 8, 0, 2048
+_MATRIX: list[np.ndarray] = []
 
 
-def projection(size: int) -> np.ndarray:
-    """A Gaussian row for each token id, the same on every machine."""
-    if size not in _MATRIX:
-        _MATRIX[size] = np.random.Generator(np.random.PCG64(20240511)).standard_normal((size, DIMS)).astype(np.float32)
-    return _MATRIX[size]
+def projection() -> np.ndarray:
+    """A Gaussian row for each hashed column, the same on every machine."""
+    if not _MATRIX:
+        _MATRIX.append(np.random.Generator(np.random.PCG64(20240511)).standard_normal((HASHED, DIMS)))
+    return _MATRIX[0]
 
 
 def hilbert(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
@@ -68,18 +69,20 @@ def hilbert(cells: np.ndarray, bits: int = CELL_BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], size: int) -> np.ndarray:
+def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of documents given by their ids.
 
     The count vector is scaled to length 1, so that each coordinate of its
     projection is a standard normal; cells cut the range of -4 to 4 evenly.
     """
-    matrix = projection(size)
     points = np.zeros((len(ids), DIMS))
-    for k, own in enumerate(ids):
-        if len(own):
-            token, count = np.unique(own, return_counts=True)
-            points[k] = (count / np.sqrt((count.astype(float) ** 2).sum())) @ matrix[token]
+    for first in range(0, len(ids), 64):
+        part = ids[first : first + 64]
+        column = (np.concatenate(part).astype(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(21)
+        row = np.repeat(np.arange(len(part), dtype=np.uint32) * HASHED, [len(i) for i in part])
+        counts = np.bincount(row + column, minlength=len(part) * HASHED).reshape(len(part), HASHED)
+        norm = np.sqrt((counts.astype(float) ** 2).sum(axis=1))
+        points[first : first + 64] = (counts @ projection()) / np.maximum(norm, 1)[:, None]
     cells = np.clip((points + 4) * (1 << CELL_BITS) / 8, 0, (1 << CELL_BITS) - 1)
     return hilbert(cells.astype(np.int64))
 
@@ -90,10 +93,10 @@ def encode_documents(docs: DataFrame, window: str | None = None, tokenizer: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokens.load(tokenizer)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 packed = [bpe.packed(t or "") for t in part.column(3).to_pylist()]
-                keys = curve_keys([np.frombuffer(p, bpe.wide) for p in packed], bpe.size)
+                keys = curve_keys([np.frombuffer(p, bpe.wide) for p in packed])
                 end = np.array([END_ID], bpe.wide).tobytes()
                 ids = [p + end for p in packed]
                 wide = np.dtype(bpe.wide).itemsize

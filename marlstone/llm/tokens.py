@@ -2,22 +2,15 @@
 
 ``ByteBpe`` gives the ids of the tokenizers library for one of its byte-level
 BPE files. Such a vocabulary lists merges in rank order, so tiktoken can run it
-as ranks (checked when a file is loaded). A text is cut before single blanks,
-where no pre-token can straddle, and the ids of each piece are remembered, as
-words repeat. Texts with white-space runs in which such a cut would be wrong
-are encoded whole.
+as ranks (checked when a file is loaded), at about twice the speed.
 """
 
 from __future__ import annotations
 
 import json
-import re
 
 import numpy as np
 
-#: Remembered pieces at most; then the memory starts anew.
-REMEMBER = 400_000
-_RUN = re.compile(r"\s (?=\s|\Z)")
 _LOADED: dict[str, ByteBpe] = {}
 
 
@@ -49,28 +42,10 @@ class ByteBpe:
         self._bytes = [b""] * self.size
         for k, v in ranks.items():
             self._bytes[v] = k
-        self._known: dict[str, bytes] = {}
 
     def packed(self, text: str) -> bytes:
         """Ids as little-endian numbers of type ``wide``."""
-        if _RUN.search(text):
-            return self._encoding.encode_to_numpy(text, disallowed_special=()).astype(self.wide).tobytes()
-        head, *rest = text.split(" ")
-        known = self._known
-        parts = [self._whole(head)]
-        try:
-            parts += map(known.__getitem__, rest)
-        except KeyError:
-            if len(known) > REMEMBER:
-                known.clear()
-            for piece in rest:
-                if piece not in known:
-                    known[piece] = self._whole(" " + piece)
-            parts = [parts[0], *map(known.__getitem__, rest)]
-        return b"".join(parts)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._encoding.encode_ordinary(text), self.wide).tobytes()
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype(self.wide).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(self.packed(text), self.wide)
