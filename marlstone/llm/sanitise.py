@@ -28,15 +28,14 @@ from .common import store
 REACH, SUPPORT = 80, 3
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns in linear form: possessive loops, and starts only where a run of the first class starts or a match has ended.
+#: A card's run of fewer than 16 digits fails at once; so does each of its rests, as those are shorter.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 WORD = r"\p{L}{4,}"
-#: Rows of disclosing terms up to which they are broadcast.
-BROADCAST_TERMS = 200_000
 CLASS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 _CHUNK = 256
 
@@ -133,6 +132,11 @@ def context_terms(text: Column, start: Column, end: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(_fold(clean), F.lit(WORD), F.lit(0)))
 
 
+def own_words(text: Column) -> Column:
+    """Distinct whole words of four letters or more."""
+    return F.array_distinct(F.regexp_extract_all(_fold(text), F.lit(WORD), F.lit(0)))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(kind, value, term, whole) of all terms that disclose an entity; whole: seen nowhere else.
 
@@ -146,14 +150,9 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     entities = store(entities.filter(F.col("n_e") >= SUPPORT), "entities")
     pairs = beside.select("row", "e.kind", "e.value", F.explode(context_terms(F.col("text"), F.col("e.start"), F.col("e.end"))).alias("term")).distinct()
     pairs = store(pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT), "pairs")
-    terms = store(pairs.select("term").distinct(), "terms")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(_fold(F.coalesce("text", F.lit(""))), F.lit(WORD), F.lit(0)))).alias("term"))
-    n = terms.count()
-    if n <= BROADCAST_TERMS:
-        counts = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
-    else:  # counted first, so that the join sees a row per word and not per occurrence
-        counts = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(terms, "term", "left_semi")
-    counts = store(counts, "counts")
+    words = texts.select(F.explode(own_words(F.coalesce("text", F.lit("")))).alias("term"))
+    # counted first, so that the join sees a row per word and not per occurrence
+    counts = store(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi"), "counts")
     scored = pairs.join(entities, ["kind", "value"]).join(counts, "term")
     big = {c: F.col(c).cast("double") for c in ("n_et", "n_e", "n_t")}
     # 2 log2(N n_et / (n_e n_t)) >= log2(N / n_e), multiplied out
@@ -167,39 +166,41 @@ def term_spans(text: Column, terms: Column) -> Column:
     return matches(_fold(text), pattern)
 
 
-def analyse(docs: DataFrame) -> DataFrame:
+def analyse(docs: DataFrame, texts: bool = True) -> DataFrame:
     """All rows and columns of ``docs``, with __entities (kind, start, end, value) and __terms (start, match, whole).
 
-    Rows with entities are written once; the others come straight from ``docs``
-    (the patterns run again and give the same answer), so their texts are never
-    shuffled.
+    The patterns run once and their spans are written with the rows; without
+    ``texts``, text is null in rows that have no entity, and isn't written.
     """
     text = F.coalesce("text", F.lit(""))
     columns = [F.col(f"`{c}`") for c in docs.columns]
+    none = F.array().cast("array<struct<start:int,match:string,whole:boolean>>")
     spread = docs.select(*columns, *[_found(text, k).alias(f"__{k}") for k in KINDS])
-    none_e = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    none_t = F.array().cast("array<struct<start:int,match:string,whole:boolean>>")
-    some = None
-    for k in KINDS:
-        has = F.size(f"__{k}") > 0
-        some = has if some is None else some | has
-    rest = spread.filter(~some).select(*columns, none_e.alias("__entities"), none_t.alias("__terms"))
-    found = store(spread.filter(some).select(*columns, entity_list().alias("__entities"), F.monotonically_increasing_id().alias("__row")), "found")
+    listed = spread.select(*columns, entity_list().alias("__entities"), F.monotonically_increasing_id().alias("__row"))
+    some = F.size("__entities") > 0
+    if not texts:
+        listed = listed.withColumn("text", F.when(some, F.col("text")))
+    listed = store(listed, "spans")
+    found = store(listed.filter(some), "found")
     light = found.select(F.col("__row").alias("row"), text.alias("text"), F.col("__entities").alias("entities"))
     terms = store(disclosing_terms(light, docs.select("text")), "terms")
-    hit = light.select("row", F.explode("entities").alias("e")).select("row", "e.kind", "e.value").distinct()
-    own = hit.join(terms, ["kind", "value"]).groupBy("row", "term").agg(F.max("whole").alias("whole"))
-    own = store(own.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "whole"))).alias("__own")).withColumnRenamed("row", "__row"), "own")
+    # a row for each term of a document that discloses anything, with all that it discloses; then what the document holds decides
+    key = lambda e: F.concat_ws(":", e["kind"], e["value"])
+    reveal = terms.groupBy("term").agg(F.collect_list(F.struct(key({c: F.col(c) for c in ("kind", "value")}).alias("of"), "whole")).alias("reveals"))
+    words = light.select("row", F.transform("entities", key).alias("held"), F.explode(own_words(F.col("text"))).alias("term"))
+    met = words.join(reveal, "term").filter(F.arrays_overlap("held", F.col("reveals.of")))
+    whole = F.exists("reveals", lambda r: r["whole"] & F.array_contains("held", r["of"]))
+    own = store(met.groupBy(F.col("row").alias("__row")).agg(F.map_from_entries(F.collect_list(F.struct("term", whole.alias("whole")))).alias("__own")), "own")
     marked = F.transform(term_spans(text, F.map_keys("__own")), lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.element_at(F.col("__own"), m["match"]).alias("whole")))
     # a term inside an entity goes with the entity
     outside = lambda t: ~F.exists("__entities", lambda e: (t["start"] < e["end"]) & (t["start"] + F.length(t["match"]) > e["start"]))
-    done = found.join(own, "__row", "left").select(*columns, "__entities", F.when(F.col("__own").isNotNull(), F.filter(marked, outside)).otherwise(none_t).alias("__terms"))
-    return done.unionByName(rest)
+    done = found.join(own, "__row", "left").select(*columns, "__entities", F.when(F.col("__own").isNotNull(), F.filter(marked, outside)).otherwise(none).alias("__terms"))
+    return done.unionByName(listed.filter(~some).select(*columns, "__entities", none.alias("__terms")))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """Counts, digest and spans of every row of ``docs`` (doc_id, text)."""
-    done = analyse(docs.select("doc_id", "text"))
+    done = analyse(docs.select("doc_id", "text"), texts=False)
     base = F.array_sort(F.col("__entities"), lambda a, b: _by_kind(a, b))
     base_text = span_text(base)
     terms = F.transform("__terms", lambda t: F.struct(F.lit("term").alias("kind"), t["start"].alias("start"), (t["start"] + F.length(t["match"])).alias("end")))
