@@ -40,28 +40,40 @@ CLASS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE
 _CHUNK = 256
 
 
-def running_sums(lengths: Column) -> Column:
-    """Sums of all entries before each entry, in two levels so that no long array is copied again and again."""
-    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(lengths) - 1) / _CHUNK).cast("int"))), lambda b: F.aggregate(F.slice(lengths, b * _CHUNK + 1, F.lit(_CHUNK)), F.lit(0), lambda a, x: a + x))
-    bases = F.aggregate(blocks, F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all")))["all"]
-    inner = F.transform(
-        F.sequence(F.lit(0), F.size(bases) - 1),
-        lambda b: F.aggregate(
-            F.slice(lengths, b * _CHUNK + 1, F.lit(_CHUNK)), F.struct(F.element_at(bases, b + 1).alias("sum"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["all"], F.array(a["sum"])).alias("all"))
-        )["all"],
-    )
-    return F.flatten(inner)
+def bound(value: Column, body) -> Column:
+    """``body(value)``, where value is computed once: what a lambda of a higher-order function names is computed for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+NO_MATCH = "array<struct<start:int,match:string>>"
+
+
+def placed(entries: Column) -> Column:
+    """(start, match) of (gap, match), each gap the length of the text before its match.
+
+    Sums go in two levels, so that no long array is copied again and again.
+    """
+    block = lambda b: F.slice(entries, b * _CHUNK + 1, F.lit(_CHUNK))
+    number = F.sequence(F.lit(0), F.floor((F.size(entries) - 1) / _CHUNK).cast("int"))
+    step = lambda x: x["gap"] + F.length(x["match"])
+    totals = F.transform(number, lambda b: F.aggregate(block(b), F.lit(0), lambda a, x: a + step(x)))
+    bases = F.aggregate(totals, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")))["all"]
+
+    def inside(at: Column) -> Column:
+        start = lambda b: F.struct(F.element_at(at, b + 1).alias("at"), F.array().cast(NO_MATCH).alias("all"))
+        add = lambda a, x: F.struct((a["at"] + step(x)).alias("at"), F.concat(a["all"], F.array(F.struct((a["at"] + x["gap"]).alias("start"), x["match"].alias("match")))).alias("all"))
+        return F.flatten(F.transform(number, lambda b: F.aggregate(block(b), start(b), add)["all"]))
+
+    return bound(bases, inside)
 
 
 def matches(text: Column, pattern: Column) -> Column:
     """Array of (start, text) of the matches of ``pattern``; text between them gives the starts."""
-    found, gaps = F.regexp_extract_all(text, pattern, F.lit(0)), F.split(text, pattern, -1)
-    # lengths of gap 0, match 0, gap 1, match 1, ...: the sum before match k is its start
-    mixed = F.flatten(F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda k: F.array(F.length(F.get(gaps, k)), F.length(F.get(found, k)))))
-    starts = running_sums(mixed)
-    some = F.transform(F.sequence(F.lit(0), F.size(found) - 1), lambda k: F.struct(F.get(starts, 2 * k + 1).alias("start"), F.get(found, k).alias("match")))
-    none = F.array().cast("array<struct<start:int,match:string>>")
-    return F.when(F.size(found) > 0, some).otherwise(none)
+    def starts(found: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return bound(F.zip_with(gaps, found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("match"))), placed)
+
+    return bound(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) > 0, starts(found)).otherwise(F.array().cast(NO_MATCH)))
 
 
 def _digits(x: Column) -> Column:
@@ -70,7 +82,7 @@ def _digits(x: Column) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """Whether digits read from the right, every second doubled, sum to a multiple of 10."""
-    parts = F.transform(F.sequence(F.lit(1), F.length(digits)), lambda k: F.substring(F.reverse(digits), k, F.lit(1)).cast("int") * (2 - F.pmod(k, F.lit(2))))
+    parts = F.transform(F.split(F.reverse(digits), ""), lambda d, k: d.cast("int") * (1 + F.pmod(k, F.lit(2))))
     return F.aggregate(parts, F.lit(0), lambda a, x: a + F.when(x > 9, x - 9).otherwise(x)) % 10 == 0
 
 
@@ -79,10 +91,9 @@ def accepted(kind: str, match: Column) -> Column:
         return F.lit(True)
     if kind == "ip":
         return F.forall(F.split(match, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")).between(0, 3) & (F.coalesce(F.substring(F.regexp_replace(p, "^0+", ""), 1, 3).try_cast("int"), F.lit(0)) <= 255))
-    digits = _digits(match)
     if kind == "card":
-        return F.when(F.length(digits).between(16, 19), _luhn(digits)).otherwise(False)
-    return F.length(digits).between(8, 15)
+        return bound(_digits(match), lambda d: F.when(F.length(d).between(16, 19), _luhn(d)).otherwise(False))
+    return F.length(_digits(match)).between(8, 15)
 
 
 def _accepts(kind: str):
@@ -97,7 +108,7 @@ def _needed(kind: str) -> str:
 def _found(text: Column, kind: str) -> Column:
     """Array of (start, match) of the accepted matches of a kind."""
     found = F.filter(matches(text, F.lit(PATTERNS[kind])), _accepts(kind))
-    none = F.array().cast("array<struct<start:int,match:string>>")
+    none = F.array().cast(NO_MATCH)
     return F.when(F.contains(text, F.lit(_needed(kind))), found).otherwise(none)
 
 
@@ -152,7 +163,7 @@ def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = store(pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT), "pairs")
     words = texts.select(F.explode(own_words(F.coalesce("text", F.lit("")))).alias("term"))
     # counted first, so that the join sees a row per word and not per occurrence
-    counts = store(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term", "left_semi"), "counts")
+    counts = store(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term"), "counts")
     scored = pairs.join(entities, ["kind", "value"]).join(counts, "term")
     big = {c: F.col(c).cast("double") for c in ("n_et", "n_e", "n_t")}
     # 2 log2(N n_et / (n_e n_t)) >= log2(N / n_e), multiplied out
