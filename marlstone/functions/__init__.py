@@ -1 +1 @@
-
+"""Column functions: labels, text, buckets, chains, hashing, arrays."""

@@ -1 +1 @@
-
+"""Plans: which chains each parent gets."""

@@ -1 +1 @@
-
+"""Incremental analysis on Structured Streaming."""
