@@ -76,39 +76,42 @@ def prefix_pairs(rows: DataFrame) -> DataFrame:
     return _named(a.join(b, [*GROUP, "key"]), "path", "step")
 
 
-def greedy_matching(pairs: DataFrame, order: str = "pair_id", taken: DataFrame | None = None) -> DataFrame:
-    """The pairs that one pass over all in ``order`` takes, no row twice; ``taken`` (node) are rows used before."""
-    left = pairs
-    if taken is not None:
-        left = left.join(taken.select(F.col("node").alias("a")), "a", "left_anti").join(taken.select(F.col("node").alias("b")), "b", "left_anti")
-    left = written(left.select(pairs.columns), "pairs")
-    out = None
+def greedy_matching(pairs: DataFrame, order: str = "pair_id", space: tuple[str, ...] = ()) -> DataFrame:
+    """The pairs (a, b) that one pass over all in ``order`` takes, no row twice; rows of other ``space`` values are other rows.
+
+    A round is a minimum per row, a count per edge, and two anti-joins with the rows that are taken.
+    """
+    left, out = written(pairs, "pairs"), None
     while True:
-        ends = left.select(F.explode(F.array("a", "b")).alias("node"), order)
-        first = ends.groupBy("node").agg(F.min(order).alias("first"))
-        at_a = left.join(first.select(F.col("node").alias("a"), F.col("first").alias("first_a")), "a")
-        both = at_a.join(first.select(F.col("node").alias("b"), F.col("first").alias("first_b")), "b")
-        won = written(both.filter((F.col("first_a") == F.col(order)) & (F.col("first_b") == F.col(order))).select(pairs.columns), "matched")
+        ends = left.select("*", F.explode(F.array("a", "b")).alias("node"))
+        best = ends.groupBy(*space, "node").agg(F.min(F.struct(F.col(order).alias("__order"), *pairs.columns)).alias("edge"))
+        won = written(best.groupBy("edge").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("edge.*").select(pairs.columns), "matched")
         if won.isEmpty():
             return won if out is None else out
         out = won if out is None else out.unionByName(won)
-        gone = written(won.select(F.explode(F.array("a", "b")).alias("node")), "gone")
-        left = written(left.join(gone.select(F.col("node").alias("a")), "a", "left_anti").join(gone.select(F.col("node").alias("b")), "b", "left_anti").select(pairs.columns), "pairs")
+        gone = won.select(*space, F.explode(F.array("a", "b")).alias("node"))
+        for end in ("a", "b"):
+            left = left.join(gone.withColumnRenamed("node", end), [*space, end], "left_anti")
+        left = written(left.select(pairs.columns), "pairs")
 
 
-def nodes_of(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+#: relation -> the set of used rows it shares, its place in the order there, and how its candidates are mined.
+RELATIONS = {"parameter": ("intervention", 0, parameter_pairs), "substitution": ("intervention", 1, substitution_pairs), "swap": ("swap", 0, swap_pairs), "path": ("path", 0, prefix_pairs)}
 
 
-def match_all(rows: DataFrame) -> dict[str, DataFrame]:
-    """Matches of the four relations. Substitution only gets rows that parameter has left."""
-    parameter = greedy_matching(parameter_pairs(rows))
-    return {
-        "parameter": parameter,
-        "substitution": greedy_matching(substitution_pairs(rows), taken=nodes_of(parameter)),
-        "swap": greedy_matching(swap_pairs(rows)),
-        "path": greedy_matching(prefix_pairs(rows)),
-    }
+def match_all(rows: DataFrame, relations: tuple[str, ...] = tuple(RELATIONS)) -> dict[str, DataFrame]:
+    """Matches of relations, all in the same rounds. Substitution only gets rows that parameter has left."""
+    own = written(minable(rows), "minable")
+    wanted = set(relations) | ({"parameter"} if "substitution" in relations else set())
+    found = None
+    for name in (r for r in RELATIONS if r in wanted):
+        space, place, mine = RELATIONS[name]
+        pairs = mine(own)
+        extra = pairs.columns[-1]
+        tagged = pairs.select("a", "b", "pair_id", F.col(extra).cast("string").alias("detail"), F.lit(name).alias("relation"), F.lit(space).alias("space"), F.concat(F.lit(f"{place}:"), "pair_id").alias("place"))
+        found = tagged if found is None else found.unionByName(tagged)
+    matched = greedy_matching(found, "place", ("space",))
+    return {name: matched.filter(F.col("relation") == name).select("a", "b", "pair_id", "detail") for name in relations}
 
 
 def annotate(rows: DataFrame) -> DataFrame:
@@ -117,7 +120,7 @@ def annotate(rows: DataFrame) -> DataFrame:
     ends = lambda name, *extra: found[name].select(F.explode(F.array("a", "b")).alias("sample_id"), F.col("pair_id").alias(f"{name}_group_id"), *extra)
     out = rows.join(ends("parameter", F.col("detail").alias("parameter_axis")), "sample_id", "left")
     out = out.join(ends("substitution", F.col("detail").alias("substitution_detail")), "sample_id", "left")
-    out = out.join(ends("swap", F.col("gap").alias("swap_gap")), "sample_id", "left").join(ends("path", F.col("step").alias("path_step_index")), "sample_id", "left")
+    out = out.join(ends("swap", F.col("detail").cast("int").alias("swap_gap")), "sample_id", "left").join(ends("path", F.col("detail").cast("int").alias("path_step_index")), "sample_id", "left")
     return out.withColumn("operator_multiset_key", chains.multiset_key(F.col("sig"))).withColumn("path_endpoint_key", chains.endpoint_key(F.col("sig")))
 
 

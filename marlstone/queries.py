@@ -274,8 +274,8 @@ fold(g, k, used, ok) AS (SELECT DISTINCT g, CAST(0 AS BIGINT), CAST([] AS VARCHA
 matched AS (SELECT c.relation, c.a, c.b, c.pair_id FROM fold f JOIN cand c ON c.g = f.g AND c.k = f.k WHERE f.ok)"""
 
 
-def _matches(spark, d) -> dict[str, DataFrame]:
-    return matching.match_all(deliveries(spark, d))
+def _matches(spark, d, *relations: str) -> dict[str, DataFrame]:
+    return matching.match_all(deliveries(spark, d), relations or tuple(matching.RELATIONS))
 
 
 @query(f"WITH RECURSIVE {MATCHES} SELECT CASE relation WHEN '1' THEN 'parameter' WHEN '2' THEN 'substitution' WHEN '3' THEN 'swap' ELSE 'path' END AS relation, a, b, pair_id FROM matched")
@@ -481,7 +481,7 @@ SELECT scope, value, count(*) AS pairs, round(avg(same), 9) AS consistency, roun
 
 def _pair_query(spark, d, relation: str, group: str, breakdown: str | None = None) -> DataFrame:
     rows = deliveries(spark, d).filter("split = 'test'")
-    pairs = _matches(spark, d)[relation].select(F.explode(F.array("a", "b")).alias("sample_id"), F.col("pair_id").alias(group))
+    pairs = _matches(spark, d, relation)[relation].select(F.explode(F.array("a", "b")).alias("sample_id"), F.col("pair_id").alias(group))
     out = robustness.pair_robustness(rows.join(pairs, "sample_id", "left"), group, 100000.0, breakdown)
     return out.select("scope", "value", "pairs", *[F.round(c, 9).alias(c) for c in ("consistency", "joint_accuracy", "risk", "drift")])
 
