@@ -14,7 +14,10 @@ on full sets and confirmed links joined into components. A star can miss a link
 between two members that are not alike to the hub. Those are found exactly: a
 bucket whose classes are all in one component holds nothing more; of the others
 only classes can have a link left whose shared shingles suffice for it, counted
-over all candidate documents, and these are compared across components.
+over all candidate documents, and these are compared across components: in small
+buckets as pairs, in others block by block, where a task counts the shingles in
+common of two blocks at once and gives a link for each two components, so that
+no bucket's pairs are ever emitted.
 
 Defined results: rows without words have the empty set and link with nothing.
 Rows that repeat are members of one class; a null doc_id never names a component
@@ -35,6 +38,8 @@ from .common import forget, store
 
 WORDS, BANDS, ROWS = 5, 32, 4
 BINS = BANDS * ROWS
+#: Members up to which a bucket's open pairs are joined; members of a block, by two of which the others are compared.
+FEW, BLOCK = 16, 384
 PIECE = 2_000_000
 _U = np.uint64
 
@@ -230,13 +235,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    # sizes alone rule out many pairs
-    sized = sets.select("node", "n")
-    fit = pairs.join(sized.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = fit.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return store(fit, "pairs").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -277,19 +278,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         signed.filter("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")).alias("pick"), F.first("bands").alias("bands"))
         .select("k1", "k2", "n", "first", "pick", "bands", F.monotonically_increasing_id().alias("node")), "classes",
     )
-    rows = classes.select("node", F.explode("bands").alias("bucket"))
-    hubs = store(rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", "hub"), "hubs")
+    rows = classes.select("node", "n", F.explode("bands").alias("bucket"))
+    hub = F.min(F.struct("node", "n")).alias("hub")
+    hubs = store(rows.groupBy("bucket").agg(hub, F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     members = store(rows.join(hubs, "bucket"), "members")  # of buckets with more than one class
     candidates = members.select("node").distinct()
     chosen = classes.join(candidates, "node", "left_semi").select("node", "n", "k1", "k2", F.col("pick.doc_id").alias("p_id"), F.col("pick.text_hash").alias("p_hash"))
     chosen = store(chosen, "chosen")
     # the texts of one row for each candidate class, and from them its full set
-    wanted = chosen.select("p_id", "p_hash").distinct()
+    wanted = chosen.select("p_id", "p_hash").distinct().hint("merge")  # they grow with the corpus: a merge at every size
     texts = docs.select("doc_id", "text").withColumn("p_hash", F.xxhash64("text"))
     texts = texts.join(wanted, (texts["p_hash"] == wanted["p_hash"]) & texts["doc_id"].cast("long").eqNullSafe(wanted["p_id"]), "left_semi")
     sets = store(full_sets(texts).dropDuplicates(["k1", "k2"]).join(chosen.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "shingles"), "sets")
-    stars = members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = store(confirmed(stars, sets, percent), "links")
+    stars = members.filter("node <> hub").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = store(confirmed(store(stars, "stars"), sets, percent), "links")
     root = store(components(links), "roots")
     links = store(links.unionByName(_missed(members, sets, root, percent)), "links")
     root = store(components(links), "roots")
@@ -330,8 +332,56 @@ def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int)
     need = percent * (F.col("n") + F.greatest("least_n", F.col("n") * percent / 100))
     hopeful = able.join(least, "bucket").filter((100 + percent) * F.least("shared", "most") >= need - 1).select("bucket", "node", "root", "n", "shared")
     hopeful = store(hopeful, "hopeful")
-    a = hopeful.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("shared").alias("sa"))
-    b = hopeful.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
+    sized = hopeful.join(store(hopeful.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "sizes"), "bucket")
+    few = sized.filter(F.col("m") <= FEW)
+    a = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("shared").alias("sa"))
+    b = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     fits = (F.col("ra") < F.col("rb")) & ((100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = a.join(b, "bucket").filter(fits).select("a", "b").distinct()
-    return confirmed(pairs, sets, percent)
+    return confirmed(store(pairs, "pairs"), sets, percent).unionByName(_between_blocks(sized.filter(F.col("m") > FEW), sets, percent))
+
+
+def tile_links(node: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray, shingle: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """A link for each two components that have one between rows ``left`` and ``right`` of a tile.
+
+    (owner, shingle) are the sets' members, owner a row of the tile. Counts of
+    common members are products of 0/1 matrices over slices of the shingles.
+    """
+    known, column, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    shared = count > 1
+    place = np.cumsum(shared) - 1
+    keep = shared[column]
+    column, owner = place[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    both = np.zeros((len(left), len(right)), np.float32)
+    width = 2048
+    for low in range(0, int(shared.sum()), width):
+        first, last = np.searchsorted(column, [low, low + width])
+        has = np.zeros((len(node), width), np.float32)
+        has[owner[first:last], column[first:last] - low] = 1
+        both += has[left] @ has[right].T
+    union = n[left][:, None] + n[right][None, :] - both
+    x, y = np.nonzero((100 * both >= percent * union) & (root[left][:, None] != root[right][None, :]))
+    x, y = left[x], right[y]
+    _, one = np.unique(np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])]), axis=1, return_index=True)
+    return node[x[one]], node[y[one]]
+
+
+def _between_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) across components of the buckets of ``rows`` (bucket, node, root, n, m)."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        tile = tile.combine_chunks()
+        node, root, n, block = (tile.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        low, high = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
+        lists = tile.column("shingles").chunk(0)
+        owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
+        a, b = tile_links(node, root, n, np.flatnonzero(block == low), np.flatnonzero(block == high), owner, lists.flatten().to_numpy(), percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = own.select("bucket", "node", "root", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    held = store(tiles, "tiles").join(sets.select("node", "shingles"), "node")
+    return held.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
