@@ -248,8 +248,7 @@ def components(edges: DataFrame) -> DataFrame:
     minima and two joins; minima are combined before the shuffle and written, so
     that a hub's join can be split.
     """
-    now = store(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    mark = None
+    now = store(edges.filter("a is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
@@ -257,12 +256,12 @@ def components(edges: DataFrame) -> DataFrame:
         least2 = store(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         joined = large.join(least2, "u")
         small = store(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least2.select("u", F.col("m").alias("v"))).distinct(), "small")
-        seen = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         forget(now, least, large, least2)
         now = small
-        if tuple(seen) == mark:
+        # done when every node hangs under one other, and none of those under a third
+        ends = now.select("u", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("v").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up + down > 1").isEmpty():
             break
-        mark = tuple(seen)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -291,11 +290,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     texts = texts.join(wanted, (texts["p_hash"] == wanted["p_hash"]) & texts["doc_id"].cast("long").eqNullSafe(wanted["p_id"]), "left_semi")
     sets = store(full_sets(texts).dropDuplicates(["k1", "k2"]).join(chosen.select("k1", "k2", "node", "n"), ["k1", "k2"]).select("node", "n", "shingles"), "sets")
     stars = members.filter("node <> hub").filter(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = store(confirmed(store(stars, "stars"), sets, percent), "links")
-    root = store(components(links), "roots")
-    links = store(links.unionByName(_missed(members, sets, root, percent)), "links")
+    links = store(confirmed(stars, sets, percent), "links")
     root = store(components(links), "roots")
+    # links that a star has missed lie between components, which then are the nodes
+    joined = components(_missed(members, sets, root, percent)).select(F.col("node").alias("root"), F.col("root").alias("top"))
     named = classes.select("k1", "k2", "node", "first").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = named.join(joined, "root", "left").withColumn("root", F.coalesce("top", "root"))
     firsts = store(named.groupBy("root").agg(F.min("first").alias("component_id")), "firsts")
     naming = store(named.join(firsts, "root").select("k1", "k2", "component_id", "root"), "naming")
     alone = signed.filter("n = 0").select("row", "doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("root"))
@@ -315,7 +315,7 @@ def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between classes of one bucket that are still in different components."""
+    """Links (a, b) of components that have classes of one bucket with a confirmed link."""
     placed = store(members.select("bucket", "node").join(root, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed")
     open_ = store(placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket"), "open")
     inside = store(placed.join(open_, "bucket"), "inside")
@@ -328,21 +328,23 @@ def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int)
     able = inside.join(own.select("node", "n").join(shared_, "node").filter(100 * F.col("shared") >= percent * F.col("n")), "node")
     able = store(able, "able")
     # a partner has at least percent % of this size, and no fewer shingles than the bucket's smallest
-    least = store(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("shared").alias("most"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").drop("low", "high"), "least")
+    least = store(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("shared").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").drop("low", "high"), "least")
     need = percent * (F.col("n") + F.greatest("least_n", F.col("n") * percent / 100))
-    hopeful = able.join(least, "bucket").filter((100 + percent) * F.least("shared", "most") >= need - 1).select("bucket", "node", "root", "n", "shared")
-    hopeful = store(hopeful, "hopeful")
-    sized = hopeful.join(store(hopeful.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")), "sizes"), "bucket")
+    hopeful = able.join(least, "bucket").filter((100 + percent) * F.least("shared", "most") >= need - 1).select("bucket", "node", "root", "n", "shared", "m")
+    sized = store(hopeful, "hopeful")
     few = sized.filter(F.col("m") <= FEW)
     a = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("shared").alias("sa"))
     b = few.select("bucket", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("shared").alias("sb"))
     fits = (F.col("ra") < F.col("rb")) & ((100 + percent) * F.least("sa", "sb") >= percent * (F.col("na") + F.col("nb"))) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
     pairs = a.join(b, "bucket").filter(fits).select("a", "b").distinct()
-    return confirmed(store(pairs, "pairs"), sets, percent).unionByName(_between_blocks(sized.filter(F.col("m") > FEW), sets, percent))
+    small = confirmed(pairs, sets, percent)
+    for end in ("a", "b"):
+        small = small.join(root.select(F.col("node").alias(end), F.col("root").alias(f"r{end}")), end, "left").withColumn(end, F.coalesce(f"r{end}", end)).select("a", "b")
+    return small.unionByName(_between_blocks(sized.filter(F.col("m") > FEW), sets, percent))
 
 
-def tile_links(node: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray, shingle: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A link for each two components that have one between rows ``left`` and ``right`` of a tile.
+def tile_links(root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray, owner: np.ndarray, shingle: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of components that have a link between rows ``left`` and ``right`` of a tile.
 
     (owner, shingle) are the sets' members, owner a row of the tile. Counts of
     common members are products of 0/1 matrices over slices of the shingles.
@@ -355,33 +357,33 @@ def tile_links(node: np.ndarray, root: np.ndarray, n: np.ndarray, left: np.ndarr
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     both = np.zeros((len(left), len(right)), np.float32)
-    width = 2048
+    width = min(2048, max(1, int(shared.sum())))
     for low in range(0, int(shared.sum()), width):
         first, last = np.searchsorted(column, [low, low + width])
-        has = np.zeros((len(node), width), np.float32)
+        has = np.zeros((len(root), width), np.float32)
         has[owner[first:last], column[first:last] - low] = 1
         both += has[left] @ has[right].T
     union = n[left][:, None] + n[right][None, :] - both
     x, y = np.nonzero((100 * both >= percent * union) & (root[left][:, None] != root[right][None, :]))
     x, y = left[x], right[y]
     _, one = np.unique(np.stack([np.minimum(root[x], root[y]), np.maximum(root[x], root[y])]), axis=1, return_index=True)
-    return node[x[one]], node[y[one]]
+    return root[x[one]], root[y[one]]
 
 
 def _between_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) across components of the buckets of ``rows`` (bucket, node, root, n, m)."""
+    """Pairs (a, b) of components with a confirmed link, of the buckets of ``rows`` (bucket, node, root, n, m)."""
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
-        node, root, n, block = (tile.column(c).to_numpy() for c in ("node", "root", "n", "block"))
+        root, n, block = (tile.column(c).to_numpy() for c in ("root", "n", "block"))
         low, high = tile.column("i")[0].as_py(), tile.column("j")[0].as_py()
         lists = tile.column("shingles").chunk(0)
-        owner = np.repeat(np.arange(len(node)), np.diff(lists.offsets.to_numpy()))
-        a, b = tile_links(node, root, n, np.flatnonzero(block == low), np.flatnonzero(block == high), owner, lists.flatten().to_numpy(), percent)
+        owner = np.repeat(np.arange(len(root)), np.diff(lists.offsets.to_numpy()))
+        a, b = tile_links(root, n, np.flatnonzero(block == low), np.flatnonzero(block == high), owner, lists.flatten().to_numpy(), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = own.select("bucket", "node", "root", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    held = store(tiles, "tiles").join(sets.select("node", "shingles"), "node")
-    return held.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    held = tiles.join(sets.select("node", "shingles"), "node")
+    return held.groupBy("bucket", "i", "j").applyInArrow(run, "a long, b long")
