@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,19 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shielded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that return the columns they get: names that begin with __ are others while they run, so that none clashes with their own."""
+
+    @functools.wraps(f)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        names = [f"held {k} {c}" if c.startswith("__") else c for k, c in enumerate(docs.columns)]
+        if names == docs.columns:
+            return f(docs, *args, **kwargs)
+        return f(docs.toDF(*names), *args, **kwargs).toDF(*docs.columns)
+
+    return run
+
+
 def forget(*frames: DataFrame) -> None:
     """Delete the files under frames made by ``store`` that nothing needs any more."""
     for df in frames:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shielded
+
 ORDERS, BITS = (1, 2, 3), 16
 BUCKETS, MAX_LANGS = 1 << BITS, 512
 #: Grams that count as evidence at most: a long text is not surer than so many independent grams.
@@ -170,6 +172,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str], names: tuple[str,
     return source.mapInArrow(score, schema)
 
 
+@shielded
 def keep_identified(docs: DataFrame, learnable: Column, least: float = 0.5) -> DataFrame:
     """``docs`` without the rows whose language can't be told: ``und``, or a score below ``least``."""
     model = train(docs, learnable)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, store
+from .common import forget, shielded, store
 
 WORDS, BANDS, ROWS = 5, 32, 4
 BINS = BANDS * ROWS
@@ -304,6 +304,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     return linked.unionByName(alone).select("row", "doc_id", F.col("n").alias("n_shingles"), "component_id", "root", kept.alias("kept"))
 
 
+@shielded
 def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, and all rows without words."""
     found = near_duplicates(docs, percent)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import shielded, store
 
 BLOCK, FRAME = 16, 1024
 #: Sources up to which the per-source tables are broadcast; beyond, Spark joins as it sees fit.
@@ -108,6 +108,7 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BL
     return timed.select("row", "doc_id", "source", "block", slot.alias("slot"), (shift + F.col("release")).alias("release"), (shift + F.col("deadline")).alias("deadline"), (slot * block + F.col("rank") % block).alias("mix_order"))
 
 
+@shielded
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """``docs``, all columns and rows, range-sorted into the mixed stream, so that files written from it follow it."""
     order = mix_order(docs, weights, block, frame).select(F.col("row").alias("__mix_row"), F.col("mix_order").alias("__mix_order"))

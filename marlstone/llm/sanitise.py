@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import shielded, store
 
 REACH, SUPPORT = 80, 3
 KINDS = ("email", "ip", "card", "phone")
@@ -225,6 +225,7 @@ def _by_kind(a: Column, b: Column) -> Column:
     return F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
 
 
+@shielded
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with entities in text replaced by their class, disclosing terms by [TERM] or nothing.
 
