@@ -4,7 +4,7 @@ Five stages, each on all rows that the one before kept. All but the last return
 the columns of their input, so extra columns pass through.
 
 1. language: rows whose language can't be told go.
-2. dedup: of each group of near duplicates the row with the smallest doc_id stays.
+2. dedup: of each group of near duplicates (similarity 0.8 or more) the row with the smallest doc_id stays.
 3. pii: personal data and the words that disclose it are replaced in the text.
 4. mixing: the rows are written in the mixed order of their sources.
 5. packing: pieces of sequences; the files that mixing wrote are packed one after
@@ -26,7 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.deduplicate(docs)
+    return minhash.deduplicate(docs, percent=80)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,8 @@ has fewer words; nothing without words), each a 64-bit hash of its bytes. One
 hash per shingle fills ``BINS`` bins with minima; an empty bin borrows from the
 first non-empty bin in an order of its own (a universal hash of bin and attempt,
 shared by all documents). ``BANDS`` bands of ``ROWS`` bins are the buckets: a
-pair of similarity 0.85 shares none with probability 6e-11.
+pair of similarity 0.85 shares none with probability 6e-11, one of 0.80, the
+least that ``deduplicate`` joins, with 5e-8.
 
 Equal sets are one class. In each bucket every class meets only the bucket's
 hub, so a bucket of m classes gives m - 1 candidates. Candidates are confirmed
@@ -305,7 +306,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 @shielded
-def deduplicate(docs: DataFrame, percent: int = 85) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, and all rows without words."""
     found = near_duplicates(docs, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")

@@ -80,6 +80,30 @@ def test_near_duplicates_equal_brute_force(spark):
     assert got == {k: find(k) for k in range(len(texts))}
 
 
+def test_dedup_stage_equals_brute_force_at_80_percent(spark):
+    pick, texts = random.Random(9), []
+    for group in range(4):
+        words = sentence(100 + group, 120).split()
+        for _ in range(12):
+            own = list(words)
+            for _ in range(pick.randrange(4)):
+                own[pick.randrange(len(own))] = pick.choice(WORDS)
+            texts.append(" ".join(own))
+    planted = sentence(200, 55).split()  # 51 shingles, of which a changed word leaves 46
+    texts += [" ".join(planted), " ".join(planted[:27] + ["changed"] + planted[28:])]
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.8 < alike(-1, -2) < 0.85
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in range(len(texts)):
+        for b in range(a):
+            if alike(a, b) >= 0.8:
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r.doc_id for r in corpus_pipeline.dedup(spark, documents(spark, list(enumerate(texts))), SF).collect()}
+    assert got == {find(k) for k in range(len(texts))} and len(texts) - 1 not in got
+
+
 def test_blocks_find_all_linked_components():
     pick = np.random.default_rng(4)
     sets = [np.unique(pick.integers(0, 60, 50)) for _ in range(40)]
