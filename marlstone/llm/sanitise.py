@@ -2,14 +2,20 @@
 
 Protected entities are e-mail addresses, IP addresses, card numbers and phone
 numbers, found by patterns. For each entity the corpus is asked how strongly the
-words beside it reveal it: with N documents, n(e) and n(t) that hold an entity
-and a term and n(e, t) that hold the term within ``REACH`` characters of the
-entity, a term's pointwise mutual information log2(N n(e,t) / (n(e) n(t))) is
-held against the entity's information log2(N / n(e)). A term seen beside the
-entity in at least ``SUPPORT`` documents whose mutual information is at least
-half of that information discloses the entity: wherever it stands in a document
-with the entity, it is generalised to a class; if it is seen nowhere else
-(n(e, t) = n(t), all of the information) it is removed.
+words of its documents reveal it: with N documents, n(e) and n(t) that hold an
+entity and a term and n(e, t) that hold the term anywhere outside their entities
+together with the entity, a term's pointwise mutual information
+log2(N n(e,t) / (n(e) n(t))) is held against the entity's information
+log2(N / n(e)). A term whose mutual information is at least half of that
+information discloses the entity, however few documents hold the two (an entity
+that all documents hold has no information to disclose): wherever it stands in a
+document with the entity, it is generalised to a class; if it is seen nowhere
+else (n(e, t) = n(t), all of the information) it is removed. Terms are whole
+words of any length.
+
+A pair can only reach that if N n(e) >= n(t)^2, as n(e, t) <= n(e), so pairs
+beyond are never made. For an entity of one document that is the condition
+itself: such entities need no pairs at all.
 
 Offsets are in code points, ends exclusive. A kind's matches are leftmost and do
 not overlap; matches that fail their test are dropped and not tried again.
@@ -20,12 +26,13 @@ of their own. Statistics are taken over all rows of the table that is given.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import shielded, store
 
-REACH, SUPPORT = 80, 3
 KINDS = ("email", "ip", "card", "phone")
 #: Patterns in linear form: possessive loops, and starts only where a run of the first class starts or a match has ended.
 #: A card's run of fewer than 16 digits fails at once; so does each of its rests, as those are shorter.
@@ -35,7 +42,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WORD = r"\p{L}{4,}"
+WORD = r"\p{L}+"
 CLASS_OF = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 _CHUNK = 256
 
@@ -135,40 +142,56 @@ def _fold(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def context_terms(text: Column, start: Column, end: Column) -> Column:
-    """Distinct whole words of four letters or more within REACH characters on either side, other identifiers left out."""
-    before = F.regexp_replace(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, start - F.greatest(start - REACH, F.lit(0))), r"^\p{L}+", "")
-    after = F.regexp_replace(F.substring(text, end + 1, F.lit(REACH)), r"\p{L}+$", "")
-    clean = F.regexp_replace(F.concat(before, F.lit("\n"), after), r"[^\s]*[@0-9][^\s]*", " ")
-    return F.array_distinct(F.regexp_extract_all(_fold(clean), F.lit(WORD), F.lit(0)))
-
-
 def own_words(text: Column) -> Column:
-    """Distinct whole words of four letters or more."""
+    """Distinct whole words."""
     return F.array_distinct(F.regexp_extract_all(_fold(text), F.lit(WORD), F.lit(0)))
 
 
+def replaced(text: Column, spans: Column) -> Column:
+    """``text`` with the spans (start, end, to), sorted, put to ``to``; overlapping ones as one, under the first."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    folded = lambda s: F.aggregate(
+        s, start,
+        lambda a, x: F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, x["start"] - a["at"]), x["to"])).alias("out"))).otherwise(
+            F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))),
+    )
+    return bound(folded(spans), lambda f: F.concat(F.array_join(f["out"], ""), F.substring(text, f["at"] + 1, F.length(text))))
+
+
+def context_terms(text: Column, entities: Column) -> Column:
+    """Distinct whole words of ``text`` that stand outside its entities."""
+    spans = F.array_sort(F.transform(entities, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.lit("\n").alias("to"))))
+    # a piece of a word that an entity cuts is no word
+    return F.array_intersect(own_words(replaced(text, spans)), own_words(text))
+
+
 def disclosing_terms(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """(kind, value, term, whole) of all terms that disclose an entity; whole: seen nowhere else.
+    """(row, term, whole) of all terms that disclose an entity of the row; whole: one that is seen only with it.
 
     ``found`` has row, text and entities of the rows with entities, ``texts`` the
     column text of all rows.
     """
     total = texts.count()
-    beside = found.select("row", "text", F.explode("entities").alias("e"))
     # a document counts once for an entity and for an entity with a term
-    entities = beside.select("row", "e.kind", "e.value").distinct().groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_e"))
-    entities = store(entities.filter(F.col("n_e") >= SUPPORT), "entities")
-    pairs = beside.select("row", "e.kind", "e.value", F.explode(context_terms(F.col("text"), F.col("e.start"), F.col("e.end"))).alias("term")).distinct()
-    pairs = store(pairs.groupBy("kind", "value", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= SUPPORT), "pairs")
+    held = store(found.select("row", F.explode("entities").alias("e")).select("row", "e.kind", "e.value").distinct(), "held")
+    entities = held.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n_e")).filter(F.col("n_e") < total)
+    entities = store(entities.withColumn("entity", F.monotonically_increasing_id()), "entities")
+    most = entities.agg(F.max("n_e")).first()[0] or 0
     words = texts.select(F.explode(own_words(F.coalesce("text", F.lit("")))).alias("term"))
-    # counted first, so that the join sees a row per word and not per occurrence
-    counts = store(words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).join(pairs.select("term").distinct(), "term"), "counts")
-    scored = pairs.join(entities, ["kind", "value"]).join(counts, "term")
+    # N n_e >= n_t^2 with the largest n_e; n_t is a whole number
+    rare = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t")).filter(F.col("n_t") <= math.isqrt(total * most))
+    beside = found.select("row", F.explode(context_terms(F.col("text"), F.col("entities"))).alias("term"))
+    near = store(beside.join(rare.hint("merge"), "term"), "near")
+    placed_ = store(held.join(entities, ["kind", "value"]).select("row", "entity", "n_e"), "placed")
     big = {c: F.col(c).cast("double") for c in ("n_et", "n_e", "n_t")}
+    able = F.lit(float(total)) * big["n_e"] >= big["n_t"] * big["n_t"]
+    single = near.join(placed_.filter("n_e = 1").select("row", "n_e").distinct(), "row").filter(able).select("row", "term", (F.col("n_t") == 1).alias("whole"))
+    pairs = store(near.join(placed_.filter("n_e > 1"), "row").filter(able), "pairs")
+    counts = pairs.groupBy("entity", "term", "n_e", "n_t").agg(F.count(F.lit(1)).alias("n_et"))
     # 2 log2(N n_et / (n_e n_t)) >= log2(N / n_e), multiplied out
     reveals = F.lit(float(total)) * big["n_et"] * big["n_et"] >= big["n_e"] * big["n_t"] * big["n_t"]
-    return scored.filter(reveals).select("kind", "value", "term", (F.col("n_et") == F.col("n_t")).alias("whole"))
+    terms = store(counts.filter(reveals).select("entity", "term", (F.col("n_et") == F.col("n_t")).alias("whole")), "terms")
+    return single.unionByName(pairs.select("row", "entity", "term").join(terms, ["entity", "term"]).select("row", "term", "whole"))
 
 
 def term_spans(text: Column, terms: Column) -> Column:
@@ -194,14 +217,8 @@ def analyse(docs: DataFrame, texts: bool = True) -> DataFrame:
     listed = store(listed, "spans")
     found = store(listed.filter(some), "found")
     light = found.select(F.col("__row").alias("row"), text.alias("text"), F.col("__entities").alias("entities"))
-    terms = store(disclosing_terms(light, docs.select("text")), "terms")
-    # a row for each term of a document that discloses anything, with all that it discloses; then what the document holds decides
-    key = lambda e: F.concat_ws(":", e["kind"], e["value"])
-    reveal = terms.groupBy("term").agg(F.collect_list(F.struct(key({c: F.col(c) for c in ("kind", "value")}).alias("of"), "whole")).alias("reveals"))
-    words = light.select("row", F.transform("entities", key).alias("held"), F.explode(own_words(F.col("text"))).alias("term"))
-    met = words.join(reveal, "term").filter(F.arrays_overlap("held", F.col("reveals.of")))
-    whole = F.exists("reveals", lambda r: r["whole"] & F.array_contains("held", r["of"]))
-    own = store(met.groupBy(F.col("row").alias("__row")).agg(F.map_from_entries(F.collect_list(F.struct("term", whole.alias("whole")))).alias("__own")), "own")
+    met = disclosing_terms(light, docs.select("text")).groupBy(F.col("row").alias("__row"), "term").agg(F.max("whole").alias("whole"))
+    own = store(met.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "whole"))).alias("__own")), "own")
     marked = F.transform(term_spans(text, F.map_keys("__own")), lambda m: F.struct(m["start"].alias("start"), m["match"].alias("match"), F.element_at(F.col("__own"), m["match"]).alias("whole")))
     # a term inside an entity goes with the entity
     outside = lambda t: ~F.exists("__entities", lambda e: (t["start"] < e["end"]) & (t["start"] + F.length(t["match"]) > e["start"]))
@@ -238,14 +255,7 @@ def redact(docs: DataFrame) -> DataFrame:
         F.transform("__entities", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), F.element_at(names, e["kind"]).alias("to"))),
         F.transform("__terms", lambda t: F.struct(t["start"].alias("start"), (t["start"] + F.length(t["match"])).alias("end"), F.when(t["whole"], "").otherwise("[TERM]").alias("to"))),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    body = F.col("text")
-    folded = F.aggregate(
-        F.array_sort(spans), start,
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(F.substring(body, a["at"] + 1, s["start"] - a["at"]), s["to"])).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out"))),
-    )
-    text = F.when(F.size(spans) > 0, F.concat(F.array_join(folded["out"], ""), F.substring(body, folded["at"] + 1, F.length(body)))).otherwise(body)
+    text = F.when(F.size(spans) > 0, replaced(F.col("text"), F.array_sort(spans))).otherwise(F.col("text"))
     out = done.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.size("__entities") + F.size("__terms") > 0, F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))

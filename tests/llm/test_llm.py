@@ -199,6 +199,29 @@ def test_disclosing_terms_are_found_and_replaced(spark):
     assert all("[EMAIL]" in texts[k] and "Xanadu" not in texts[k] for k in range(4)) and texts[10] == f"common today {sentence(56, 15)}"
 
 
+def test_terms_of_rare_entities_equal_brute_force(spark):
+    filler = lambda k: sentence(300 + k, 40)
+    texts = ["Xanadu office boss@xanadu.org " + filler(0), "only +1 555 123 4567 " + filler(1) * 3 + " Bo Zanzibar", f"{filler(2)} twin@b.co Kumquat", f"Kumquat {filler(3)} twin@b.co"]
+    texts += [filler(10 + k) + (" Kumquat" if k < 12 else "") for k in range(60)]
+    mails = [set(re.findall(r"[a-z]+@[a-z.]+|\+[0-9 ]+[0-9]", t)) for t in texts]
+    outside = [set(re.findall(r"[a-z]+", re.sub(r"[a-z]+@[a-z.]+", " ", t.lower()))) for t in texts]
+    words = [set(re.findall(r"[a-z]+", t.lower())) for t in texts]
+    want = {}
+    for k, held in enumerate(mails):
+        for e in held:
+            docs = [j for j in range(len(texts)) if e in mails[j]]
+            for t in outside[k]:
+                n_t, n_et = sum(t in w for w in words), sum(t in outside[j] for j in docs)
+                if 2 * math.log2(len(texts) * n_et / (len(docs) * n_t)) >= math.log2(len(texts) / len(docs)) - 1e-9:
+                    want.setdefault(k, set()).add(t)
+    got = {}
+    for r in sanitise.report(documents(spark, list(enumerate(texts)))).collect():
+        for kind, start, end in (s.split(":") for s in r.spans.split(",") if s):
+            if kind == "term":
+                got.setdefault(r.doc_id, set()).add(texts[r.doc_id][int(start) : int(end)].lower())
+    assert got == want and "xanadu" in got[0] and {"bo", "zanzibar"} <= got[1] and "kumquat" not in got[2]
+
+
 def test_audio_codecs():
     assert (telephony.compress(telephony.EXPAND[7], 7)[telephony.EXPAND[7] != 0] == np.arange(256, dtype=np.uint8)[telephony.EXPAND[7] != 0]).all()
     assert telephony.EXPAND[7][0] == -32124 and telephony.EXPAND[6][0xD5] == 8 and telephony.EXPAND[6][0x55] == -8
