@@ -154,6 +154,17 @@ def test_packing_holds_every_id_once(spark, odd):
     assert all((s == t and o == q + m) or (s == t + 1 and o == 0 and q + m == 1024) for (t, q, m), (s, o, _) in zip(spans, spans[1:]))
 
 
+def test_ids_equal_the_tokenizers_library_with_added_tokens():
+    from tokenizers import Tokenizer
+
+    own, bpe = Tokenizer.from_file(tokens.default_path()), tokens.load()
+    pick, parts = random.Random(5), ["<|endoftext|>", "<|endoftext", "|>", " ", "  ", "\n", "word", " word", "é", "12", "'s", "<"]
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x  <|endoftext|>  y<|endoftext|><|endoftext|>"] + ["".join(pick.choice(parts) for _ in range(30)) for _ in range(300)]
+    for t in texts:
+        assert bpe.ids(t).tolist() == own.encode(t, add_special_tokens=False).ids and bpe.text(bpe.ids(t)) == t, t
+    assert 50256 in bpe.ids(texts[1])
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([(a, b) for a in range(16) for b in range(16)])
     path = cells[np.argsort(packing.hilbert(cells, 4))]
