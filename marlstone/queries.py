@@ -666,14 +666,25 @@ def pln01_emitted(spark, d):
 @query("""WITH p AS (SELECT event_id, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'bonafide' ELSE 'spoof' END AS label, user_id FROM events WHERE event_id < 500), r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, sum(CASE WHEN label = 'spoof' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) - 1 AS k FROM p)
 SELECT event_id AS ord, CASE WHEN user_id % 4 = 0 THEN printf('spk_%06d', i) ELSE CAST(user_id AS VARCHAR) END AS speaker, 'e' || event_id AS sample_id, CASE WHEN label = 'spoof' THEN printf('A%02d', CAST(k % 13 + 7 AS INTEGER)) ELSE '-' END AS attack, label FROM r""")
 def snk12_protocol(spark, d):
+    # the ids of its SQL; snk12_protocol_all has the whole list
+    return _protocol(spark, d, "event_id < 500")
+
+
+def _protocol(spark, d, kept: str):
     events = table(spark, d, "events")
     first = events.agg(F.min("event_type").alias("first"))
-    rows = events.filter("event_id < 500").crossJoin(F.broadcast(first)).select(  # one row; a protocol file is one ordered list
+    rows = events.filter(kept).crossJoin(F.broadcast(first)).select(  # one row; a protocol file is one ordered list
         F.col("event_id").alias("ord"), F.when(F.col("user_id") % 4 != 0, F.col("user_id").cast("string")).alias("speaker_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("sample_id"), F.when(F.col("event_type") == F.col("first"), "bona_fide").otherwise("other").alias("label"),
     )
     return writers.attack_label(rows)
 
 
+@query("""WITH p AS (SELECT event_id, CASE WHEN event_type = (SELECT min(event_type) FROM events) THEN 'bonafide' ELSE 'spoof' END AS label, user_id FROM events), r AS (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS i, sum(CASE WHEN label = 'spoof' THEN 1 ELSE 0 END) OVER (ORDER BY event_id) - 1 AS k FROM p)
+SELECT event_id AS ord, CASE WHEN user_id % 4 = 0 THEN printf('spk_%06d', i) ELSE CAST(user_id AS VARCHAR) END AS speaker, 'e' || event_id AS sample_id, CASE WHEN label = 'spoof' THEN printf('A%02d', CAST(k % 13 + 7 AS INTEGER)) ELSE '-' END AS attack, label FROM r""")
+def snk12_protocol_all(spark, d):
+    return _protocol(spark, d, "true")
+
+
 STREAMED = "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1"
 
 

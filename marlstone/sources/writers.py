@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import protocol_label
+from ..storage import written
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
@@ -31,12 +32,20 @@ def split_relative(rows: DataFrame) -> DataFrame:
 def attack_label(rows: DataFrame, ord: str = "ord") -> DataFrame:
     """Protocol columns in order: spoof rows take A07 to A19 in turn, rows without speaker a number of their own.
 
-    Running numbers over one ordered list, as a protocol file is one.
+    Running numbers over one ordered list, as a protocol file is one: the rows
+    are range-sorted and written, and a number is a row's place in its range plus
+    the sizes of the ranges before, so that no task sees all rows.
     """
-    order = Window.orderBy(ord)
+    sorted_ = rows.repartitionByRange(ord).sortWithinPartitions(ord).withColumn("__place", F.monotonically_increasing_id())
+    placed = written(sorted_, "protocol").withColumn("__part", F.shiftrightunsigned("__place", 33))
     spoof = (protocol_label(F.col("label")) == "spoof").cast("long")
-    turn = F.sum(spoof).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    index = F.row_number().over(order) - 1
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("n"), F.sum(spoof).alias("spoofs"))
+    bases = sizes.select("__part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"__{c}") for c in ("n", "spoofs")])  # a row per range
+    rows = placed.join(F.broadcast(bases), "__part")
+    inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
+    turn = F.col("__spoofs") + F.sum(spoof).over(inside) - 1
+    index = F.col("__n") + F.col("__place").bitwiseAND((1 << 33) - 1)
     speaker = F.coalesce(F.nullif(F.trim(F.col("speaker_id").cast("string")), F.lit("")), F.format_string("spk_%06d", index))
     attack = F.when(spoof == 1, F.format_string("A%02d", F.pmod(turn, F.lit(13)) + 7)).otherwise("-")
     return rows.select(F.col(ord), speaker.alias("speaker"), "sample_id", attack.alias("attack"), protocol_label(F.col("label")).alias("label"))

@@ -148,6 +148,27 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(map(tuple, readers.protocol(spark, str(tmp_path / "protocol")).collect())) == [("a", 0), ("b", 1)]
 
 
+def test_protocol_numbers_run_on_over_ranges(spark):
+    pick = random.Random(3)
+    rows = [(k, None if pick.random() < 0.3 else f"s{k}", f"e{k}", pick.choice(["spoof", "bona_fide"])) for k in range(3000)]
+    frame = spark.createDataFrame(pick.sample(rows, len(rows)), "ord int, speaker_id string, sample_id string, label string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one range
+    try:
+        made = writers.attack_label(frame)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, turn = [], 0
+    for k, speaker, sample, label in rows:
+        spoof = label == "spoof"
+        want.append((k, speaker or f"spk_{k:06d}", sample, f"A{turn % 13 + 7:02d}" if spoof else "-", "spoof" if spoof else "bonafide"))
+        turn += spoof
+    assert sorted(map(tuple, made.collect())) == want
+
+
+def test_protocol_holds_every_event(spark):
+    assert queries.snk12_protocol_all(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+
+
 def test_enrich_keeps_the_last_metadata_and_repairs_labels(spark):
     scores = spark.createDataFrame([("a", ""), ("b", "spoof"), ("z", None)], "sample_id string, label string")
     meta = spark.createDataFrame([(" a", 1, "x", "old"), ("a", 2, "bona_fide", "new"), ("b", 3, "bona_fide", "m")], "sample_id string, ord int, label string, m string")
