@@ -169,6 +169,14 @@ def test_protocol_holds_every_event(spark):
     assert queries.snk12_protocol_all(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
+def test_coverage_names_missing_families_and_holds_every_parent(spark):
+    rows = [("a", "direct"), ("a", "hybrid"), ("a", "telephony"), ("b", "direct"), ("b", "direct"), ("c", "other"), ("d", "hybrid"), ("d", None), ("d", "telephony")]
+    got = dict(map(tuple, summaries.parent_coverage(spark.createDataFrame(rows, "parent_id string, chain_family string"), ["direct", "hybrid", "telephony"]).collect()))
+    assert got == {"complete": 1, "incomplete": 3, "missing:direct": 2, "missing:hybrid": 2, "missing:telephony": 2}
+    states = dict(map(tuple, queries.agg12_parent_coverage_all(spark, SF).collect()))
+    assert states.get("complete", 0) + states.get("incomplete", 0) == queries.deliveries(spark, SF).select("parent_id").distinct().count()
+
+
 def test_enrich_keeps_the_last_metadata_and_repairs_labels(spark):
     scores = spark.createDataFrame([("a", ""), ("b", "spoof"), ("z", None)], "sample_id string, label string")
     meta = spark.createDataFrame([(" a", 1, "x", "old"), ("a", 2, "bona_fide", "new"), ("b", 3, "bona_fide", "m")], "sample_id string, ord int, label string, m string")
