@@ -11,7 +11,7 @@ samples, octaves weighted by their length, that is an estimate of the share of
 equal symbols over the longer of the two walks.
 
 Near pairs come from bit-sampled banding of the fingerprint's symbols and are
-verified by likeness.
+verified by likeness, by stars and then exactly within buckets.
 
 Defined results: null and empty texts have the empty fingerprint; two empty
 fingerprints have likeness 1, an empty and another one 0. Equal texts have
@@ -27,6 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import store
+from .minhash import BLOCK, components
+
 SAMPLES, PERIOD, PAD = 32, 8191, 255
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Below so many live walks a loop over single steps costs less than a numpy step over all.
@@ -220,14 +223,17 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 24, symbols: int = 6) -> DataFrame:
-    """Links (a, b, likeness) from each class of near texts to the members of its buckets.
-
-    Equal fingerprints are one class, named by its smallest doc_id. A band
-    samples ``symbols`` symbols from the three top octaves that walks of like
-    length share; in a bucket every class meets the bucket's smallest class, so
-    a bucket of m classes gives m - 1 candidates, each verified by likeness.
+    """Links (a, b, likeness) that join all classes of near texts which share a bucket.
+
+    Equal fingerprints are one class, named by its smallest doc_id, or by null
+    where it has no other. A band samples ``symbols`` symbols from the top octaves
+    that walks of like length share, at places that all of them have. In a bucket
+    every class first meets the bucket's smallest class. What such a star misses
+    is found exactly: buckets whose classes aren't in one component by then are
+    compared block by block, and a tile gives a link for each two components.
     """
-    prints = fingerprint_documents(docs.select("doc_id", "text")).filter("doc_id is not null").groupBy("fingerprint").agg(F.min("doc_id").alias("rep"))
+    classes = fingerprint_documents(docs.select("doc_id", "text")).groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("rep"))
+    classes = store(classes.filter("fingerprint <> ''").withColumn("node", F.monotonically_increasing_id()), "prints")
 
     @F.pandas_udf("array<long>")
     def buckets(column):
@@ -236,16 +242,14 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 24, symbols
 
         out = []
         for p in column:
-            tops = {len(p) // SAMPLES, (len(p) + SAMPLES // 2) // SAMPLES}
             keys = []
-            for top in sorted(tops):
+            for top in sorted({len(p) // SAMPLES, (len(p) + SAMPLES // 2) // SAMPLES}):
                 pick = np.random.Generator(np.random.PCG64(top))
-                low = max(0, (top - 3) * SAMPLES)
-                high = max(low + 1, min(len(p), top * SAMPLES))
+                # walks that are rounded up to ``top`` end half an octave before it
+                low, high = max(0, (top - 3) * SAMPLES), max(1, top * SAMPLES - SAMPLES // 2)
                 for band in range(bands):
-                    at = pick.integers(low, max(low + 1, top * SAMPLES), symbols)
-                    if at.max(initial=0) < high:
-                        keys.append(xxhash.xxh64_intdigest(f"{top}:{band}:" + "".join(p[i] for i in at)) - (1 << 63))
+                    at = pick.integers(low, high, symbols)
+                    keys.append(xxhash.xxh64_intdigest(f"{top}:{band}:" + "".join(p[i] for i in at)) - (1 << 63))
             out.append(keys)
         return pd.Series(out)
 
@@ -255,10 +259,35 @@ def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 24, symbols
 
         return pd.Series([likeness(a, b) for a, b in zip(left, right)])
 
-    rows = prints.filter("fingerprint <> ''").select("rep", "fingerprint", F.explode(buckets("fingerprint")).alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket", "hub")
-    pairs = rows.join(hubs, "bucket").filter("rep <> hub").select("hub", "rep").distinct()
-    left = prints.select(F.col("rep").alias("hub"), F.col("fingerprint").alias("left_print"))
-    right = prints.select("rep", F.col("fingerprint").alias("right_print"))
-    scored = pairs.join(left, "hub").join(right, "rep").select(F.col("hub").alias("a"), F.col("rep").alias("b"), alike("left_print", "right_print").alias("likeness"))
-    return scored.filter(F.col("likeness") >= threshold)
+    def tile(frame):
+        import pandas as pd
+
+        low, high, seen = frame["i"].iloc[0], frame["j"].iloc[0], {}
+        columns = ["node", "root", "fingerprint"]
+        left, right = (list(frame.loc[frame["block"] == k, columns].itertuples(index=False, name=None)) for k in (low, high))
+        for a, ra, p in left:
+            for b, rb, q in right:
+                key = (min(ra, rb), max(ra, rb))
+                if ra != rb and key not in seen and (like := likeness(p, q)) >= threshold:
+                    seen[key] = (min(a, b), max(a, b), like)
+        return pd.DataFrame(list(seen.values()), columns=["x", "y", "likeness"]).astype({"x": "int64", "y": "int64", "likeness": "float64"})
+
+    rows = store(classes.select("node", F.explode(F.array_distinct(buckets("fingerprint"))).alias("bucket")), "buckets")
+    first = F.struct(F.col("rep").isNull(), "rep", "node")
+    hubs = rows.join(classes.select("node", "rep"), "node").groupBy("bucket").agg(F.min_by("node", first).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = store(rows.join(hubs, "bucket"), "members")
+    pairs = members.filter("node <> hub").select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct()
+    left = classes.select(F.col("node").alias("x"), F.col("rep").alias("x_rep"), F.col("fingerprint").alias("x_print"))
+    right = classes.select(F.col("node").alias("y"), F.col("rep").alias("y_rep"), F.col("fingerprint").alias("y_print"))
+    stars = store(pairs.join(left, "x").join(right, "y").select("x", "y", alike("x_print", "y_print").alias("likeness")).filter(F.col("likeness") >= threshold), "stars")
+    root = store(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    placed = store(members.join(root, "node", "left").select("bucket", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = own.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    missed = tiles.join(classes.select("node", "fingerprint"), "node").groupBy("bucket", "i", "j").applyInPandas(tile, "x long, y long, likeness double")
+    found = stars.unionByName(missed).dropDuplicates(["x", "y"])
+    named = found.join(left.drop("x_print"), "x").join(right.drop("y_print"), "y")
+    swap = F.col("x_rep").isNull() | (F.col("y_rep") < F.col("x_rep"))  # the smaller id first, null last
+    return named.select(F.when(swap, F.col("y_rep")).otherwise(F.col("x_rep")).alias("a"), F.when(swap, F.col("x_rep")).otherwise(F.col("y_rep")).alias("b"), "likeness")

@@ -270,6 +270,31 @@ def test_fingerprints(spark):
         assert rows[k].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and rows[k].fingerprint == one[k] and rows[k].near_next == edit_embedding.likeness(one[k], one[(k + 1) % 6])
 
 
+def test_near_pairs_join_what_brute_force_joins(spark):
+    texts = [sentence(400 + k, 60) for k in range(30)]  # these are hubs of the mixed buckets that one symbol makes
+    for group in range(4):
+        base = sentence(500 + group, 60)
+        texts += [base] + [base[:at] + "XYZ" + base[at + 1 :] for at in (len(base) - 90, len(base) - 120)]
+    ids = [*range(len(texts) - 1), -1]  # the last row has no id
+    prints = edit_embedding.fingerprints(texts)
+
+    def groups(pairs):
+        root = {k: k for k in ids}
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in pairs:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+        return {k: find(k) for k in ids}
+
+    near = [(ids[a], ids[b]) for a in range(len(texts)) for b in range(a) if edit_embedding.likeness(prints[a], prints[b]) >= 0.8]
+    got = edit_embedding.near_pairs(documents(spark, list(zip(ids, texts))), symbols=1).collect()
+    same = [(ids[a], ids[b]) for a in range(len(texts)) for b in range(a) if prints[a] == prints[b]]  # one class, without links
+    assert groups(same) != groups(near)
+    assert groups(same + [(-1 if r.a is None else r.a, -1 if r.b is None else r.b) for r in got]) == groups(near)
+    by_id = dict(zip(ids, prints))
+    assert any(r.b is None for r in got) and all(r.likeness == edit_embedding.likeness(by_id[r.a], by_id[-1 if r.b is None else r.b]) >= 0.8 for r in got)
+
+
 def test_pipeline_stages_keep_columns(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
