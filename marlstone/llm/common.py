@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that the cluster shares.
+    """A fresh path in the folder that the cluster shares: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) a local temporary folder stands in.
+    Where that is unset, a local temporary folder stands in on a local master
+    (tests on one machine); on a cluster, whose machines don't share one, it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
 
@@ -36,6 +38,26 @@ def store(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scanned(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` if it is a plain scan of Parquet files, else a copy that is."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    if plan.nodeName() == "LogicalRelation" and str(plan.relation().getClass().getSimpleName()) == "HadoopFsRelation" and plan.relation().fileFormat().toString() == "Parquet":
+        return docs
+    return store(docs, name)
+
+
+def keyed(docs: DataFrame, name: str, key: str = "__key") -> DataFrame:
+    """``docs`` with a column ``key`` that tells its rows apart and is the same whenever and wherever they are read.
+
+    It is a row's file and place there. A running number of partitions and rows
+    wouldn't do: another frame's partitions, and even a scan's, may change from
+    one reading to the next, as when executors come and go.
+    """
+    return scanned(docs, name).select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias(key))
+
+
 def shielded(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """For functions that return the columns they get: names that begin with __ are others while they run, so that none clashes with their own."""
 

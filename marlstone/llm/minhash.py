@@ -2,8 +2,9 @@
 
 Words are runs of characters other than blanks and \\t to \\r, A-Z lower-cased. A
 document's set is its distinct 5-word shingles (its whole word sequence if it
-has fewer words; nothing without words), each a 64-bit hash of its bytes. One
-hash per shingle fills ``BINS`` bins with minima; an empty bin borrows from the
+has fewer words; nothing without words), each a 64-bit number: xxHash64 of each
+word's bytes, and a mixing step (no polynomial, so that texts of a regular build
+don't collide) for each word of the shingle in turn. One number per shingle fills ``BINS`` bins with minima; an empty bin borrows from the
 first non-empty bin in an order of its own (a universal hash of bin and attempt,
 shared by all documents). ``BANDS`` bands of ``ROWS`` bins are the buckets: a
 pair of similarity 0.85 shares none with probability 6e-11, one of 0.80, the
@@ -28,46 +29,46 @@ doc_id = component_id, and true where both are null. Other columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, shielded, store
+from .common import forget, keyed, scanned, shielded, store
 
 WORDS, BANDS, ROWS = 5, 32, 4
 BINS = BANDS * ROWS
-#: Members up to which a bucket's open pairs are joined; members of a block, by two of which the others are compared.
-FEW, BLOCK = 16, 384
+#: Members up to which a bucket's open pairs are joined; members and shingles of a block, by two of which the others are compared.
+FEW, BLOCK, BLOCK_SHINGLES = 16, 384, 1_000_000
 PIECE = 2_000_000
 _U = np.uint64
 
 
+class Words(dict):
+    """xxHash64 of words, kept while a worker meets them again; emptied when ``KEPT`` are held."""
+
+    KEPT = 200_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.KEPT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
 class Hashing:
     """Shared random numbers; made once in each Python worker."""
 
     def __init__(self):
         random = np.random.Generator(np.random.PCG64(20240229))
-        self.byte = random.integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
-        self.base = _U((int(random.integers(0, 1 << 63)) * 8 + 5) % (1 << 64))
-        inverse = pow(int(self.base), -1, 1 << 64)
-        self.power = self._powers(int(self.base), PIECE + 16)
-        self.inverse = self._powers(inverse, PIECE + 16)
+        self.words = Words()
         self.borrow = np.stack([random.permutation(BINS) for _ in range(BINS)])
         self.seeds = random.integers(1, 1 << 63, 4, dtype=np.uint64)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def grown(self, n: int) -> None:
-        if n + 2 > len(self.power):
-            self.power = self._powers(int(self.base), n + 16)
-            self.inverse = self._powers(pow(int(self.base), -1, 1 << 64), n + 16)
+        self.places = random.integers(1, 1 << 63, WORDS, dtype=np.uint64) * _U(2) + _U(1)
 
 
 _HASHING: Hashing | None = None
@@ -86,44 +87,24 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> _U(31)
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
-
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(document, hash) of the distinct shingles of each text, sorted by both."""
+    """(document, number) of the distinct shingles of each text, sorted by both."""
     h = shared()
-    # a blank ends every document, so a word never spans two
-    raw = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    space = _SPACE[raw]
-    before = np.empty_like(space)
-    before[0], before[1:] = True, space[:-1]
-    first = np.flatnonzero(~space & before)
-    if not len(first):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    last_space = np.flatnonzero(space & ~before)  # where each word has ended
-    owner = np.searchsorted(ends, first, side="right")
-    # positions count the bytes of words and one break per word, so white space of any kind is alike
-    keep = ~space
-    keep[last_space] = True
-    value = h.byte[np.where(space, 32, _LOWER[raw])]
-    kept = np.flatnonzero(keep)
-    h.grown(len(kept))
-    sums = np.zeros(len(kept) + 1, np.uint64)
-    np.cumsum(value[kept] * h.power[: len(kept)], out=sums[1:])
-    at = np.cumsum(keep) - keep  # place among the kept bytes
-    begin, stop = at[first], at[last_space] + 1
-    count = np.bincount(owner, minlength=len(texts))
+    # for bytes, lower() and split() know A-Z, the blank and \t to \r alone
+    words = [t.lower().split() for t in texts]
+    count = np.fromiter(map(len, words), np.int64, len(words))
+    word = np.fromiter(map(h.words.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(count.sum()))
     word0 = np.cumsum(count) - count
     shingles = np.where(count == 0, 0, np.maximum(1, count - WORDS + 1))
     doc = np.repeat(np.arange(len(texts)), shingles)
+    if not len(doc):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     nth = np.arange(len(doc)) - np.repeat(np.cumsum(shingles) - shingles, shingles)
-    a = word0[doc] + nth
-    b = a + np.minimum(WORDS, count[doc]) - 1
-    code = _mix((sums[stop[b]] - sums[begin[a]]) * h.inverse[begin[a]])
+    first, length = word0[doc] + nth, np.minimum(WORDS, count[doc])
+    code = length.astype(np.uint64)
+    for k in range(WORDS):
+        has = length > k  # but for texts of fewer words all have
+        code[has] = _mix((code[has] ^ word[first[has] + k]) * h.places[k])
     order = np.lexsort((code, doc))
     doc, code = doc[order], code[order]
     new = np.ones(len(doc), bool)
@@ -192,7 +173,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, pa.int64()))
 
 
-SIGNED = "row long, doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"
+SIGNED = "row struct<file:string,at:bigint>, doc_id long, text_hash long, n long, k1 long, k2 long, bands array<long>"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -207,7 +188,7 @@ def sign(docs: DataFrame) -> DataFrame:
             sizes = np.where(n > 0, BANDS, 0)
             yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(n, pa.int64()), pa.array(k1), pa.array(k2), _lists(bands.ravel(), sizes)], names=["row", "doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
+    source = keyed(docs, "documents", "row").select("row", F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary"))
     return source.mapInArrow(run, SIGNED)
 
 
@@ -269,8 +250,8 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): row, doc_id, n_shingles, component_id, root, kept.
 
-    root numbers the component (null without words), row is the
-    monotonically_increasing_id of ``docs``, which therefore should be a scan.
+    root numbers the component (null without words), row is the key that
+    ``keyed`` gives the row (of a copy of ``docs``, if that isn't a scan).
     """
     signed = store(sign(docs.select("doc_id", "text")), "signed")
     # a class for each set, numbered after its smallest id and one of its texts
@@ -308,12 +289,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 @shielded
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one row of each component, that of the smallest doc_id, and all rows without words."""
+    docs = scanned(docs, "documents")
     found = near_duplicates(docs, percent)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
     picks = found.filter("root is not null").groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row")
     kept = store(picks.unionByName(found.filter("root is null").select(F.col("row").alias("__row"))), "kept")
     # the rows kept grow with the corpus: a merge at every size, never a broadcast
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept.hint("merge"), "__row", "left_semi").drop("__row")
+    return keyed(docs, "documents", "__row").join(kept.hint("merge"), "__row", "left_semi").drop("__row")
 
 
 def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int) -> DataFrame:
@@ -330,9 +312,9 @@ def _missed(members: DataFrame, sets: DataFrame, root: DataFrame, percent: int)
     able = inside.join(own.select("node", "n").join(shared_, "node").filter(100 * F.col("shared") >= percent * F.col("n")), "node")
     able = store(able, "able")
     # a partner has at least percent % of this size, and no fewer shingles than the bucket's smallest
-    least = store(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("shared").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").drop("low", "high"), "least")
+    least = store(able.groupBy("bucket").agg(F.min("n").alias("least_n"), F.max("shared").alias("most"), F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("held")).filter("low < high").drop("low", "high"), "least")
     need = percent * (F.col("n") + F.greatest("least_n", F.col("n") * percent / 100))
-    hopeful = able.join(least, "bucket").filter((100 + percent) * F.least("shared", "most") >= need - 1).select("bucket", "node", "root", "n", "shared", "m")
+    hopeful = able.join(least, "bucket").filter((100 + percent) * F.least("shared", "most") >= need - 1).select("bucket", "node", "root", "n", "shared", "m", "held")
     sized = store(hopeful, "hopeful")
     few = sized.filter(F.col("m") <= FEW)
     a = few.select("bucket", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("shared").alias("sa"))
@@ -373,7 +355,10 @@ def tile_links(root: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndar
 
 
 def _between_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of components with a confirmed link, of the buckets of ``rows`` (bucket, node, root, n, m)."""
+    """Pairs (a, b) of components with a confirmed link, of the buckets of ``rows`` (bucket, node, root, n, m, held).
+
+    A bucket has as many blocks as its members or their shingles (held) need, so a task's memory is bounded by both.
+    """
 
     def run(tile: pa.Table) -> pa.Table:
         tile = tile.combine_chunks()
@@ -384,7 +369,7 @@ def _between_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame
         a, b = tile_links(root, n, np.flatnonzero(block == low), np.flatnonzero(block == high), owner, lists.flatten().to_numpy(), percent)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("int")
     own = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = own.select("bucket", "node", "root", "n", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     held = tiles.join(sets.select("node", "shingles"), "node")

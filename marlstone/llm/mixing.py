@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shielded, store
+from .common import keyed, scanned, shielded, store
 
 BLOCK, FRAME = 16, 1024
 #: Sources up to which the per-source tables are broadcast; beyond, Spark joins as it sees fit.
@@ -60,7 +60,7 @@ def frame_schedule(slots: DataFrame, frame: int) -> DataFrame:
     """(source, nth, in_frame, release, deadline): which slot of a frame each source's nth block gets."""
     one = slots.agg(F.expr("transform(array_sort(collect_list(struct(index, slots))), x -> x.slots)").alias("n")).filter("size(n) > 0")
     best = f"""array_min(transform(filter(sequence(0, size(n) - 1), i -> a.done[i] < n[i] AND a.done[i] * {frame} div n[i] <= t),
-        i -> ((a.done[i] + 1) * {frame} + n[i] - 1) div n[i] * 1000000 + i)) % 1000000"""
+        i -> named_struct('deadline', ((a.done[i] + 1) * {frame} + n[i] - 1) div n[i], 'i', CAST(i AS bigint)))).i"""
     fold = f"""aggregate(sequence(0, {frame - 1}), named_struct('done', array_repeat(0L, size(n)), 'picks', CAST(array() AS array<bigint>)),
         (a, t) -> transform(array({best}), p -> named_struct('done', transform(a.done, (d, i) -> IF(i = p, d + 1L, d)), 'picks', concat(a.picks, array(p))))[0]).picks"""
     picked = one.select(F.posexplode(F.expr(fold)).alias("in_frame", "index"))
@@ -75,10 +75,10 @@ def frame_schedule(slots: DataFrame, frame: int) -> DataFrame:
 def mix_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """Per row of ``docs``: row, doc_id, source, block, slot, release, deadline and mix_order.
 
-    mix_order is unique and sorts the rows into the mixed stream. row is the
-    monotonically_increasing_id of ``docs``, which therefore should be a scan.
+    mix_order is unique and sorts the rows into the mixed stream. row is the key
+    that ``keyed`` gives the row (of a copy of ``docs``, if that isn't a scan).
     """
-    light = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "source")
+    light = keyed(docs, "documents", "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), "source")
     order = ["source", "doc_id", "row"]
     placed = store(light.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "mixing")
     placed = placed.withColumn("part", F.shiftrightunsigned("place", 33)).withColumn("at", F.col("place").bitwiseAND((1 << 33) - 1))
@@ -111,6 +111,7 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BL
 @shielded
 def mix(docs: DataFrame, weights: DataFrame | None = None, block: int = BLOCK, frame: int = FRAME) -> DataFrame:
     """``docs``, all columns and rows, range-sorted into the mixed stream, so that files written from it follow it."""
+    docs = scanned(docs, "documents")
     order = mix_order(docs, weights, block, frame).select(F.col("row").alias("__mix_row"), F.col("mix_order").alias("__mix_order"))
-    joined = docs.withColumn("__mix_row", F.monotonically_increasing_id()).join(order, "__mix_row")
+    joined = keyed(docs, "documents", "__mix_row").join(order, "__mix_row")
     return joined.repartitionByRange("__mix_order").sortWithinPartitions("__mix_order").select(*[F.col(f"`{c}`") for c in docs.columns])
