@@ -10,8 +10,12 @@ from pyspark.sql import DataFrame
 
 
 def shared_path(spark, name: str) -> str:
-    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``; a temporary one only where that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "checkpoints")
+    """A fresh path in the folder that the cluster shares (``spark.checkpoint.dir``); where that is unset, a temporary one on a local master, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        base = os.path.join(tempfile.gettempdir(), "checkpoints")
     return f"{base.rstrip('/')}/marlstone/{name}-{uuid.uuid4().hex}"
 
 
