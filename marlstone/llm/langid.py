@@ -4,12 +4,17 @@ Counting and scoring run over Arrow batches in numpy. A text is lower-cased,
 runs of characters that are not letters become one word boundary, and the 1- to
 3-grams inside words (boundaries included at their ends) are hashed to
 ``BUCKETS`` columns. Counts of all learnable documents are summed by Spark; the
-log-probability matrix of languages by buckets is broadcast (its size is
-bounded: at most ``MAX_LANGS`` rows of ``BUCKETS`` float32).
+log-probability matrix of languages by buckets is broadcast, in blocks of at
+most ``BLOCK`` languages (64 MB of float32). Documents pass the blocks one after
+another and carry the best language so far along with the sum that the score
+needs, so any number of languages will do; after every ``CHAIN`` blocks the rows
+are written. The driver holds one block, and name and total of each language.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0.
-So is everything if there is nothing to learn from. Null lang rows are not
-learned from. Ties go to the language whose name sorts first. Input columns
+So is everything if there is nothing to learn from. Null lang rows, and in the
+query those without doc_id, are not learned from. Very long texts count with all
+their grams. Rows that repeat are learned from as often as they occur, and each
+is scored. An empty table gives no rows. Ties go to the language whose name sorts first. Input columns
 that bear an output's name are replaced by it.
 """
 
@@ -23,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shielded
+from .common import shielded, store
 
 ORDERS, BITS = (1, 2, 3), 16
-BUCKETS, MAX_LANGS = 1 << BITS, 512
+BUCKETS, BLOCK, CHAIN = 1 << BITS, 256, 4
 #: Grams that count as evidence at most: a long text is not surer than so many independent grams.
 EVIDENCE = 24.0
 PIECE = 1_500_000
@@ -94,28 +99,58 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Model:
+class Block:
+    """Languages, sorted, with their log-probabilities."""
+
     langs: list[str]
     log_prob: np.ndarray  # languages by buckets, float32
     log_prior: np.ndarray
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        names, scores = [], []
-        for _, part in pieces(texts):
-            if not self.langs:
-                names += ["und"] * len(part)
-                scores += [0.0] * len(part)
-                continue
+    def advance(self, texts: list[str | None], state: list[tuple]) -> list[tuple]:
+        """``state`` of each text after this block: language, its total and shown value, and of all shown values the top and the sum of exp(value - top)."""
+        out = []
+        for first, part in pieces(texts):
             doc, bucket, has = grams(part)
             size = np.maximum(np.bincount(doc, minlength=len(part)), 1)
             total = np.stack([np.bincount(doc, weights=row[bucket], minlength=len(part)) for row in self.log_prob], axis=1)
-            best = (total + self.log_prior).argmax(axis=1)
             shown = total / size[:, None] * np.minimum(size, EVIDENCE)[:, None] + self.log_prior
-            p = np.exp(shown - shown.max(axis=1, keepdims=True))
-            p = p[np.arange(len(part)), best] / p.sum(axis=1)
-            names += [self.langs[b] if h else "und" for b, h in zip(best.tolist(), has.tolist())]
-            scores += [x if h else 0.0 for x, h in zip(p.tolist(), has.tolist())]
-        return names, scores
+            total += self.log_prior
+            best = total.argmax(axis=1)
+            top = shown.max(axis=1)
+            sums = np.exp(shown - top[:, None]).sum(axis=1)
+            for k, (b, h) in enumerate(zip(best.tolist(), has.tolist())):
+                before = state[first + k]
+                if not h:
+                    out.append(before)
+                    continue
+                now = self.langs[b], float(total[k, b]), float(shown[k, b]), float(top[k]), float(sums[k])
+                if before[0] is not None:
+                    ahead = max(now[3], before[3])
+                    joint = now[4] * np.exp(now[3] - ahead) + before[4] * np.exp(before[3] - ahead)
+                    now = (*(now if now[1] > before[1] else before)[:3], ahead, float(joint))
+                out.append(now)
+        return out
+
+
+@dataclass
+class Model:
+    """Counts by language on disk, and of each language its name, grams and documents."""
+
+    totals: list[tuple[str, int, int]]
+    counts: DataFrame
+    alpha: float
+
+    def blocks(self) -> Iterator[Block]:
+        seen = sum(n for _, _, n in self.totals)
+        for first in range(0, len(self.totals), BLOCK):
+            part = self.totals[first : first + BLOCK]
+            rows = self.counts.filter(F.col("lang").between(part[0][0], part[-1][0])).toPandas()  # at most BLOCK x BUCKETS rows
+            number = {x: k for k, (x, _, _) in enumerate(part)}
+            whole = np.array([g for _, g, _ in part]) + self.alpha * BUCKETS
+            log_prob = np.broadcast_to(np.log(self.alpha / whole)[:, None], (len(part), BUCKETS)).astype(np.float32)
+            at = rows["lang"].map(number).to_numpy(int)
+            log_prob[at, rows["bucket"].to_numpy(int)] = np.log((rows["n"].to_numpy(float) + self.alpha) / whole[at])
+            yield Block([x for x, _, _ in part], log_prob, np.log(np.array([n for _, _, n in part]) / seen))
 
 
 def gram_counts(labelled: DataFrame) -> DataFrame:
@@ -128,48 +163,68 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
             for first, part in pieces(texts):
                 doc, bucket, _ = grams(part)
                 own = langs[first : first + len(part)]
-                names = sorted(set(own))
-                number = np.array([names.index(x) for x in own], np.int64)
-                grid = np.bincount(number[doc] * BUCKETS + bucket, minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
+                names = {x: k for k, x in enumerate(sorted(set(own)))}
+                number = np.array([names[x] for x in own], np.int64)
+                code, n = np.unique(number[doc] * BUCKETS + bucket, return_counts=True)
+                ends = np.searchsorted(code, np.arange(len(names) + 1) * BUCKETS)
                 seen = np.bincount(number, minlength=len(names))
-                for k, name in enumerate(names):
+                for name, k in names.items():
                     held = sums.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
-                    held[:-1] += grid[k]
+                    held[code[ends[k] : ends[k + 1]] - k * BUCKETS] += n[ends[k] : ends[k + 1]]
                     held[-1] += seen[k]
+                if len(sums) > 64:  # a worker holds half a megabyte for each language
+                    yield from flushed(sums)
+        yield from flushed(sums)
+
+    def flushed(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, held in sums.items():
             at = np.flatnonzero(held)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(np.where(at == BUCKETS, -1, at), pa.int32()), pa.array(held[at], pa.int64())], names=["lang", "bucket", "n"])
+        sums.clear()
 
     return labelled.select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
 def train(docs: DataFrame, learnable: Column, alpha: float = 0.5) -> Model:
     """Learns from all rows with lang and text for which ``learnable`` holds."""
-    rows = gram_counts(docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")).toPandas()
-    langs = sorted(rows["lang"].unique().tolist())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"{len(langs)} languages; the matrix is bounded to {MAX_LANGS}")
-    if not langs:
-        return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros(0))
-    grid = np.zeros((len(langs), BUCKETS + 1))
-    grid[rows["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(int), rows["bucket"].to_numpy(int)] = rows["n"].to_numpy(float)
-    counts, docs_seen = grid[:, :-1] + alpha, grid[:, -1]
-    return Model(langs, np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32), np.log(docs_seen / docs_seen.sum()))
+    counts = store(gram_counts(docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")), "grams")
+    of = lambda kept: F.coalesce(F.sum(F.when(kept, F.col("n"))), F.lit(0))
+    totals = counts.groupBy("lang").agg(of(F.col("bucket") >= 0).alias("grams"), of(F.col("bucket") < 0).alias("docs")).collect()  # a row per language
+    # in the order of Spark's strings, by which a block's rows are found again
+    return Model(sorted(((r["lang"], r["grams"], r["docs"]) for r in totals), key=lambda x: x[0].encode()), counts.filter("bucket >= 0"), alpha)
+
+
+STATE = "__lang string, __total double, __shown double, __top double, __sum double"
 
 
 def identify(docs: DataFrame, model: Model, carry: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """The columns ``carry`` of ``docs`` with the predicted language and its score, called ``names``."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
     own = [c for c in carry if c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col("text").alias("__scored"))
-    schema = source.select(*[F.col(f"`{c}`") for c in own]).schema.add(names[0], "string").add(names[1], "double")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    state = [x.split() for x in STATE.split(", ")]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"c {k}") for k, c in enumerate(own)], F.col("text").cast("string").alias("__text"), *[F.lit(None).cast(kind).alias(x) for x, kind in state])
+    schema = rows.schema
+    context = docs.sparkSession.sparkContext
+    for number, block in enumerate(model.blocks()):
+        if number and number % CHAIN == 0:
+            rows = store(rows, "scored")
+        rows = rows.mapInArrow(_advance(context.broadcast(block)), schema)
+    score = F.when(F.col("__lang").isNotNull(), F.exp(F.col("__shown") - F.col("__top")) / F.col("__sum")).otherwise(0.0)
+    return rows.select(*[F.col(f"c {k}").alias(c) for k, c in enumerate(own)], F.coalesce("__lang", F.lit("und")).alias(names[0]), score.alias(names[1]))
+
+
+def _advance(held):
+    """A step over Arrow batches whose last columns are the text and its state."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), *[pa.float64()] * 4]
         for batch in batches:
-            found, scores = held.value.predict(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], *names])
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                state = held.value.advance(part.column(part.num_columns - 6).to_pylist(), list(zip(*(c.to_pylist() for c in part.columns[-5:]))))
+                columns = [pa.array(c, k) for c, k in zip(zip(*state), kinds)] if state else part.columns[-5:]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-5], *columns], names=part.schema.names)
 
-    return source.mapInArrow(score, schema)
+    return step
 
 
 @shielded

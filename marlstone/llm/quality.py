@@ -1,16 +1,18 @@
 """Quality classifier: histogram gradient-boosted trees over document statistics.
 
 ``statistics`` turns whole texts into ``FEATURES`` numbers. Trees are grown on
-the driver from a bounded sample of labelled rows: at most ``SAMPLE`` of them
-(all, where there are fewer), chosen by a hash of doc_id, so the bound does not
-grow with the corpus. Each tree is a complete binary tree in one array (children
+the driver from a bounded sample of labelled rows: about ``SAMPLE`` of them (all,
+where there are fewer; the share is exact, the number varies by its root), each
+chosen by a hash of the row alone. So the sample doesn't grow with the corpus,
+and it is the same however the rows are dealt out. Each tree is a complete binary tree in one array (children
 of node i at 2i+1 and 2i+2), and scoring walks all trees for a batch of rows
 with one numpy gather per level.
 
 Defined results: null text counts as empty and is scored like any other. With
 no label to learn from every score is 0.5; with one class alone it is near that
 class's share. Rows with null quality are not learned from; a doc_id with
-several labels gives a row for each.
+several labels gives a row for each, and rows that are alike in id, label and
+statistics are learned from once.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out
+from .common import held_out, store
 
 SAMPLE = 20_000
 FEATURES = (
@@ -148,13 +150,22 @@ def document_statistics(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, stats array<float>")
 
 
+def _sampled(rows: DataFrame, n: int, bound: int, salt: int) -> DataFrame:
+    """A share bound / n of distinct rows, by a hash of all their columns."""
+    if n <= bound:
+        return rows
+    return rows.filter(F.pmod(F.xxhash64(F.lit(salt), *rows.columns), F.lit(1 << 31)) < int((1 << 31) * bound / n))
+
+
 def train(stats: DataFrame, labels: DataFrame, bound: int = SAMPLE) -> Trees:
     """Trees from at most about ``bound`` labelled, not held-out rows of ``stats`` (doc_id, stats)."""
-    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("quality"))
-    n = known.count()
-    if n > bound:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * bound / n)).limit(2 * bound)
-    rows = stats.join(known, "doc_id").select("doc_id", "stats", "quality").limit(4 * bound).toPandas().sort_values(["doc_id", "quality"], kind="stable")
+    known = labels.filter("quality is not null and doc_id is not null").filter(~held_out()).select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("quality")).distinct()
+    known = _sampled(known, known.count(), bound, 1)
+    # about ``bound`` rows, unless ids repeat in stats
+    rows = store(stats.join(known, "doc_id").select("doc_id", "stats", "quality").distinct(), "labelled")
+    rows = _sampled(rows, rows.count(), bound, 2).toPandas()
+    rows["order"] = rows["stats"].map(tuple)
+    rows = rows.sort_values(["doc_id", "quality", "order"], kind="stable")
     x = np.array(rows["stats"].tolist(), np.float32).reshape(len(rows), len(FEATURES))
     return grow(x, (rows["quality"].to_numpy(float) > 0).astype(float))
 

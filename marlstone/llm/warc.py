@@ -13,11 +13,15 @@ payload do no harm and a task holds one record, not one file.
 ``assemble`` joins request, response (or revisit) and metadata records through
 WARC-Concurrent-To and gives one nested row per capture. A capture's request and
 metadata are those with the smallest record id; n_requests and n_metadata count
-all that are there, and ``surplus`` returns the rest as rows of their own.
+all that are there, and ``surplus`` returns the rest as rows of their own. A
+record may name several captures and then belongs to each. Digests and lengths
+are those of the payload as it was read; a revisit, which has none, takes those
+of the response it refers to.
 
 Defined results: a null payload is an empty one. Of captures with equal payloads
 the one with the smallest page_id (null ids last, then the first row) is the
-response. Repeated rows are captures of their own. Records without a capture
+response. A revisit of a response that isn't there has null digest and length.
+An empty table gives archives without records. Repeated rows are captures of their own. Records without a capture
 don't appear in ``assemble`` but in ``surplus``. Other columns are ignored.
 """
 
@@ -31,11 +35,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, store
+from .common import keyed, scanned, scratch, store
 
 BREAK = "\r\n"
 END = BREAK * 2
-RECORD = "record_id string, type string, concurrent_to string, refers_to string, uri string, payload_digest string, digest_ok boolean, payload_length long, declared_length long, fields map<string,string>, payload binary"
+RECORD = "record_id string, type string, concurrent_to array<string>, refers_to string, uri string, declared_digest string, payload_digest string, payload_length long, declared_length long, fields map<string,string>, payload binary"
 
 
 def base32_sha1(payload: Column) -> Column:
@@ -64,23 +68,25 @@ def write_captures(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least_r
     Payloads of at least ``least_revisit`` bytes that equal an earlier one are
     written as revisit records, which have its headers but no payload.
     """
-    rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")
+    rows = keyed(scanned(pages, "pages"), "pages", "row").select(
+        "row", F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")
     ).withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
-    # light rows only: digests that occur more than once, with the capture that keeps the payload
+    # digests that occur more than once, with the capture that keeps the payload; a third of all rows may have one of them
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row")
-    firsts = store(rows.filter(F.col("size") >= least_revisit).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")), "firsts")
-    known = rows.join(firsts, "digest", "left")
+    firsts = rows.filter(F.col("size") >= least_revisit).groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"))
+    firsts = store(firsts.filter("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row").alias("first_row")), "firsts")
+    known = rows.join(firsts, "digest", "left")  # small ones are broadcast by their size; otherwise a hot digest's rows are split
     is_revisit = F.coalesce(F.col("first_row") != F.col("row"), F.lit(False)) & (F.col("size") >= least_revisit)
     url = F.regexp_replace("url", r"[\x00-\x20]", "%20")
-    text_row = F.col("row").cast("string")
+    text_row = F.concat_ws("#", "row.file", F.col("row.at").cast("string"))
+    first_row = F.concat_ws("#", "first_row.file", F.col("first_row.at").cast("string"))
     main, request, meta = (_urn(F.lit(k), text_row, "digest") for k in ("response", "request", "metadata"))
     target = [("WARC-Target-URI", F.when(url != "", url)), ("WARC-Date", F.lit(date))]
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{BREAK}Content-Type: text/html; charset=utf-8{BREAK}Content-Length: "), F.col("size").cast("string"), F.lit(END))
     digest = [("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest")))]
     profile = [
         ("WARC-Profile", F.when(is_revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        ("WARC-Refers-To", F.when(is_revisit, _urn(F.lit("response"), F.col("first_row").cast("string"), "digest"))),
+        ("WARC-Refers-To", F.when(is_revisit, _urn(F.lit("response"), first_row, "digest"))),
     ]
     kind = F.when(is_revisit, "revisit").otherwise("response")
     path = F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/]*(/.*)$", 1)
@@ -97,26 +103,27 @@ def write_captures(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least_r
     return path_out
 
 
-def _headers(block: bytes) -> dict[str, str]:
+def _headers(block: bytes) -> list[tuple[str, str]]:
+    """(name, value) of all header lines in their order, names in lower case; a name may occur again."""
     lines = block.decode("utf-8", "replace").split(BREAK)
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
+    return [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines) if k]
 
 
 def _parse(head: bytes, block: bytes, keep: bool) -> tuple:
-    h = _headers(head.partition(b"\r\n")[2])
+    named = _headers(head.partition(b"\r\n")[2])
+    h = dict(named)
     kind = h.get("warc-type", "")
+    beside = [v for k, v in named if k == "warc-concurrent-to"] or None
     declared, fields, payload = None, {}, block
     if "application/http" in h.get("content-type", ""):
         top, _, payload = block.partition(b"\r\n\r\n")
-        fields = _headers(top.partition(b"\r\n")[2])
+        fields = dict(_headers(top.partition(b"\r\n")[2]))
         declared = int(fields["content-length"]) if fields.get("content-length", "").isdigit() else None
     elif h.get("content-type", "").startswith("application/warc-fields"):
-        fields = _headers(block)
-    digest = h.get("warc-payload-digest", "").rpartition(":")[2] or None
-    ok = None
-    if digest and kind == "response":
-        ok = base64.b32encode(hashlib.sha1(payload).digest()).decode() == digest
-    return h.get("warc-record-id"), kind, h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, ok, len(payload), declared, list(fields.items()), payload if keep else None
+        fields = dict(_headers(block))
+    stated = h.get("warc-payload-digest", "").rpartition(":")[2] or None
+    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else None
+    return h.get("warc-record-id"), kind, beside, h.get("warc-refers-to"), h.get("warc-target-uri"), stated, digest, len(payload), declared, list(fields.items()), payload if keep else None
 
 
 def records_of(chunks: Iterator[tuple[str, bytes]], keep: bool = True) -> Iterator[tuple]:
@@ -131,7 +138,7 @@ def records_of(chunks: Iterator[tuple[str, bytes]], keep: bool = True) -> Iterat
             if not start.startswith(b"WARC/"):
                 continue
             head = start
-            size = _headers(head.partition(b"\r\n")[2]).get("content-length", "0")
+            size = dict(_headers(head.partition(b"\r\n")[2])).get("content-length", "0")
             need, body = int(size) if size.isdigit() else 0, []
             if need == 0:
                 yield _parse(head, b"", keep)
@@ -156,7 +163,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.replace("map<string,string>", "map").split(", ")]
-        kinds = (*[pa.string()] * 6, pa.bool_(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary())
+        kinds = (pa.string(), pa.string(), pa.list_(pa.string()), *[pa.string()] * 4, pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string()), pa.binary())
 
         def chunks():
             for batch in batches:
@@ -182,23 +189,33 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response, request, metadata and the counts of the latter two."""
+    """One nested row per capture: response, request, metadata and the counts of the latter two.
+
+    response has payload_digest and payload_length of the payload that was read
+    (a revisit's are those of the response it refers to), and digest_ok: whether
+    the header states the same digest.
+    """
     main = records.filter("type in ('response', 'revisit')")
-    out = main.select(F.col("record_id").alias("capture_id"), "uri", F.struct("record_id", "type", "refers_to", "payload_digest", "digest_ok", F.coalesce(F.when(F.col("type") == "revisit", F.col("declared_length")), F.col("payload_length")).alias("payload_length"), "payload").alias("response"))
+    whole = main.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("payload_digest").alias("r_digest"), F.col("payload_length").alias("r_length"))
+    known = main.filter("type = 'revisit'").join(whole.hint("merge"), "refers_to", "left")  # a row per record: a merge at every size; a hot response's revisits are split
+    known = known.withColumn("payload_digest", F.col("r_digest")).withColumn("payload_length", F.col("r_length")).select(*records.columns)
+    main = main.filter("type = 'response'").select(*records.columns).unionByName(known)
+    same = F.col("declared_digest") == F.col("payload_digest")
+    out = main.select(F.col("record_id").alias("capture_id"), "uri", F.struct("record_id", "type", "refers_to", "payload_digest", same.alias("digest_ok"), "payload_length", "payload").alias("response"))
     for kind, count in (("request", "n_requests"), ("metadata", "n_metadata")):
-        own = records.filter((F.col("type") == kind) & F.col("concurrent_to").isNotNull())
-        one = own.groupBy(F.col("concurrent_to").alias("capture_id")).agg(F.min_by(F.struct("record_id", "fields"), "record_id").alias(kind), F.count(F.lit(1)).alias(count))
+        own = records.filter(F.col("type") == kind).select("record_id", "fields", F.explode(F.array_distinct("concurrent_to")).alias("capture_id"))
+        one = own.groupBy("capture_id").agg(F.min_by(F.struct("record_id", "fields"), "record_id").alias(kind), F.count(F.lit(1)).alias(count))
         out = out.join(one, "capture_id", "left").withColumn(count, F.coalesce(count, F.lit(0).cast("long")))
     return out
 
 
 def surplus(records: DataFrame) -> DataFrame:
     """Requests and metadata that ``assemble`` doesn't show: further ones of a capture, and those of none."""
-    main = records.filter("type in ('response', 'revisit')").select(F.col("record_id").alias("concurrent_to"), F.lit(True).alias("known"))
+    main = records.filter("type in ('response', 'revisit')").select(F.col("record_id").alias("capture_id"), F.lit(True).alias("known"))
     rest = records.filter("type in ('request', 'metadata')")
-    first = rest.filter("concurrent_to is not null").groupBy("concurrent_to", "type").agg(F.min("record_id").alias("first"))
-    joined = rest.join(main, "concurrent_to", "left").join(first, ["concurrent_to", "type"], "left")
-    return joined.filter("known is null or record_id <> first").select(*records.columns)
+    at = rest.select("record_id", "type", F.explode(F.array_distinct("concurrent_to")).alias("capture_id")).join(main, "capture_id")
+    shown = at.groupBy("capture_id", "type").agg(F.min("record_id").alias("record_id")).select("record_id", "type").distinct()
+    return rest.join(shown, ["record_id", "type"], "left_anti").select(*records.columns)
 
 
 def capture_digests(captures: DataFrame) -> DataFrame:
