@@ -10,12 +10,20 @@ the same for all texts, four bits a symbol. Likeness is the share of equal
 samples, octaves weighted by their length, that is an estimate of the share of
 equal symbols over the longer of the two walks.
 
-Near pairs come from bit-sampled banding of the fingerprint's symbols and are
-verified by likeness, by stars and then exactly within buckets.
+Near texts come from bit-sampled banding of the fingerprint's symbols and are
+verified by likeness, by stars and then exactly within buckets; ``near_classes``
+joins what is linked. A band holds ``SYMBOLS`` symbols, so texts of likeness 0.9
+share one of 16 bands with a probability of 0.96, unlike ones (0.3) with 2e-7.
+
+The random bits repeat after ``PERIOD`` steps, and characters are folded to 255
+symbols; both only make unlike texts seem a little more alike.
 
 Defined results: null and empty texts have the empty fingerprint; two empty
-fingerprints have likeness 1, an empty and another one 0. Equal texts have
-equal fingerprints on every machine. Repeated rows and ids stay separate rows.
+fingerprints have likeness 1, an empty and another one 0; they are in no class
+with others. Equal texts have equal fingerprints on every machine. Repeated rows
+and ids stay separate rows, in the order of ids, then of a hash of the text. Very
+long texts are read to their end. An empty table gives no rows; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +32,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import store
+from .common import scanned, store
 from .minhash import BLOCK, components
 
 SAMPLES, PERIOD, PAD = 32, 8191, 255
+BANDS, SYMBOLS = 16, 16
 HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 #: Below so many live walks a loop over single steps costs less than a numpy step over all.
 FEW = 48
@@ -123,20 +134,40 @@ def fingerprints(texts: list[str]) -> list[str]:
 _WEIGHTS: np.ndarray | None = None
 
 
+def _weights() -> np.ndarray:
+    """The steps of an octave that a sample stands for."""
+    global _WEIGHTS
+    if _WEIGHTS is None:
+        steps = np.array(shared_walk().steps)
+        octave = np.maximum(np.floor(np.log2(np.maximum(steps, 1))), 1).astype(int)
+        _WEIGHTS = 2.0**octave / np.bincount(octave)[octave]
+    return _WEIGHTS
+
+
 def likeness(a: str, b: str) -> float:
     """Estimated share of equal symbols over the longer walk, from 0 to 1."""
-    global _WEIGHTS
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    if _WEIGHTS is None:
-        steps = np.array(shared_walk().steps)
-        octave = np.maximum(np.floor(np.log2(np.maximum(steps, 1))), 1).astype(int)
-        _WEIGHTS = 2.0 ** octave / np.bincount(octave)[octave]
+    weights = _weights()
     n, m = min(len(a), len(b)), max(len(a), len(b))
     same = np.frombuffer(a[:n].encode(), np.uint8) == np.frombuffer(b[:n].encode(), np.uint8)
-    return float(_WEIGHTS[:n][same].sum() / _WEIGHTS[:m].sum())
+    return float(weights[:n][same].sum() / weights[:m].sum())
+
+
+def likeness_grid(left: list[str], right: list[str]) -> np.ndarray:
+    """``likeness`` of each of ``left`` with each of ``right``."""
+    weights = _weights()
+    width = max(map(len, [*left, *right]), default=0)
+    sizes = [np.array([len(x) for x in side]) for side in (left, right)]
+    # unlike fillers behind the ends of both sides are equal to nothing
+    codes = [np.frombuffer("".join(x.ljust(width, fill) for x in side).encode(), np.uint8).reshape(len(side), width) for side, fill in ((left, "x"), (right, "y"))]
+    whole = np.concatenate([[0.0], np.cumsum(weights[:width])])
+    out = np.empty((len(left), len(right)))
+    for k, row in enumerate(codes[0]):
+        out[k] = (codes[1] == row) @ weights[:width] / np.maximum(whole[np.maximum(sizes[1], sizes[0][k])], 1e-12)
+    return out
 
 
 def edited(text: str, following: str) -> str:
@@ -145,38 +176,196 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Rows (part, doc_id, ghost, text) so that in each part, by (doc_id, text), every row's successor follows.
+PRINT = "doc_id long, k1 long, k2 long, fingerprint string, bands array<long>"
+
+
+def band_keys(fingerprint: str, bands: int = BANDS, symbols: int = SYMBOLS) -> list[int]:
+    """Bucket numbers of a fingerprint.
+
+    A band samples ``symbols`` symbols of the last octaves, at places that all
+    fingerprints of like length have; near the end of an octave the places of the
+    following one count as well, since a near text may reach into it.
+    """
+    n = len(fingerprint)
+    code = np.frombuffer(fingerprint.encode(), np.uint8)
+    keys = []
+    for top in sorted({n // SAMPLES, (n + EDGE) // SAMPLES}):
+        for band, at in enumerate(_places(top, bands, symbols)):
+            keys.append(xxhash.xxh64_intdigest(code[at].tobytes(), top * bands + band) - (1 << 63))
+    return keys
+
+
+#: Samples by which the fingerprints of near texts may differ in length: a tenth of an octave's walk and a bit.
+EDGE = 5
+_PLACES: dict[tuple[int, int, int], np.ndarray] = {}
+
+
+def _places(top: int, bands: int, symbols: int) -> np.ndarray:
+    """Places of the samples of each band for fingerprints that end in octave ``top``; later ones, which stand for more steps, are likelier."""
+    if (top, bands, symbols) not in _PLACES:
+        high = max(1, top * SAMPLES - EDGE)
+        weights = _weights()[:high]
+        pick = np.random.Generator(np.random.PCG64(top))
+        _PLACES[top, bands, symbols] = pick.choice(high, (bands, symbols), p=weights / weights.sum())
+    return _PLACES[top, bands, symbols]
+
+
+def print_documents(docs: DataFrame, bands: int = BANDS, symbols: int = SYMBOLS) -> DataFrame:
+    """Per row of ``docs`` its fingerprint, 128 bits that name it, and its buckets; empty fingerprints have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch, 1):
+                prints = fingerprints([t or "" for t in part.column(1).to_pylist()])
+                names = [xxhash.xxh128_digest(p) for p in prints]
+                halves = [np.array([int.from_bytes(x[k : k + 8], "little", signed=True) for x in names], np.int64) for k in (0, 8)]
+                buckets = [band_keys(p, bands, symbols) if p else [] for p in prints]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, halves), pa.array(prints, pa.string()), pa.array(buckets, pa.list_(pa.int64()))], names=["doc_id", "k1", "k2", "fingerprint", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PRINT)
+
+
+def _slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes of a text column."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0)
+    first = held = 0
+    for k, n in enumerate(lengths.to_pylist()):
+        held += n
+        if held >= size or k + 1 == batch.num_rows:
+            yield batch.slice(first, k + 1 - first)
+            first, held = k + 1, 0
+
+
+def near_links(prints: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Classes (node, k1, k2, rep, rows, fingerprint) of equal fingerprints, and links (x, y, likeness) between their nodes.
+
+    The links join all classes of near texts which share a bucket: in a bucket
+    every class first meets the smallest one. What such a star misses is found
+    exactly: buckets whose classes aren't in one component by then are compared
+    block by block, and a tile gives a link for each two components.
+    """
+    classes = prints.filter("fingerprint <> ''").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows"), F.first("fingerprint").alias("fingerprint"), F.first("bands").alias("bands"))
+    classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    named = classes.select("node", "fingerprint")
+
+    @F.pandas_udf("double")
+    def alike(left, right):
+        import pandas as pd
+
+        return pd.Series([likeness(a, b) for a, b in zip(left, right)])
+
+    def tile(frame):
+        import pandas as pd
+
+        low, high = frame["i"].iloc[0], frame["j"].iloc[0]
+        left, right = (frame[frame["block"] == k] for k in (low, high))
+        like = likeness_grid(left["fingerprint"].tolist(), right["fingerprint"].tolist())
+        ra, rb = left["root"].to_numpy(), right["root"].to_numpy()
+        x, y = np.nonzero((like >= threshold) & (ra[:, None] != rb[None, :]))
+        both = np.stack([np.minimum(ra[x], rb[y]), np.maximum(ra[x], rb[y])])
+        _, one = np.unique(both, axis=1, return_index=True)
+        a, b = left["node"].to_numpy()[x[one]], right["node"].to_numpy()[y[one]]
+        return pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b), "likeness": like[x[one], y[one]]}).astype({"x": "int64", "y": "int64", "likeness": "float64"})
+
+    rows = classes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
+    hubs = store(rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "hubs")
+    members = store(rows.join(hubs, "bucket"), "members")
+    pairs = members.filter("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
+    ends = lambda c: named.select(F.col("node").alias(c), F.col("fingerprint").alias(f"{c}_print"))
+    stars = pairs.join(ends("x"), "x").join(ends("y"), "y").select("x", "y", alike("x_print", "y_print").alias("likeness"))
+    stars = store(stars.filter(F.col("likeness") >= threshold), "stars")
+    root = store(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
+    placed = store(members.join(root, "node", "left").select("bucket", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
+    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    tiles = own.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    missed = tiles.join(named, "node").groupBy("bucket", "i", "j").applyInPandas(tile, "x long, y long, likeness double")
+    return classes, stars.unionByName(missed).dropDuplicates(["x", "y"])
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.9, bands: int = BANDS, symbols: int = SYMBOLS) -> DataFrame:
+    """The links of ``near_links`` as (a, b, likeness), each class named by its smallest doc_id, or by null where it has no other."""
+    classes, links = near_links(store(print_documents(docs, bands, symbols), "prints"), threshold)
+    named = links.join(classes.select(F.col("node").alias("x"), F.col("rep").alias("x_rep")), "x").join(classes.select(F.col("node").alias("y"), F.col("rep").alias("y_rep")), "y")
+    swap = F.col("x_rep").isNull() | (F.col("y_rep") < F.col("x_rep"))  # the smaller id first, null last
+    return named.select(F.when(swap, F.col("y_rep")).otherwise(F.col("x_rep")).alias("a"), F.when(swap, F.col("x_rep")).otherwise(F.col("y_rep")).alias("b"), "likeness")
+
+
+def near_classes(docs: DataFrame, threshold: float = 0.9, bands: int = BANDS, symbols: int = SYMBOLS) -> DataFrame:
+    """(doc_id, k1, k2, near_class) of the rows that aren't alone: near_class is the smallest doc_id that links lead to."""
+    prints = store(print_documents(docs, bands, symbols), "prints")
+    classes, links = near_links(prints, threshold)
+    root = store(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classed")
+    light = classes.select("node", "k1", "k2", "rep", "rows").join(root, "node", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "node"))
+    light = store(light.filter("linked or rows > 1"), "light")
+    firsts = light.groupBy("root").agg(F.min("rep").alias("near_class"))
+    return prints.select("doc_id", "k1", "k2").join(light.join(firsts, "root").select("k1", "k2", "near_class"), ["k1", "k2"]).distinct()
+
+
+PLACED = "part long, ghost boolean, doc_id long, kind int, order long, body binary, k1 long, k2 long, near_class long"
+
+
+def with_next(docs: DataFrame, beside: DataFrame | None = None, partitions: int | None = None) -> DataFrame:
+    """Rows so that in each part, by (doc_id, order), every row's successor follows; their text is compressed for the way.
 
     doc_id is cut into ranges at ids that occur in it. The first row of each
     range also goes, as a ghost, to the end of the range before; the very first
     to the last range. A range therefore needs nothing from another one, and no
-    task sees all rows. Null ids come first.
+    task sees all rows. Null ids come first. ``beside`` (doc_id, k1, k2,
+    near_class) goes to the same ranges, before the rows of its ids (kind 0).
     """
+    import zstandard
+
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = 4 * parts  # several to a task, so that tasks are alike
     cuts = rows.agg(F.percentile_approx("doc_id", [(k + 1) / ranges for k in range(ranges)], 20 * ranges).alias("cut"), F.min("doc_id").alias("low"), F.max(F.col("doc_id").isNull()).alias("nulls")).first()
-    low = cuts["low"]
-    bounds = sorted({c for c in cuts["cut"] or [] if c is not None and c > low} | ({low} if cuts["nulls"] and low is not None else set()))
-    edges = F.lit(bounds).cast("array<bigint>")
-    part = F.when(F.col("doc_id").isNull(), 0).otherwise(F.size(F.filter(edges, lambda c: c <= F.col("doc_id")))) if bounds else F.lit(0)
-    first = F.col("doc_id").isNull() if cuts["nulls"] else F.col("doc_id").eqNullSafe(F.lit(low))
-    ghost = F.when(first, F.lit(len(bounds))).when(F.col("doc_id").isin(bounds), part - 1) if bounds else F.when(first, F.lit(0))
-    places = F.when(ghost.isNotNull(), F.array(F.struct(part.alias("part"), F.lit(False).alias("ghost")), F.struct(ghost.alias("part"), F.lit(True).alias("ghost")))).otherwise(F.array(F.struct(part.alias("part"), F.lit(False).alias("ghost"))))
-    return rows.select(F.explode(places).alias("at"), "doc_id", "text").select("at.part", "at.ghost", "doc_id", "text").repartition(parts, "part").sortWithinPartitions("part", "ghost", "doc_id", "text")
-
+    low, nulls = cuts["low"], bool(cuts["nulls"])
+    bounds = sorted({c for c in cuts["cut"] or [] if c is not None and c > low} | ({low} if nulls and low is not None else set()))
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def edit_report(docs: DataFrame, batch_chars: int = 24_000_000) -> DataFrame:
-    """Per row: fingerprints of its text and of its text edited with the next one, and how alike they are."""
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges, press = np.array(bounds, np.int64), zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            ids = batch.column(0)
+            none = ids.is_null().to_numpy(zero_copy_only=False)
+            value = ids.fill_null(0).to_numpy()
+            part = np.where(none, 0, np.searchsorted(edges, value, side="right")).astype(np.int64)
+            text = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            first = none if nulls else ~none & (value == low)
+            starts = ~none & np.isin(value, edges) & ~first
+            ghost = np.flatnonzero(text & (first | starts))
+            source = np.concatenate([np.arange(batch.num_rows), ghost])
+            to = np.concatenate([part, np.where(first[ghost], len(edges), part[ghost] - 1)])
+            flag = np.arange(len(source)) >= batch.num_rows
+            body = batch.column(1).to_pylist()
+            body = [None if b is None else press.compress(b.encode()) for b in body]
+            taken = lambda k: batch.column(k).take(pa.array(source))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to), pa.array(flag), taken(0), pa.array(text[source].astype(np.int32)), taken(2), pa.array([body[k] for k in source.tolist()], pa.binary()), taken(3), taken(4), taken(5)],
+                names=[x.split()[0] for x in PLACED.split(", ")],
+            )
+
+    empty = [F.lit(None).cast("long").alias(c) for c in ("k1", "k2", "near_class")]
+    sent = rows.select("doc_id", "text", F.xxhash64("text").alias("order"), *empty)
+    if beside is not None:
+        sent = sent.unionByName(beside.select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(0).cast("long").alias("order"), "k1", "k2", "near_class"))
+    return sent.mapInArrow(place, PLACED).repartition(parts, "part").sortWithinPartitions("part", "ghost", "doc_id", "kind", "order")
+
+
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long"
+
+
+def edit_report(docs: DataFrame, batch_chars: int = 24_000_000, threshold: float = 0.9) -> DataFrame:
+    """Per row: fingerprints of its text and of its text edited with the next one, how alike they are, and its class of near texts.
+
+    near_class is the smallest doc_id of the class that ``near_classes`` gives the row; its own if it is alone.
+    """
     import hashlib
 
-    def close(rows: list[tuple], last: bool) -> pa.RecordBatch:
-        """Rows whose successor is the next in the list; the last row is there as a successor alone."""
+    def close(rows: list[tuple], known: dict) -> pa.RecordBatch:
+        """Rows (part, ghost, doc_id, text) whose successor is the next in the list; the last row is there as a successor alone."""
         texts = [r[3] for r in rows]
         changed = [edited(a, b) for a, b in zip(texts, texts[1:])]
         prints = fingerprints(texts + changed)
@@ -190,104 +379,31 @@ def edit_report(docs: DataFrame, batch_chars: int = 24_000_000) -> DataFrame:
             pa.array([other[k] for k in keep], pa.string()),
             pa.array([likeness(own[k], other[k]) for k in keep], pa.float64()),
             pa.array([likeness(own[k], own[k + 1]) for k in keep], pa.float64()),
+            pa.array([known.get((rows[k][2], xxhash.xxh128_digest(own[k])), rows[k][2]) for k in keep], pa.int64()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in RESULT.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpress = zstandard.ZstdDecompressor()
         held: list[tuple] = []
+        known: dict = {}
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                held.append(row)
-                size += len(row[3])
+            for part, ghost, doc_id, kind, _, body, k1, k2, near in zip(*(c.to_pylist() for c in batch.columns)):
+                if kind == 0:
+                    known[doc_id, k1.to_bytes(8, "little", signed=True) + k2.to_bytes(8, "little", signed=True)] = near
+                    continue
+                held.append((part, ghost, doc_id, unpress.decompress(body).decode()))
+                size += len(held[-1][3])
                 if size >= batch_chars and len(held) > 1:
-                    yield close(held, False)
-                    held, size = held[-1:], len(row[3])
+                    yield close(held, known)
+                    last = held[-1][2]
+                    known = {k: v for k, v in known.items() if k[0] == last}
+                    held, size = held[-1:], len(held[-1][3])
         if len(held) > 1:
-            yield close(held, True)
-
-    return with_next(docs).mapInArrow(run, RESULT)
-
-
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with the string column ``fingerprint`` in place of ``text``."""
-    keep = [c for c in docs.columns if c not in ("text", "fingerprint")]
-
-    @F.pandas_udf("string")
-    def of(column):
-        import pandas as pd
-
-        return pd.Series(fingerprints(column.tolist()))
-
-    return docs.select(*keep, of(F.coalesce("text", F.lit(""))).alias("fingerprint"))
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 24, symbols: int = 6) -> DataFrame:
-    """Links (a, b, likeness) that join all classes of near texts which share a bucket.
+            yield close(held, known)
 
-    Equal fingerprints are one class, named by its smallest doc_id, or by null
-    where it has no other. A band samples ``symbols`` symbols from the top octaves
-    that walks of like length share, at places that all of them have. In a bucket
-    every class first meets the bucket's smallest class. What such a star misses
-    is found exactly: buckets whose classes aren't in one component by then are
-    compared block by block, and a tile gives a link for each two components.
-    """
-    classes = fingerprint_documents(docs.select("doc_id", "text")).groupBy("fingerprint").agg(F.min("doc_id").cast("long").alias("rep"))
-    classes = store(classes.filter("fingerprint <> ''").withColumn("node", F.monotonically_increasing_id()), "prints")
-
-    @F.pandas_udf("array<long>")
-    def buckets(column):
-        import pandas as pd
-        import xxhash
-
-        out = []
-        for p in column:
-            keys = []
-            for top in sorted({len(p) // SAMPLES, (len(p) + SAMPLES // 2) // SAMPLES}):
-                pick = np.random.Generator(np.random.PCG64(top))
-                # walks that are rounded up to ``top`` end half an octave before it
-                low, high = max(0, (top - 3) * SAMPLES), max(1, top * SAMPLES - SAMPLES // 2)
-                for band in range(bands):
-                    at = pick.integers(low, high, symbols)
-                    keys.append(xxhash.xxh64_intdigest(f"{top}:{band}:" + "".join(p[i] for i in at)) - (1 << 63))
-            out.append(keys)
-        return pd.Series(out)
-
-    @F.pandas_udf("double")
-    def alike(left, right):
-        import pandas as pd
-
-        return pd.Series([likeness(a, b) for a, b in zip(left, right)])
-
-    def tile(frame):
-        import pandas as pd
-
-        low, high, seen = frame["i"].iloc[0], frame["j"].iloc[0], {}
-        columns = ["node", "root", "fingerprint"]
-        left, right = (list(frame.loc[frame["block"] == k, columns].itertuples(index=False, name=None)) for k in (low, high))
-        for a, ra, p in left:
-            for b, rb, q in right:
-                key = (min(ra, rb), max(ra, rb))
-                if ra != rb and key not in seen and (like := likeness(p, q)) >= threshold:
-                    seen[key] = (min(a, b), max(a, b), like)
-        return pd.DataFrame(list(seen.values()), columns=["x", "y", "likeness"]).astype({"x": "int64", "y": "int64", "likeness": "float64"})
-
-    rows = store(classes.select("node", F.explode(F.array_distinct(buckets("fingerprint"))).alias("bucket")), "buckets")
-    first = F.struct(F.col("rep").isNull(), "rep", "node")
-    hubs = rows.join(classes.select("node", "rep"), "node").groupBy("bucket").agg(F.min_by("node", first).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = store(rows.join(hubs, "bucket"), "members")
-    pairs = members.filter("node <> hub").select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y")).distinct()
-    left = classes.select(F.col("node").alias("x"), F.col("rep").alias("x_rep"), F.col("fingerprint").alias("x_print"))
-    right = classes.select(F.col("node").alias("y"), F.col("rep").alias("y_rep"), F.col("fingerprint").alias("y_print"))
-    stars = store(pairs.join(left, "x").join(right, "y").select("x", "y", alike("x_print", "y_print").alias("likeness")).filter(F.col("likeness") >= threshold), "stars")
-    root = store(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
-    placed = store(members.join(root, "node", "left").select("bucket", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
-    open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    tiles = own.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    missed = tiles.join(classes.select("node", "fingerprint"), "node").groupBy("bucket", "i", "j").applyInPandas(tile, "x long, y long, likeness double")
-    found = stars.unionByName(missed).dropDuplicates(["x", "y"])
-    named = found.join(left.drop("x_print"), "x").join(right.drop("y_print"), "y")
-    swap = F.col("x_rep").isNull() | (F.col("y_rep") < F.col("x_rep"))  # the smaller id first, null last
-    return named.select(F.when(swap, F.col("y_rep")).otherwise(F.col("x_rep")).alias("a"), F.when(swap, F.col("x_rep")).otherwise(F.col("y_rep")).alias("b"), "likeness")
+    docs = scanned(docs, "documents")
+    return with_next(docs, near_classes(docs, threshold)).mapInArrow(run, RESULT)

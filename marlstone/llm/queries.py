@@ -133,7 +133,7 @@ FROM marked GROUP BY conv_id
 
 
 def op9_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_embedding.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return edit_embedding.edit_report(table(spark, sf_dir, "documents").select("doc_id", "text"))  # near_class: banding and verification
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

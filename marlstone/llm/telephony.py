@@ -2,11 +2,19 @@
 
 Media are RIFF/WAVE files in a binary column. Companded samples are expanded by
 256-entry lookup tables; ADPCM blocks are decoded with numpy, all blocks of a
-file side by side, one step for each sample position.
-
-Defined results: null media stay null; a file whose data chunk is empty gives
-empty PCM; a truncated data chunk gives the samples that are there; other
-columns of the input pass through untouched, whatever their names.
+batch of files side by side, one step for each sample position.
+
+``store_payloads`` stores bytes losslessly in all three forms: as 8-bit mu-law
+or A-law samples, or as whole ADPCM blocks. Which one a payload gets follows from
+its bytes alone. ``payload_digests`` reads the stored files and gives digests,
+features and the resampled 16-bit PCM.
+
+Defined results: null media stay null, as null payloads give null media; a null
+text is an empty payload. A file whose data chunk is empty gives empty PCM; a
+truncated data chunk gives the samples that are there; what isn't a WAVE file is
+an error. Equal payloads give equal files. Rows that repeat stay rows; an empty
+table gives no rows; other columns of the input pass through ``encode_column``
+and ``decode_column`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -149,14 +157,33 @@ def parse_wav(media: bytes) -> tuple[int, int, int, bytes]:
 
 def expand(media: bytes) -> tuple[np.ndarray, int]:
     """16-bit PCM and sample rate of a stored file, decoded by its own codec."""
-    codec, rate, block, data = parse_wav(media)
-    if codec in EXPAND:
-        return EXPAND[codec][np.frombuffer(data, np.uint8)], rate
-    if codec == IMA_ADPCM:
-        return adpcm_decode(data, block), rate
-    if codec == PCM:
-        return np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
-    raise ValueError(f"codec {codec} is not supported")
+    return expand_all([media])[0]
+
+
+def expand_all(media: list[bytes]) -> list[tuple[np.ndarray, int]]:
+    """``expand`` of each file; the ADPCM blocks of all files that have one block size are decoded at once."""
+    parsed = [parse_wav(m) for m in media]
+    out: list = [None] * len(media)
+    blocks: dict[int, list[int]] = {}
+    for k, (codec, rate, block, data) in enumerate(parsed):
+        if codec in EXPAND:
+            out[k] = EXPAND[codec][np.frombuffer(data, np.uint8)], rate
+        elif codec == PCM:
+            out[k] = np.frombuffer(data[: len(data) // 2 * 2], "<i2"), rate
+        elif codec == IMA_ADPCM:
+            blocks.setdefault(block, []).append(k)
+        else:
+            raise ValueError(f"codec {codec} is not supported")
+    for block, own in blocks.items():
+        whole = [len(parsed[k][3]) // block for k in own]
+        samples = adpcm_decode(b"".join(parsed[k][3][: n * block] for k, n in zip(own, whole)), block)
+        at = 0
+        for k, n in zip(own, whole):
+            end = at + n * (2 * (block - 4) + 1)
+            tail = adpcm_decode(parsed[k][3][n * block :], block)
+            out[k] = np.concatenate([samples[at:end], tail]), parsed[k][1]
+            at = end
+    return out
 
 
 def resample(samples: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -223,36 +250,58 @@ def pad(payload: bytes, unit: int = 576, fill: int = 255) -> bytes:
     return payload + bytes([fill]) * (max(1, -(-len(payload) // unit)) * unit - len(payload))
 
 
-STORED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: Bytes of an ADPCM block of a payload; a divisor of the payload's unit.
+PAYLOAD_BLOCK = 64
+FORMS = ("mulaw", "alaw", "ima_adpcm")
+STORED = "doc_id long, n_bytes long, media binary"
+DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, pcm_rate int, pcm binary"
+
+
+def payload_wav(payload: bytes, rate: int = 8000, codec: str | None = None) -> bytes:
+    """``payload`` as the data of a WAV file, in the form that its checksum picks if none is named."""
+    kind = NAMES[codec or FORMS[zlib.crc32(payload) % len(FORMS)]]
+    return wav(payload, kind, rate, PAYLOAD_BLOCK if kind == IMA_ADPCM else 1)
 
 
-def store_payloads(docs: DataFrame, codec: str = "mulaw", rate: int = 8000) -> DataFrame:
+def store_payloads(docs: DataFrame, codec: str | None = None, rate: int = 8000) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the padded UTF-8 bytes of the text as a WAV file."""
-    kind = NAMES[codec]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = [b or b"" for b in part.column(1).to_pylist()]
-                media = [wav(pad(b), kind, rate) for b in texts]
+                media = [payload_wav(pad(b), rate, codec) for b in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(b) for b in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(encode, STORED)
 
 
-def payload_digests(stored: DataFrame, to_rate: int = 16000) -> DataFrame:
-    """Digests and PCM features of stored files, all from the bytes read back."""
+def payload_digests(stored: DataFrame, to_rate: int = 16000, batch_bytes: int = 2_000_000) -> DataFrame:
+    """Digests, PCM features and resampled PCM of stored files, all from the bytes read back."""
+    names = [x.split()[0] for x in DIGEST.split(", ")]
+    kinds = (*[pa.int64()] * 3, pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary())
+    called = {v: k for k, v in NAMES.items()}
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, n_bytes, media in zip(*(c.to_pylist() for c in batch.columns)):
-                codec, rate, block, data = parse_wav(media)
-                samples, rate = expand(media)
-                rows.append((doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"codec={codec};rate={to_rate};" + pcm_features(resample(samples, rate, to_rate))))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))], names=[x.split()[0] for x in DIGEST.split(", ")])
+            held, size = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                held.append(row)
+                size += len(row[2])
+                if size >= batch_bytes:
+                    yield made(held)
+                    held, size = [], 0
+            if held:
+                yield made(held)
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        rows = []
+        for (doc_id, n_bytes, media), (samples, rate) in zip(held, expand_all([m for _, _, m in held])):
+            codec, _, _, data = parse_wav(media)
+            pcm = resample(samples, rate, to_rate)
+            feature = f"codec={codec};rate={to_rate};" + pcm_features(pcm)
+            rows.append((doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, called[codec], to_rate, pcm.astype("<i2").tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     return stored.mapInArrow(digest, DIGEST)
