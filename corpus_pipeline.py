@@ -1,24 +1,26 @@
 """The corpus pipeline: documents in, packed sequences out.
 
 Five stages, each on all rows that the one before kept. All but the last return
-the columns of their input, so extra columns pass through.
-
-1. language: rows whose language can't be told go.
-2. dedup: of each group of near duplicates (similarity 0.8 or more) the row with the smallest doc_id stays.
-3. pii: personal data and the words that disclose it are replaced in the text.
-4. mixing: the rows are written in the mixed order of their sources.
+the columns of their input, so extra columns pass through. Nulls in any column,
+empty and very long texts, ties, repeated rows and empty tables are handled as
+the operators' modules say; in short:
+
+1. language: rows whose language can't be told go (null or empty text among them).
+2. dedup: of each group of near duplicates (similarity 0.8 or more) the row with
+   the smallest doc_id stays (null ids last, one row of those that repeat); rows without words stay.
+3. pii: personal data and the words that disclose it are replaced in the text; all rows stay.
+4. mixing: the rows are written in the mixed order of their sources (null is a source); all rows stay.
 5. packing: pieces of sequences; the files that mixing wrote are packed one after
    another, so the sequences follow the mixture, and along the curve within each.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import langid, minhash, mixing, packing, sanitise
-from marlstone.llm.common import held_out, store
+from marlstone.llm.common import held_out, scanned, store
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,16 +40,14 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    try:
-        rows = docs.select("doc_id", "text", F.col("_metadata.file_name").alias("__file"))
-    except AnalysisException:  # not a scan: no files, so one curve over all rows
-        rows = docs.select("doc_id", "text", F.lit("").alias("__file"))
-    return packing.pack(rows, window="__file")
+    # mixing's order is that of its files, in their names' order; a frame that isn't a scan is written first, in its own order
+    files = scanned(docs, "packing")
+    return packing.pack(files.select("doc_id", "text", F.col("_metadata.file_path").alias("__file")), window="__file")
 
 
 STAGES = [("language", language), ("dedup", dedup), ("pii", pii), ("mixing", mix), ("packing", pack)]
 
-#: Naive Bayes and tokenizers have no SQL; tests/llm holds the stages against brute force.
+#: Naive Bayes, statistics of words and tokenizers have no SQL; tests/llm holds each stage against brute force.
 ORACLE_SQL = None
 
 
