@@ -655,7 +655,7 @@ def win05_sample_pack(spark, d):
     return tasks.sample_pack(tasks.in_chain(deliveries(spark, d)), {"train": 0.1, "test": 0.5})
 
 
-@query()
+@query(f"WITH {DELIVERIES}, {planner.plan_sql('deliveries')} SELECT * FROM planned")
 def pln01_jobs(spark, d):
     return planner.plan_jobs(deliveries(spark, d).select("parent_id"))
 
