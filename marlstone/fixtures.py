@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.chains import signature
+from .functions.chains import tokens
 
 #: Family by the first digit of an order's priority.
 FAMILY = {"1": "direct", "2": "platform_like", "3": "telephony", "4": "simreplay", "5": "hybrid"}
@@ -30,10 +30,10 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = orders.select(
         F.col("o_orderkey").alias("ord"), F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("sample_id"), parent.cast("string").alias("parent_id"), families[F.substring("o_orderpriority", 1, 1)].alias("chain_family"),
         F.when(F.col("o_orderstatus") == "F", "bona_fide").otherwise("spoof").alias("label"), F.when(parent % 5 <= 2, "train").when(parent % 5 == 3, "dev").otherwise("test").alias("split"),
-        F.col("o_custkey").alias("speaker_id"), F.to_json(F.transform("lines", lambda x: x["op"])).alias("operator_params"), F.concat(F.lit("len"), F.size("lines").cast("string")).alias("chain_template_id"),
+        F.col("o_custkey").alias("speaker_id"), F.to_json(F.transform("lines", lambda x: x["op"])).alias("operator_params"), tokens(F.transform("lines", lambda x: x["op"]), ("bitrate", "snr_db", "loss_rate_pct")).alias("sig"), F.concat(F.lit("len"), F.size("lines").cast("string")).alias("chain_template_id"),
         F.col("o_totalprice").alias("score"), F.round(F.col("o_totalprice"), -4).alias("score_coarse"),
     )
-    return made.withColumn("sig", signature(F.col("operator_params"), F.lit("[]")))
+    return made
 
 
 DELIVERIES = """

@@ -47,11 +47,19 @@ def inspect(signal: Column, clip: float) -> Column:
 
 
 def loudness(signal: Column, rate: int) -> Column:
-    """duration, RMS in dBFS (floor 1e-12) and peak of the finite samples."""
+    """duration, RMS in dBFS and peak of the finite samples (mean square floored at 1e-12, so silence has -120); null without one."""
     good = F.filter(signal, finite)
     n = F.size(good)
-    rms = F.sqrt(dot(good, good) / F.greatest(n, F.lit(1)))
-    return F.struct((F.size(signal) / float(rate)).alias("duration"), (20 * F.log10(F.greatest(rms, F.lit(1e-12)))).alias("rms_dbfs"), peak(good).alias("peak"))
+    power = dot(good, good) / F.greatest(n, F.lit(1))
+    made = F.struct((n / float(rate)).alias("duration"), (10 * F.log10(F.greatest(power, F.lit(1e-12)))).alias("rms_dbfs"), peak(good).alias("peak"))
+    return F.when(n > 0, made)
+
+
+def channel_mean(channels: Column) -> Column:
+    """One signal from an array of channels of one length; the mean at each sample."""
+    n = F.size(channels)
+    total = F.aggregate(F.slice(channels, 2, F.greatest(n - 1, F.lit(0))), F.transform(F.get(channels, F.lit(0)), lambda x: x.cast("double")), lambda a, c: F.zip_with(a, c, lambda x, y: x + y.cast("double")))
+    return F.transform(total, lambda x: x / n)
 
 
 def tile(signal: Column, length: int) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip
+
 #: Fixed values: (upper bound, name) in order, the name beyond the last, and whether the bound itself is inside.
 BITRATE = ([(16, "very_low"), (24, "low"), (32, "medium")], "high", True)
 PACKET_LOSS = ([(2, "light"), (5, "moderate")], "severe", True)
@@ -14,15 +16,24 @@ SNR = ([(12, "low"), (24, "medium")], "high", True)
 SAMPLE_RATE = ([(8000, "8k"), (16000, "16k"), (24000, "24k")], "32k_plus", True)
 
 
+def _is_number(value: Column) -> Column:
+    """Whether the column is of a number type; known when a query is planned, so that only one branch of a choice stays."""
+    return F.typeof(value).rlike("^(tinyint|smallint|int|bigint|float|double|decimal.*)$")
+
+
 def number(value: Column) -> Column:
-    """Text as double, null where it isn't a number (trailing d or f, which a cast takes, is none)."""
-    text = F.trim(value.cast("string"))
-    return F.when(text.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"), text.try_cast("double"))
+    """A number as double; text as double too, null where it isn't a number (trailing d or f, which a cast takes, is none)."""
+    text = strip(value.cast("string"))
+    parsed = F.when(text.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"), text.try_cast("double"))
+    return F.when(_is_number(value), value.try_cast("double")).otherwise(parsed)
 
 
 def bucket(value: Column, scale: tuple) -> Column:
+    return _named(number(value), scale)
+
+
+def _named(x: Column, scale: tuple) -> Column:
     bounds, beyond, inside = scale
-    x = number(value)
     out = None
     for bound, name in bounds:
         test = x <= F.lit(float(bound)) if inside else x < F.lit(float(bound))
@@ -31,12 +42,32 @@ def bucket(value: Column, scale: tuple) -> Column:
 
 
 def bitrate_bucket(value: Column) -> Column:
-    return bucket(F.regexp_replace(F.trim(value.cast("string")), "[kK]$", ""), BITRATE)
+    without_k = number(F.regexp_replace(strip(value.cast("string")), "[kK]$", ""))
+    return _named(F.when(_is_number(value), value.try_cast("double")).otherwise(without_k), BITRATE)
 
 
 def compact_number(value: Column) -> Column:
     """At most three decimals without trailing zeros; other text as it is, blank null."""
     x = number(value)
-    text = F.trim(value.cast("string"))
+    text = strip(value.cast("string"))
     shown = F.regexp_replace(F.format_string("%.3f", x), r"\.?0+$", "")
     return F.when(x.isNotNull(), F.when(shown.isin("-0", ""), "0").otherwise(shown)).otherwise(F.when(text != "", text))
+
+
+def rounded_text(value: Column, digits: int = 6) -> Column:
+    """A number rounded, as text; what isn't one is blank."""
+    return F.coalesce(F.round(number(value), digits).cast("string"), F.lit(""))
+
+
+def at_most(available: Column, limit: Column) -> Column:
+    """``available``, or ``limit`` where that is less and above 0."""
+    return F.when(limit <= 0, available).otherwise(F.least(available, limit))
+
+
+def share(value: Column) -> Column:
+    """A number from 0 to 1; beyond, the nearer end."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), value))
+
+
+def gibibytes(value: Column) -> Column:
+    return F.round(value / float(1 << 30), 3)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import buckets
-from .text import clean
+from .text import clean, strip
 
 OPERATOR = "array<struct<op:string,codec:string,bitrate:string,encode_sample_rate:string,loss_rate_pct:string,concealment:string,mode:string,snr_db:string,noise_type:string,rt60:string,distance:string,room:struct<name:string>,profile:string,agc_profile:string,jitter_ms:string>>"
 
@@ -22,18 +22,29 @@ def parse_operators(text: Column) -> Column:
     return F.coalesce(F.filter(parsed, lambda o: o.isNotNull()), F.array().cast(OPERATOR))
 
 
-def _token(op: Column) -> Column:
-    """name[part,...], the parts of the operator's kind sorted; the bare name where there is none."""
-    part = lambda name, value: F.concat(F.lit(name + "="), value)  # noqa: E731  null if the value is
-    codec = [part("codec", clean(op["codec"])), part("bitrate", buckets.bitrate_bucket(op["bitrate"])), part("encode_sr", buckets.bucket(op["encode_sample_rate"], buckets.SAMPLE_RATE))]
-    loss = [part("plr", buckets.bucket(op["loss_rate_pct"], buckets.PACKET_LOSS)), part("concealment", clean(op["concealment"]))]
+#: Fields of an operator that its token may need; a struct of operators has any of them.
+FIELDS = ("codec", "bitrate", "encode_sample_rate", "loss_rate_pct", "concealment", "mode", "snr_db", "noise_type", "rt60", "distance", "room", "profile", "agc_profile", "jitter_ms")
+
+
+def token(op: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """name[part,...], the parts of the operator's kind sorted; the bare name where there is none. ``fields`` are those that the struct has."""
+
+    def part(name: str, field: str, shown) -> Column:
+        """Null if the value is."""
+        if field not in fields:
+            return F.lit(None).cast("string")
+        return F.concat(F.lit(name + "="), shown(op[field]["name"] if field == "room" else op[field]))
+
+    plain, scaled = lambda x: clean(x.cast("string")), lambda scale: lambda x: buckets.bucket(x, scale)
+    codec = [part("codec", "codec", plain), part("bitrate", "bitrate", buckets.bitrate_bucket), part("encode_sr", "encode_sample_rate", scaled(buckets.SAMPLE_RATE))]
+    loss = [part("plr", "loss_rate_pct", scaled(buckets.PACKET_LOSS)), part("concealment", "concealment", plain)]
     kinds = {
         "packet_loss": loss,
-        "bandlimit": [part("bandwidth", clean(op["mode"]))],
-        "resample": [part("resample", clean(op["mode"]))],
-        "noise": [part("snr", buckets.bucket(op["snr_db"], buckets.SNR)), part("noise", clean(op["noise_type"]))],
-        "rir": [part("rt60", buckets.bucket(op["rt60"], buckets.RT60)), part("distance", buckets.bucket(op["distance"], buckets.DISTANCE)), part("room", clean(op["room"]["name"]))],
-        "call_path": [part("profile", clean(op["profile"])), codec[0], codec[2], *loss, part("agc", clean(op["agc_profile"])), part("jitter", buckets.compact_number(op["jitter_ms"]))],
+        "bandlimit": [part("bandwidth", "mode", plain)],
+        "resample": [part("resample", "mode", plain)],
+        "noise": [part("snr", "snr_db", scaled(buckets.SNR)), part("noise", "noise_type", plain)],
+        "rir": [part("rt60", "rt60", scaled(buckets.RT60)), part("distance", "distance", scaled(buckets.DISTANCE)), part("room", "room", plain)],
+        "call_path": [part("profile", "profile", plain), codec[0], codec[2], *loss, part("agc", "agc_profile", plain), part("jitter", "jitter_ms", buckets.compact_number)],
     }
     name = clean(op["op"])
     parts = F.when(name.isin("codec", "reencode"), F.array(*codec))
@@ -43,10 +54,15 @@ def _token(op: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(name, F.lit("["), F.array_join(parts, ","), F.lit("]"))).otherwise(name)
 
 
+def tokens(operators: Column, fields: tuple[str, ...] = FIELDS) -> Column:
+    """Tokens of an array of operator structs; operators without a name have none."""
+    return F.filter(F.transform(operators, lambda o: token(o, fields)), lambda t: t.isNotNull())
+
+
 def signature(operator_params: Column, operator_seq: Column) -> Column:
     """Tokens of the parameters; of the names where there are no parameters."""
-    tokens = F.filter(F.transform(parse_operators(operator_params), _token), lambda t: t.isNotNull())
-    return F.when(F.size(tokens) > 0, tokens).otherwise(parse_names(operator_seq))
+    found = tokens(parse_operators(operator_params))
+    return F.when(F.size(found) > 0, found).otherwise(parse_names(operator_seq))
 
 
 def multiset_key(sig: Column) -> Column:
@@ -59,7 +75,7 @@ def endpoint_key(sig: Column) -> Column:
 
 
 def operator_name(token: Column) -> Column:
-    return F.trim(F.substring_index(token, "[", 1))
+    return strip(F.substring_index(token, "[", 1))
 
 
 def differences(a: Column, b: Column) -> Column:
@@ -100,5 +116,12 @@ def without(chain: Column, i: Column) -> Column:
 
 
 def reorder(operators: Column, names: Column) -> Column:
-    """Operator structs in the order of ``names``; null entries where a name is missing."""
-    return F.transform(names, lambda n: F.get(F.filter(operators, lambda o: o["op"] == n), F.lit(0)))
+    """Operator structs in the order of ``names``; an error where the names aren't the operators', each once."""
+    own = F.transform(operators, lambda o: o["op"])
+    same = (F.size(F.array_distinct(own)) == F.size(own)) & (F.array_sort(own) == F.array_sort(names))
+    placed = F.transform(names, lambda n: F.get(F.filter(operators, lambda o: o["op"] == n), F.lit(0)))
+    return F.when(same, placed).otherwise(F.raise_error(F.concat(F.lit("no such order of operators: "), F.array_join(names, ","))))
+
+
+def names_of(operators: Column) -> Column:
+    return F.transform(operators, lambda o: o["op"])

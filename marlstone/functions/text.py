@@ -6,16 +6,23 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = r"\x{4E00}-\x{9FFF}"
+#: Every character that counts as white space in Unicode text, and the four ASCII separators.
+WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def strip(value: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(value, F.lit(WHITE))
 
 
 def clean(value: Column) -> Column:
-    """Trimmed; blank is null."""
-    return F.nullif(F.trim(value), F.lit(""))
+    """Stripped; blank is null."""
+    return F.nullif(strip(value), F.lit(""))
 
 
 def binary_label(value: Column) -> Column:
     """``bonafide``, ``spoof`` or empty."""
-    low = F.lower(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
+    low = F.lower(strip(F.coalesce(value.cast("string"), F.lit(""))))
     return F.when(low.isin("bonafide", "bona_fide", "1"), "bonafide").when(low.isin("spoof", "0"), "spoof").otherwise("")
 
 
@@ -39,16 +46,16 @@ def english_transcript(value: Column) -> Column:
 
 def spaced_transcript(value: Column) -> Column:
     """Every other token of an interleaved transcript, joined; null under four CJK characters or all digits."""
-    tokens = F.filter(F.split(F.trim(value), r"(?U)\s+"), lambda t, i: i % 2 == 0)
+    tokens = F.filter(F.split(strip(value), r"(?U)\s+"), lambda t, i: i % 2 == 0)
     text = F.array_join(tokens, "")
     return F.when((F.length(F.regexp_replace(text, f"[^{CJK}]", "")) >= 4) & ~text.rlike(r"(?U)^\d+$"), text)
 
 
 def reference_text(value: Column, language: Column) -> Column:
     """Chinese keeps CJK and alphanumerics; other languages are lower-cased ASCII words parted by one blank."""
-    squeezed = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
+    squeezed = strip(F.regexp_replace(F.coalesce(value, F.lit("")), r"(?U)\s+", " "))
     chinese = F.regexp_replace(squeezed, r"[^\p{L}\p{N}" + CJK + "]", "")
-    other = F.trim(F.regexp_replace(F.regexp_replace(F.lower(squeezed), "[^a-z0-9 ]", " "), " +", " "))
+    other = strip(F.regexp_replace(F.regexp_replace(F.lower(squeezed), "[^a-z0-9 ]", " "), " +", " "))
     return F.when(F.coalesce(language, F.lit("")) == "zh", chinese).otherwise(other)
 
 
@@ -113,3 +120,24 @@ def row_key(sample_id: Column, *fallback: Column) -> Column:
     """sample_id, else the first fallback that isn't blank, else all of them as JSON."""
     first = F.coalesce(clean(sample_id), *[clean(x) for x in fallback])
     return F.coalesce(first, F.to_json(F.array(*[F.coalesce(x.cast("string"), F.lit("")) for x in (sample_id, *fallback)])))
+
+
+def language_name(code: Column, names: dict[str, str], default: str) -> Column:
+    """A model's name of a language code, ``default`` for others."""
+    table = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
+    return F.coalesce(F.try_element_at(table, F.lower(strip(code))), F.lit(default))
+
+
+def first_of(values: Column, *keys: str) -> Column:
+    """A map's value of the first key that it has, else blank."""
+    return F.coalesce(*[F.try_element_at(values, F.lit(k)) for k in keys], F.lit(""))
+
+
+def standard_split(split_standard: Column, split: Column) -> Column:
+    """The split of a row of a task: ``split_standard`` where there is one, even if blank, else ``split``."""
+    return strip(F.coalesce(split_standard, split, F.lit("")))
+
+
+def requested_split(split_standard: Column, split: Column) -> Column:
+    """The split by which rows are chosen: a blank ``split_standard`` counts as none."""
+    return F.coalesce(clean(split_standard), strip(F.coalesce(split, F.lit(""))))

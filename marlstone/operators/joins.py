@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
-from ..functions.text import clean
+from ..functions.text import clean, strip
 
 
 def enrich(scores: DataFrame, metadata: DataFrame, key: str = "sample_id", ord: str = "ord") -> DataFrame:
@@ -15,8 +15,8 @@ def enrich(scores: DataFrame, metadata: DataFrame, key: str = "sample_id", ord:
     A score's own column overrides, even blank; only a blank label is repaired.
     """
     own = [c for c in metadata.columns if c not in (key, ord)]
-    last = metadata.filter(clean(F.col(key)).isNotNull()).groupBy(F.trim(key).alias("__key")).agg(F.max_by(F.struct(*own), ord).alias("__meta"))
-    joined = scores.withColumn("__key", F.trim(key)).join(last, "__key", "left")
+    last = metadata.filter(clean(F.col(key)).isNotNull()).groupBy(strip(F.col(key)).alias("__key")).agg(F.max_by(F.struct(*own), ord).alias("__meta"))
+    joined = scores.withColumn("__key", strip(F.col(key))).join(last, "__key", "left")
     label = F.coalesce(clean(F.col("label").cast("string")), F.col("__meta.label").cast("string")) if "label" in own and "label" in scores.columns else None
     kept = [label.alias("label") if c == "label" and label is not None else F.col(c) for c in scores.columns]
     return joined.select(*kept, *[F.col(f"__meta.{c}").alias(c) for c in own if c not in scores.columns])

@@ -26,8 +26,9 @@ GROUP = ["parent_id", "chain_family", "label"]
 
 
 def minable(rows: DataFrame) -> DataFrame:
+    """The rows that take part, with what mining needs; written, as each relation joins them with themselves."""
     own = [clean(F.col(c).cast("string")).alias(c) for c in GROUP]
-    return rows.select("sample_id", *own, "sig").filter(" and ".join(f"{c} is not null" for c in GROUP))
+    return written(rows.select("sample_id", *own, "sig").filter(" and ".join(f"{c} is not null" for c in GROUP)), "minable")
 
 
 def _sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -40,9 +41,9 @@ def _named(pairs: DataFrame, prefix: str, *extra: str) -> DataFrame:
     return pairs.select(*GROUP, "a", "b", pair_id(prefix, F.col("a"), F.col("b")).alias("pair_id"), *extra)
 
 
-def parameter_pairs(rows: DataFrame) -> DataFrame:
+def _parameter_pairs(own: DataFrame) -> DataFrame:
     """Pairs that differ in one slot, by parameters only; axis names the slot."""
-    slots = minable(rows).filter("size(sig) > 0").select("*", F.posexplode("sig").alias("slot", "token"))
+    slots = own.filter("size(sig) > 0").select("*", F.posexplode("sig").alias("slot", "token"))
     before, after = F.slice("sig", F.lit(1), F.col("slot")), F.slice("sig", F.col("slot") + 2, F.size("sig"))
     wild = F.concat(before, F.array(F.concat(chains.operator_name(F.col("token")), F.lit("[*"))), after)
     keyed = slots.withColumn("key", wild)
@@ -52,30 +53,54 @@ def parameter_pairs(rows: DataFrame) -> DataFrame:
     return _named(pairs.withColumn("detail", F.concat(F.lit("parameter@"), F.col("slot").cast("string"))), "parameter", "detail")
 
 
-def substitution_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of equal length whose differing slots all differ in the operator; detail lists them."""
-    own = minable(rows).filter("size(sig) > 0").withColumn("length", F.size("sig"))
-    a, b = _sides(own, ["length"])
-    pairs = a.join(b, [*GROUP, "length"]).filter("a < b").withColumn("detail", chains.substitution_detail(F.col("sig_a"), F.col("sig_b")))
-    return _named(pairs.filter("detail is not null"), "operator", "detail")
+def _substitution_pairs(own: DataFrame) -> DataFrame:
+    """Pairs of equal length whose differing slots all differ in the operator; detail lists them.
+
+    Chains are compared once for each two distinct ones of a group and length, not
+    for each two rows; the rows meet only where their chains are a pair.
+    """
+    own = own.filter("size(sig) > 0")
+    chain = own.select(*GROUP, "sig", F.size("sig").alias("length")).distinct()
+    a = chain.select(*GROUP, "length", F.col("sig").alias("sig_a"))
+    b = chain.select(*GROUP, "length", F.col("sig").alias("sig_b"))
+    pairs = a.join(b, [*GROUP, "length"]).filter("sig_a < sig_b").withColumn("detail", chains.substitution_detail(F.col("sig_a"), F.col("sig_b"))).filter("detail is not null")
+    left, right = (own.select(*GROUP, F.col("sig").alias(f"sig_{x}"), F.col("sample_id").alias(x)) for x in "ab")
+    met = pairs.join(left, [*GROUP, "sig_a"]).join(right, [*GROUP, "sig_b"])
+    return _named(met.withColumn("low", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("low")), "operator", "detail")
 
 
-def swap_pairs(rows: DataFrame) -> DataFrame:
+def _swap_pairs(own: DataFrame) -> DataFrame:
     """Pairs of one multiset with two slots exchanged; gap is their distance."""
-    own = minable(rows).filter("size(sig) > 1").withColumn("key", F.array_sort("sig"))
+    own = own.filter("size(sig) > 1").withColumn("key", F.array_sort("sig"))
     a, b = _sides(own, ["key"])
     pairs = a.join(b, [*GROUP, "key"]).filter("a < b").withColumn("gap", chains.swap_gap(F.col("sig_a"), F.col("sig_b")))
     return _named(pairs.filter("gap is not null"), "swap", "gap")
 
 
-def prefix_pairs(rows: DataFrame) -> DataFrame:
+def _prefix_pairs(own: DataFrame) -> DataFrame:
     """Pairs of a chain and that chain with one more step; step is the longer length."""
-    own = minable(rows).filter("size(sig) > 0")
+    own = own.filter("size(sig) > 0")
     a = own.select(*GROUP, F.col("sig").alias("key"), F.col("sample_id").alias("a"))
     b = own.filter("size(sig) > 1").select(*GROUP, F.slice("sig", F.lit(1), F.size("sig") - 1).alias("key"), F.col("sample_id").alias("b"), F.size("sig").alias("step"))
     return _named(a.join(b, [*GROUP, "key"]), "path", "step")
 
 
+def parameter_pairs(rows: DataFrame) -> DataFrame:
+    return _parameter_pairs(minable(rows))
+
+
+def substitution_pairs(rows: DataFrame) -> DataFrame:
+    return _substitution_pairs(minable(rows))
+
+
+def swap_pairs(rows: DataFrame) -> DataFrame:
+    return _swap_pairs(minable(rows))
+
+
+def prefix_pairs(rows: DataFrame) -> DataFrame:
+    return _prefix_pairs(minable(rows))
+
+
 def greedy_matching(pairs: DataFrame, order: str = "pair_id", space: tuple[str, ...] = ()) -> DataFrame:
     """The pairs (a, b) that one pass over all in ``order`` takes, no row twice; rows of other ``space`` values are other rows.
 
@@ -96,12 +121,12 @@ def greedy_matching(pairs: DataFrame, order: str = "pair_id", space: tuple[str,
 
 
 #: relation -> the set of used rows it shares, its place in the order there, and how its candidates are mined.
-RELATIONS = {"parameter": ("intervention", 0, parameter_pairs), "substitution": ("intervention", 1, substitution_pairs), "swap": ("swap", 0, swap_pairs), "path": ("path", 0, prefix_pairs)}
+RELATIONS = {"parameter": ("intervention", 0, _parameter_pairs), "substitution": ("intervention", 1, _substitution_pairs), "swap": ("swap", 0, _swap_pairs), "path": ("path", 0, _prefix_pairs)}
 
 
 def match_all(rows: DataFrame, relations: tuple[str, ...] = tuple(RELATIONS)) -> dict[str, DataFrame]:
     """Matches of relations, all in the same rounds. Substitution only gets rows that parameter has left."""
-    own = written(minable(rows), "minable")
+    own = minable(rows)
     wanted = set(relations) | ({"parameter"} if "substitution" in relations else set())
     found = None
     for name in (r for r in RELATIONS if r in wanted):
@@ -125,44 +150,60 @@ def annotate(rows: DataFrame) -> DataFrame:
 
 
 def edit_edges(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Edges (keys, sig_a, sig_b), both directions, between distinct chains of a group one edit apart.
+    """Edges (keys, sig_a, sig_b), both directions, between distinct chains of a group one edit apart."""
+    own = numbered(nodes, keys)
+    edges = node_edges(own, keys)
+    a, b = (own.select(F.col("node").alias(x), *([*keys] if x == "a" else []), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+    return edges.join(a, "a").join(b, "b").select(*keys, "sig_a", "sig_b")
+
+
+def numbered(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """The distinct chains of each group with a number each."""
+    return written(nodes.select(*keys, "sig").distinct().withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+
+def node_edges(own: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges (a, b), both directions, between numbered chains one edit apart.
 
     An edit changes a parameter or an operator in one slot, swaps two adjacent
     steps, or adds or removes one. Each kind has its own blocking key: the chain
     with a slot wildcarded, the chain with two neighbours sorted, the chain
     without a slot.
     """
-    own = nodes.select(*keys, "sig").distinct()
-    index = F.explode(F.sequence(F.lit(0), F.size("sig") - 1))
-    slots = own.filter("size(sig) > 0").select(*keys, "sig", index.alias("i"))
-    dropped = slots.select(*keys, F.col("sig").alias("longer"), chains.without(F.col("sig"), F.col("i")).alias("sig")).distinct()
-    shorter = own.select(*keys, "sig")
-    grown = dropped.join(shorter, [*keys, "sig"]).select(*keys, F.col("sig").alias("sig_a"), F.col("longer").alias("sig_b"))
-    wild = slots.select(*keys, "sig", F.struct("i", chains.without(F.col("sig"), F.col("i")).alias("rest")).alias("key"))
-    one = _same_key(wild, keys).filter("sig_a < sig_b")
-    pair = F.struct("i", chains.without(chains.without(F.col("sig"), F.col("i") + 1), F.col("i")).alias("rest"), F.array_sort(F.slice("sig", F.col("i") + 1, F.lit(2))).alias("two"))
-    swapped = _same_key(slots.filter("i + 1 < size(sig)").select(*keys, "sig", pair.alias("key")), keys).filter("sig_a < sig_b")
-    edges = grown.unionByName(one).unionByName(swapped).distinct()
-    return edges.unionByName(edges.select(*keys, F.col("sig_b").alias("sig_a"), F.col("sig_a").alias("sig_b"))).distinct()
+    slots = own.filter("size(sig) > 0").select(*keys, "node", "sig", F.explode(F.sequence(F.lit(0), F.size("sig") - 1)).alias("i"))
+    without = slots.withColumn("rest", chains.without(F.col("sig"), F.col("i")))
+    grown = without.select(*keys, F.col("node").alias("b"), F.col("rest").alias("sig")).distinct().join(own.select(*keys, F.col("node").alias("a"), "sig"), [*keys, "sig"]).select("a", "b")
+    one = _same_key(without.select(*keys, "node", F.struct("i", "rest").alias("key")), keys)
+    rest = chains.without(chains.without(F.col("sig"), F.col("i") + 1), F.col("i"))
+    two = F.array_sort(F.slice("sig", F.col("i") + 1, F.lit(2)))
+    swapped = _same_key(slots.filter("i + 1 < size(sig)").select(*keys, "node", F.struct("i", rest.alias("rest"), two.alias("two")).alias("key")), keys)
+    edges = grown.unionByName(one).unionByName(swapped)
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
 def _same_key(keyed: DataFrame, keys: list[str]) -> DataFrame:
-    a, b = keyed.withColumnRenamed("sig", "sig_a"), keyed.withColumnRenamed("sig", "sig_b")
-    return a.join(b, [*keys, "key"]).select(*keys, "sig_a", "sig_b")
+    a, b = keyed.withColumnRenamed("node", "a"), keyed.withColumnRenamed("node", "b")
+    return a.join(b, [*keys, "key"]).filter("a < b").select("a", "b")
 
 
 def graph_distances(nodes: DataFrame, references: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, sig, distance) of chains reachable from their group's reference, level by level over all groups at once."""
-    edges = written(edit_edges(nodes.unionByName(references.select(*keys, "sig")), keys), "edges")
-    level = written(references.select(*keys, "sig").distinct().withColumn("distance", F.lit(0)), "level")
-    seen, depth = level, 0
+    """(keys, sig, distance) of chains reachable from their group's reference, level by level over all groups at once.
+
+    Edges go both ways, so what a level reaches lies in the level before it, in
+    itself or in the next one: only the last two need be held against.
+    """
+    own = numbered(nodes.select(*keys, "sig").unionByName(references.select(*keys, "sig")), keys)
+    edges = written(node_edges(own, keys), "edges")
+    level = written(references.select(*keys, "sig").distinct().join(own, [*keys, "sig"]).select("node"), "level")
+    before, out, depth = None, level.withColumn("distance", F.lit(0)), 0
     while True:
         depth += 1
-        step = level.select(*keys, F.col("sig").alias("sig_a")).join(edges, [*keys, "sig_a"]).select(*keys, F.col("sig_b").alias("sig")).distinct()
-        level = written(step.join(seen, [*keys, "sig"], "left_anti").withColumn("distance", F.lit(depth)), "level")
-        if level.isEmpty():
-            return seen
-        seen = written(seen.unionByName(level), "seen")
+        step = level.select(F.col("node").alias("a")).join(edges, "a").select(F.col("b").alias("node")).distinct().join(level, "node", "left_anti")
+        step = written(step if before is None else step.join(before, "node", "left_anti"), "level")
+        if step.isEmpty():
+            return own.join(out, "node").select(*keys, "sig", "distance")
+        before, level = level, step
+        out = out.unionByName(level.withColumn("distance", F.lit(depth)))
 
 
 def lineages(rows: DataFrame) -> DataFrame:

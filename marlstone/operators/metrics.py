@@ -1,21 +1,25 @@
 """Binary detection metrics over (keys, score, label) with label text; higher scores mean bonafide.
 
 All take the columns to group by, so that one query serves every run, task or
-subgroup. Equal scores are ordered by ``tie`` where order matters (rank sums).
-Rows whose label is unknown count in n_samples alone.
+subgroup. Equal scores are ordered by ``tie`` where order matters (rank sums):
+the column ``ord`` where rows have one, as that is the order of the input, else
+sample_id. Rows whose label is unknown count in n_samples alone. Ranks and
+running sums go by ranges (``ranks``), so a hot key is many tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import label_int
+from ..functions.buckets import number
+from ..functions.text import label_int, strip
+from . import ranks
 
 
 def scored(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """``rows`` with y (1 bonafide, 0 spoof, null unknown) and s (text that isn't a number is 0)."""
-    return rows.withColumn("y", label_int(F.col(label))).withColumn("s", F.coalesce(F.col(score).cast("string").try_cast("double"), F.lit(0.0)))
+    return rows.withColumn("y", label_int(F.col(label))).withColumn("s", F.coalesce(number(F.col(score)), F.lit(0.0)))
 
 
 def label_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,37 +27,41 @@ def label_counts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return of.groupBy(*keys).agg(F.count_if(F.col("y") == 1).alias("n_bonafide"), F.count_if(F.col("y") == 0).alias("n_spoof"), F.count_if(F.col("y").isNull()).alias("n_unknown"))
 
 
-def auc(rows: DataFrame, keys: list[str], tie: str = "sample_id") -> DataFrame:
-    """Rank-sum AUC with ordinal ranks; 0 with one class. Ranks come per group from counts of distinct (score, tie) order."""
+def auc(rows: DataFrame, keys: list[str], tie: str | None = None) -> DataFrame:
+    """Rank-sum AUC with ordinal ranks, from 0 to 1; 0 with one class."""
+    tie = tie or ("ord" if "ord" in rows.columns else "sample_id")
     known = scored(rows).filter("y is not null")
-    ranked = known.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("s", tie)))
+    ranked = ranks.ranked(known.select(*keys, "s", tie, "y"), keys, ["s", tie])
     sums = ranked.groupBy(*keys).agg(F.sum(F.when(F.col("y") == 1, F.col("rank"))).cast("double").alias("r"), F.count_if(F.col("y") == 1).cast("double").alias("p"), F.count_if(F.col("y") == 0).cast("double").alias("n"))
     value = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("n"))
     return sums.select(*keys, F.when((F.col("p") > 0) & (F.col("n") > 0), F.greatest(F.lit(0.0), F.least(F.lit(1.0), value))).otherwise(0.0).alias("auc"))
 
 
-def eer(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """EER and its threshold at the first least |fnr - fpr| along the ROC.
+def eer(rows: DataFrame, keys: list[str], degenerate: float = 1.0) -> DataFrame:
+    """EER and its threshold at the first least |fnr - fpr| along the ROC; ``degenerate`` and 0 with one class.
 
     The ROC has a point for each distinct score, descending, without points in
     line with their neighbours, and (0, 0) at infinity before. Counts are summed
-    per distinct score first, so ties never widen the window. One class: 0, 0.
+    per distinct score first, so ties never widen a range.
     """
     known = scored(rows).filter("y is not null")
-    steps = known.groupBy(*keys, "s").agg(F.sum("y").alias("tp1"), F.sum(1 - F.col("y")).alias("fp1"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("s"))
-    run = down.rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.withColumn("tp", F.sum("tp1").over(run)).withColumn("fp", F.sum("fp1").over(run))
-    turn = lambda c: F.lead(c).over(down) - 2 * F.col(c) + F.lag(c).over(down)
-    curve = curve.withColumn("bend_t", turn("tp")).withColumn("bend_f", turn("fp"))
-    corners = curve.filter("bend_t is null or bend_t <> 0 or bend_f <> 0")
+    steps = known.groupBy(*keys, "s").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("f"))
+    curve = ranks.running(steps, keys, [F.desc("s")], {"tp": "t", "fp": "f"})
+    # a point bends the curve unless the step before and the step after are in line: the last one always does
+    bends = F.col("next_t").isNull() | F.col("first") | (F.col("next_t") != F.col("t")) | (F.col("next_f") != F.col("f"))
+    corners = curve.filter(bends)
     totals = known.groupBy(*keys).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     start = totals.select(*keys, F.lit(float("inf")).alias("s"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     points = corners.select(*keys, "s", "tp", "fp").unionByName(start)
     rates = _join(points, totals, keys).withColumn("fnr", 1 - F.col("tp") / F.col("p")).withColumn("fpr", F.col("fp") / F.col("n"))
     best = rates.filter("p > 0 and n > 0").groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), (-F.col("s")).alias("place"), F.col("fpr").alias("fpr"), F.col("fnr").alias("fnr"))).alias("at"))
     value = best.select(*keys, ((F.col("at.fpr") + F.col("at.fnr")) / 2).alias("eer"), (-F.col("at.place")).alias("threshold"))
-    return _join(totals.select(*keys), value, keys, "left").select(*keys, F.coalesce("eer", F.lit(0.0)).alias("eer"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+    return _join(totals.select(*keys), value, keys, "left").select(*keys, F.coalesce("eer", F.lit(degenerate)).alias("eer"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+
+
+def eer_or_zero(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``eer``, but 0 with one class or without rows."""
+    return eer(rows, keys, 0.0)
 
 
 def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -73,11 +81,11 @@ def accuracy_f1(rows: DataFrame, keys: list[str], thresholds: DataFrame | None =
 
 def subgroups(rows: DataFrame, groupers: list[str]) -> DataFrame:
     """n, label counts, AUC and EER for every value of each grouper; blank is ``unknown``."""
-    named = F.explode(F.array(*[F.struct(F.lit(g).alias("grouper"), F.coalesce(F.nullif(F.trim(F.col(g).cast("string")), F.lit("")), F.lit("unknown")).alias("value")) for g in groupers]))
+    named = F.explode(F.array(*[F.struct(F.lit(g).alias("grouper"), F.coalesce(F.nullif(strip(F.col(g).cast("string")), F.lit("")), F.lit("unknown")).alias("value")) for g in groupers]))
     long = rows.select("sample_id", "score", "label", named.alias("g")).select("sample_id", "score", "label", "g.grouper", "g.value")
     keys = ["grouper", "value"]
     counts = label_counts(long, keys).withColumn("n_samples", F.col("n_bonafide") + F.col("n_spoof") + F.col("n_unknown"))
-    out = counts.join(auc(long, keys), keys, "left").join(eer(long, keys).select(*keys, "eer"), keys, "left")
+    out = counts.join(auc(long, keys), keys, "left").join(eer_or_zero(long, keys).select(*keys, "eer"), keys, "left")
     return out.select(*keys, "n_samples", "n_bonafide", "n_spoof", F.coalesce("auc", F.lit(0.0)).alias("auc"), F.coalesce("eer", F.lit(0.0)).alias("eer"))
 
 

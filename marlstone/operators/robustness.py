@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import strip
 from .matching import graph_distances, lineages
 from .metrics import scored
 
@@ -14,12 +15,12 @@ def complete_pairs(rows: DataFrame, group: str, *extra: str) -> DataFrame:
 
     Columns: group, id_l, id_r, s_l, s_r, y and each extra as the left row's value, else the right's, else ``unknown``.
     """
-    own = scored(rows).withColumn("group", F.trim(F.col(group).cast("string"))).filter("group <> ''")
+    own = scored(rows).withColumn("group", strip(F.col(group).cast("string"))).filter("group <> ''")
     extras = [F.coalesce(F.col(x).cast("string"), F.lit("")).alias(x) for x in extra]
     # a group keeps two rows and its size, however large it is
     row = F.struct("sample_id", "s", "y", *extras)
     sides = own.groupBy("group").agg(F.min(row).alias("l"), F.max(row).alias("r"), F.count(F.lit(1)).alias("n")).filter("n = 2 and l.y = r.y")
-    named = [F.coalesce(F.nullif(F.trim(F.when(F.col(f"l.{x}") != "", F.col(f"l.{x}")).otherwise(F.col(f"r.{x}"))), F.lit("")), F.lit("unknown")).alias(x) for x in extra]
+    named = [F.coalesce(F.nullif(strip(F.when(F.col(f"l.{x}") != "", F.col(f"l.{x}")).otherwise(F.col(f"r.{x}"))), F.lit("")), F.lit("unknown")).alias(x) for x in extra]
     return sides.select("group", F.col("l.sample_id").alias("id_l"), F.col("r.sample_id").alias("id_r"), F.col("l.s").alias("s_l"), F.col("r.s").alias("s_r"), F.col("l.y").alias("y"), *named)
 
 

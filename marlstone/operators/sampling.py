@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
+from ..functions.text import strip
+from . import ranks
 
 
 def target_size(n: Column, ratio: float) -> Column:
@@ -34,9 +36,7 @@ def stratified(rows: DataFrame, ratio: float, salt: str, group: str, token: str
     if ratio >= 1:
         return rows
     own = rows.select(F.col(group).cast("string").alias("__g"), F.col(tie).alias("__t"), salted(F.concat(F.lit(salt + ":"), F.col(group).cast("string")), F.col(token).cast("string")).alias("__h"))
-    whole = Window.partitionBy("__g")
-    place = F.row_number().over(whole.orderBy("__h", "__t"))
-    chosen = own.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__r", place).filter(F.col("__r") <= target_size(F.col("__n"), ratio)).select("__t")
+    chosen = ranks.ranked(own, ["__g"], ["__h", "__t"], "__r", "__all_rows").filter(F.col("__r") <= target_size(F.col("__all_rows"), ratio)).select("__t")
     return rows.join(chosen, rows[tie] == chosen["__t"], "left_semi")
 
 
@@ -49,12 +49,12 @@ def unit_sample(rows: DataFrame, ratio: float, salt: str, group: str, unit: str)
 
 def first_n(rows: DataFrame, n: dict[str, int], split: str = "split", ord: str = "ord") -> DataFrame:
     """The first n rows of each split; blank split is train; splits that aren't named stay whole."""
-    of = F.coalesce(F.nullif(F.trim(F.col(split)), F.lit("")), F.lit("train"))
+    of = F.coalesce(F.nullif(strip(F.col(split)), F.lit("")), F.lit("train"))
     limits = F.create_map(*[F.lit(x) for kv in n.items() for x in kv]) if n else None
     if limits is None:
         return rows
-    ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(of).orderBy(ord))).withColumn("__limit", F.try_element_at(limits, of))
-    return ranked.filter("__limit is null or __r <= __limit").drop("__r", "__limit")
+    ranked = ranks.ranked(rows.withColumn("__split", of), ["__split"], [ord], "__r").withColumn("__limit", F.try_element_at(limits, F.col("__split")))
+    return ranked.filter("__limit is null or __r <= __limit").drop("__r", "__limit", "__split")
 
 
 def smoke(rows: DataFrame, limit: int = 500) -> DataFrame:

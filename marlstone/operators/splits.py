@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
+from . import ranks
 
 #: Split shares in their order.
 SHARES = [("train", 0.70), ("dev", 0.15), ("test", 0.15)]
@@ -27,15 +28,14 @@ def assign_splits(speakers: DataFrame, language: str, speaker: str, salt: str, s
     ends = Window.partitionBy(language).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     order = F.create_map(*[F.lit(x) for k, (s, _) in enumerate(shares) for x in (s, k)])
     cuts = counts.withColumn("place", order[F.col("split")]).withColumn("upto", F.sum("n").over(ends)).groupBy(language).agg(F.sort_array(F.collect_list(F.struct("place", "upto", "split"))).alias("cuts"))
-    ranked = speakers.select(language, speaker, F.row_number().over(Window.partitionBy(language).orderBy(salted(salt, F.col(speaker).cast("string")), speaker)).alias("r"))
+    ranked = ranks.ranked(speakers.select(language, speaker, salted(salt, F.col(speaker).cast("string")).alias("__h")), [language], ["__h", speaker], "r")
     return ranked.join(cuts, language).select(language, speaker, F.get(F.filter("cuts", lambda c: F.col("r") <= c["upto"]), F.lit(0))["split"].alias("split"))
 
 
 def dense_ids(rows: DataFrame, group: str, source: str, prefix: str) -> DataFrame:
     """(group, source, id): prefix, group and a four-digit number over the sorted sources."""
-    distinct = rows.select(group, source).distinct()
-    number = F.row_number().over(Window.partitionBy(group).orderBy(source))
-    return distinct.select(group, source, F.format_string(f"{prefix}_%s_%04d", F.col(group), number).alias("id"))
+    numbered = ranks.ranked(rows.select(group, source).distinct(), [group], [source], "__r")
+    return numbered.select(group, source, F.format_string(f"{prefix}_%s_%04d", F.col(group), F.col("__r")).alias("id"))
 
 
 def round_robin(rows: DataFrame, token: str, names: list[str], per_row: int, salt: str) -> DataFrame:
@@ -43,12 +43,7 @@ def round_robin(rows: DataFrame, token: str, names: list[str], per_row: int, sal
 
     Rows in salted-hash order; the rank is a place in its range plus the sizes of the ranges before, so no task sees all rows.
     """
-    order = ["__h", token]
-    placed = rows.select(F.col(token), salted(salt, F.col(token).cast("string")).alias("__h")).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.monotonically_increasing_id())
-    placed = placed.withColumn("__part", F.shiftrightunsigned("__p", 33)).withColumn("__at", F.col("__p").bitwiseAND((1 << 33) - 1))
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row per range
-    ranked = placed.join(F.broadcast(bases), "__part").withColumn("__r", F.col("__base") + F.col("__at"))
+    ranked = ranks.ranked(rows.select(F.col(token), salted(salt, F.col(token).cast("string")).alias("__h")), [], ["__h", token], "__r").withColumn("__r", F.col("__r") - 1)
     pick = F.transform(F.sequence(F.lit(0), F.lit(per_row - 1)), lambda i: F.get(F.array(*map(F.lit, names)), ((F.col("__r") * per_row + i) % len(names)).cast("int")))
     return ranked.select(token, F.explode(pick).alias("name"))
 
@@ -62,7 +57,7 @@ def curate(candidates: DataFrame, speaker: str, keep: int, least: int, band: tup
     """
     low, high = band
     inside = F.col("duration").between(low, high)
-    rank = [F.when(inside, 0).otherwise(1), F.when(inside, F.abs(F.col("duration") - (low + high) / 2)).otherwise(F.greatest(low - F.col("duration"), F.col("duration") - high)), F.desc("speech_ratio"), F.abs(F.col("mean_db") + 20), "sample_id"]
-    whole = Window.partitionBy(speaker)
-    ranked = candidates.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("place", F.row_number().over(whole.orderBy(*rank)))
-    return ranked.filter((F.col("__n") >= least) & (F.col("place") <= keep)).drop("__n")
+    near = F.when(inside, F.abs(F.col("duration") - (low + high) / 2)).otherwise(F.greatest(low - F.col("duration"), F.col("duration") - high))
+    keyed = candidates.withColumn("__o", F.struct(F.when(inside, 0).otherwise(1).alias("a"), near.alias("b"), (-F.col("speech_ratio")).alias("c"), F.abs(F.col("mean_db") + 20).alias("d"), F.col("sample_id").alias("e")))
+    ranked = ranks.ranked(keyed, [speaker], ["__o"], "place", "__all_rows")
+    return ranked.filter((F.col("__all_rows") >= least) & (F.col("place") <= keep)).drop("__all_rows", "__o")

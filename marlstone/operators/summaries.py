@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean
+from ..functions.text import clean, strip
 
 
 def group_by_field(rows: DataFrame, field: str, keep_blank: bool = False) -> DataFrame:
     """(value, n) of a trimmed field; blanks are dropped or kept as a group of their own."""
-    own = rows.select(F.trim(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("value"))
+    own = rows.select(strip(F.coalesce(F.col(field).cast("string"), F.lit(""))).alias("value"))
     return (own if keep_blank else own.filter("value <> ''")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
 
 

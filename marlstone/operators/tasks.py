@@ -6,11 +6,12 @@ intervention tasks also the columns that ``matching.annotate`` adds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
 from ..functions.text import fold_name
+from . import ranks
 from .robustness import complete_pairs
 
 #: The families that tasks know.
@@ -48,8 +49,8 @@ def template_holdout(rows: DataFrame, dev_share: float = 0.1) -> DataFrame:
     sizes = used.groupBy("variant").agg(F.count_if(F.col("split") == "train").alias("n"), F.count_if(F.col("split") == "dev").alias("d"))
     take = F.when((F.col("d") == 0) & (F.col("n") > 1), F.least(F.col("n") - 1, F.greatest(F.lit(1), F.bround(F.col("n") * dev_share).cast("long")))).otherwise(0)
     want = sizes.select("variant", take.alias("take")).filter("take > 0")
-    ranked = used.filter("split = 'train'").join(want, "variant").withColumn("r", F.row_number().over(Window.partitionBy("variant").orderBy(salted(F.concat(F.lit("dev:"), F.col("variant")), F.col("sample_id")), "sample_id")))
-    dev = ranked.filter("r <= take").select("variant", "sample_id", F.lit("dev").alias("moved"))
+    movable = used.filter("split = 'train'").join(want, "variant").select("variant", "sample_id", "take", salted(F.concat(F.lit("dev:"), F.col("variant")), F.col("sample_id")).alias("h"))
+    dev = ranks.ranked(movable, ["variant"], ["h", "sample_id"], "r").filter("r <= take").select("variant", "sample_id", F.lit("dev").alias("moved"))
     out = used.join(dev, ["variant", "sample_id"], "left").select(F.lit("template_holdout").alias("task_id"), "variant", F.when(F.col("split") == "train", F.coalesce("moved", "split")).otherwise(F.col("split")).alias("split"), "sample_id")
     return _usable(out)
 
@@ -98,7 +99,6 @@ def pack_counts(packs: DataFrame) -> DataFrame:
 def sample_pack(pack: DataFrame, ratio: dict[str, float], salt: str = "pack") -> DataFrame:
     """``ratio`` of each split of each variant, at least one row; salted by task and split alone where variants share training rows."""
     own = pack.withColumn("__h", salted(F.concat_ws(":", F.lit(salt), "split"), F.col("sample_id")))
-    whole = Window.partitionBy("task_id", "variant", "split")
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ratio.items() for x in kv]), F.col("split")), F.lit(1.0))
-    ranked = own.withColumn("__n", F.count(F.lit(1)).over(whole)).withColumn("__r", F.row_number().over(whole.orderBy("__h", "sample_id")))
+    ranked = ranks.ranked(own, ["task_id", "variant", "split"], ["__h", "sample_id"], "__r", "__all_rows").withColumnRenamed("__all_rows", "__n")
     return ranked.filter(F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("long"))).select(PACK)

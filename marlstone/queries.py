@@ -166,8 +166,9 @@ def str17_elapsed(spark, d):
 
 @query(f"""WITH {DELIVERIES} SELECT sample_id, array_to_string(sig, '>') AS chain, '["' || array_to_string(list_sort(sig), '","') || '"]' AS operator_multiset_key, sig[-1] AS path_endpoint_key FROM deliveries""")
 def arr03_signatures(spark, d):
+    rows = deliveries(spark, d).withColumn("sig", chains.signature(F.col("operator_params"), F.lit("[]")))  # by way of the JSON text
     sig = F.col("sig")
-    return deliveries(spark, d).select("sample_id", F.array_join(sig, ">").alias("chain"), chains.multiset_key(sig).alias("operator_multiset_key"), chains.endpoint_key(sig).alias("path_endpoint_key"))
+    return rows.select("sample_id", F.array_join(sig, ">").alias("chain"), chains.multiset_key(sig).alias("operator_multiset_key"), chains.endpoint_key(sig).alias("path_endpoint_key"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_quantity <= 16 THEN 'very_low' WHEN l_quantity <= 24 THEN 'low' WHEN l_quantity <= 32 THEN 'medium' ELSE 'high' END AS bitrate,
@@ -438,7 +439,7 @@ SCORED = f"{DELIVERIES}, scored AS (SELECT chain_family, sample_id, score AS s,
 
 @query(f"WITH {SCORED}, {_auc_sql('chain_family')} SELECT * FROM auc")
 def agg18_auc(spark, d):
-    return metrics.auc(deliveries(spark, d), ["chain_family"])
+    return metrics.auc(deliveries(spark, d), ["chain_family"], tie="sample_id")
 
 
 @query(f"WITH {DOC_SCORES}, scored AS (SELECT * FROM doc_scores), {_auc_sql('')} SELECT * FROM auc")
@@ -453,7 +454,23 @@ def agg19_eer(spark, d):
 
 @query(f"WITH {DOC_SCORES}, scored AS (SELECT * FROM doc_scores), {_eer_sql('')} SELECT * FROM eer")
 def agg20_eer_overall(spark, d):
-    return metrics.eer(doc_scores(spark, d), [])
+    return metrics.eer_or_zero(doc_scores(spark, d), [])
+
+
+@query(f"WITH {DELIVERIES}, scored AS (SELECT chain_family, ord AS sample_id, round(score / 10000) * 10000 AS s, y FROM deliveries), {_auc_sql('chain_family')} SELECT * FROM auc")
+def agg18_auc_ties_in_input_order(spark, d):
+    return metrics.auc(deliveries(spark, d).withColumn("score", F.round(F.col("score") / 10000) * 10000), ["chain_family"])
+
+
+@query(f"WITH {DELIVERIES}, scored AS (SELECT speaker_id, sample_id, score AS s, y FROM deliveries), {_eer_sql('speaker_id').replace('coalesce((fnr + fpr) / 2, 0.0)', 'coalesce((fnr + fpr) / 2, 1.0)')} SELECT * FROM eer")
+def agg19_eer_of_one_class(spark, d):
+    """Many speakers have one class alone: 1 and 0."""
+    return metrics.eer(deliveries(spark, d), ["speaker_id"])
+
+
+@query(f"WITH {DELIVERIES}, scored AS (SELECT speaker_id, sample_id, score AS s, y FROM deliveries), {_eer_sql('speaker_id')} SELECT * FROM eer")
+def agg20_eer_of_one_class(spark, d):
+    return metrics.eer_or_zero(deliveries(spark, d), ["speaker_id"])
 
 
 @query(f"""WITH {SCORED}, h AS (SELECT *, CASE WHEN s >= 100000 THEN 1 ELSE 0 END AS hit FROM scored)
@@ -472,7 +489,7 @@ def agg24_subgroups(spark, d):
 SELECT baseline, variant, round(auc, 9) AS auc, round(eer, 9) AS eer FROM v UNION ALL SELECT baseline, 'macro_avg', round(avg(auc), 9), round(avg(eer), 9) FROM v GROUP BY 1""")
 def agg31_macro(spark, d):
     rows = deliveries(spark, d)
-    per = metrics.auc(rows, ["chain_family"]).join(metrics.eer(rows, ["chain_family"]), "chain_family").select(F.lit("m").alias("baseline"), F.col("chain_family").alias("variant"), "auc", "eer")
+    per = metrics.auc(rows, ["chain_family"], tie="sample_id").join(metrics.eer(rows, ["chain_family"]), "chain_family").select(F.lit("m").alias("baseline"), F.col("chain_family").alias("variant"), "auc", "eer")
     return metrics.macro_average(per, ["baseline"], ["auc", "eer"]).select("baseline", "variant", F.round("auc", 9).alias("auc"), F.round("eer", 9).alias("eer"))
 
 

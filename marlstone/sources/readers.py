@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_shard
-from ..functions.text import clean, english_transcript, spaced_transcript
+from ..functions.text import clean, english_transcript, spaced_transcript, strip
 
 
 def csv_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
@@ -38,21 +38,21 @@ def path_stem(path: Column) -> Column:
 
 def raw_scores(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``path ... score``: the first token's stem and the last token; lines of fewer than two tokens go."""
-    tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda t: t != "")
+    tokens = F.filter(F.split(strip(F.col("value")), r"\s+"), lambda t: t != "")
     lines = spark.read.text(path).select(tokens.alias("t")).filter("size(t) >= 2")
     return lines.select(path_stem(F.col("t")[0]).alias("sample_id"), F.element_at("t", -1).alias("score"), F.col("t")[0].alias("raw_path"))
 
 
 def protocol(spark: SparkSession, path: str) -> DataFrame:
     """(sample_id, label) of lines ``speaker sample_id - source label``; 1 is bonafide."""
-    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("t")).filter("size(t) >= 5")
+    lines = spark.read.text(path).select(F.split(strip(F.col("value")), r"\s+").alias("t")).filter("size(t) >= 5")
     return lines.select(F.col("t")[1].alias("sample_id"), (F.col("t")[4] == "bonafide").cast("int").alias("label"))
 
 
 def speakers(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated speaker lines of exactly four fields; comments and blank lines go."""
     lines = spark.read.text(path).filter("trim(value) <> '' and not startswith(value, '#')").select(F.split("value", "\t").alias("t")).filter("size(t) = 4")
-    return lines.select(*[F.trim(F.col("t")[k]).alias(c) for k, c in enumerate(("speaker_id", "age", "gender", "accent"))])
+    return lines.select(*[strip(F.col("t")[k]).alias(c) for k, c in enumerate(("speaker_id", "age", "gender", "accent"))])
 
 
 def spaced_corpus(spark: SparkSession, paths: dict[str, str]) -> DataFrame:

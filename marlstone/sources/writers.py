@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import protocol_label
+from ..functions.text import protocol_label, strip
 from ..storage import written
 
 
@@ -46,7 +46,7 @@ def attack_label(rows: DataFrame, ord: str = "ord") -> DataFrame:
     inside = Window.partitionBy("__part").orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)
     turn = F.col("__spoofs") + F.sum(spoof).over(inside) - 1
     index = F.col("__n") + F.col("__place").bitwiseAND((1 << 33) - 1)
-    speaker = F.coalesce(F.nullif(F.trim(F.col("speaker_id").cast("string")), F.lit("")), F.format_string("spk_%06d", index))
+    speaker = F.coalesce(F.nullif(strip(F.col("speaker_id").cast("string")), F.lit("")), F.format_string("spk_%06d", index))
     attack = F.when(spoof == 1, F.format_string("A%02d", F.pmod(turn, F.lit(13)) + 7)).otherwise("-")
     return rows.select(F.col(ord), speaker.alias("speaker"), "sample_id", attack.alias("attack"), protocol_label(F.col("label")).alias("label"))
 
