@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import buckets
 from .text import clean, strip
 
-OPERATOR = "array<struct<op:string,codec:string,bitrate:string,encode_sample_rate:string,loss_rate_pct:string,concealment:string,mode:string,snr_db:string,noise_type:string,rt60:string,distance:string,room:struct<name:string>,profile:string,agc_profile:string,jitter_ms:string>>"
+OPERATOR = "array<struct<op:string,codec:string,bitrate:string,encode_sample_rate:string,loss_rate_pct:string,concealment:string,mode:string,snr_db:string,noise_type:string,rt60:string,distance:string,room:struct<name:string,room_dim:array<double>>,backend:string,profile:string,agc_profile:string,jitter_ms:string>>"
 
 
 def parse_names(text: Column) -> Column:
@@ -18,7 +18,9 @@ def parse_names(text: Column) -> Column:
 
 def parse_operators(text: Column) -> Column:
     """A JSON list of objects as structs; what isn't one is empty, entries that aren't objects go."""
-    parsed = F.when(F.ltrim(text).startswith("["), F.from_json(text, OPERATOR))
+    entries = F.when(F.ltrim(text).startswith("["), F.from_json(text, "array<string>"))
+    objects = F.filter(entries, lambda x: x.startswith("{"))
+    parsed = F.transform(objects, lambda x: F.from_json(x, OPERATOR.removeprefix("array<").removesuffix(">")))
     return F.coalesce(F.filter(parsed, lambda o: o.isNotNull()), F.array().cast(OPERATOR))
 
 

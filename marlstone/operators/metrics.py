@@ -53,10 +53,10 @@ def eer(rows: DataFrame, keys: list[str], degenerate: float = 1.0) -> DataFrame:
     totals = known.groupBy(*keys).agg(F.sum("y").alias("p"), F.sum(1 - F.col("y")).alias("n"))
     start = totals.select(*keys, F.lit(float("inf")).alias("s"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"))
     points = corners.select(*keys, "s", "tp", "fp").unionByName(start)
-    rates = _join(points, totals, keys).withColumn("fnr", 1 - F.col("tp") / F.col("p")).withColumn("fpr", F.col("fp") / F.col("n"))
+    rates = join_on(points, totals, keys).withColumn("fnr", 1 - F.col("tp") / F.col("p")).withColumn("fpr", F.col("fp") / F.col("n"))
     best = rates.filter("p > 0 and n > 0").groupBy(*keys).agg(F.min(F.struct(F.abs(F.col("fnr") - F.col("fpr")).alias("gap"), (-F.col("s")).alias("place"), F.col("fpr").alias("fpr"), F.col("fnr").alias("fnr"))).alias("at"))
     value = best.select(*keys, ((F.col("at.fpr") + F.col("at.fnr")) / 2).alias("eer"), (-F.col("at.place")).alias("threshold"))
-    return _join(totals.select(*keys), value, keys, "left").select(*keys, F.coalesce("eer", F.lit(degenerate)).alias("eer"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
+    return join_on(totals.select(*keys), value, keys, "left").select(*keys, F.coalesce("eer", F.lit(degenerate)).alias("eer"), F.coalesce("threshold", F.lit(0.0)).alias("threshold"))
 
 
 def eer_or_zero(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -64,7 +64,8 @@ def eer_or_zero(rows: DataFrame, keys: list[str]) -> DataFrame:
     return eer(rows, keys, 0.0)
 
 
-def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` and ``right`` by the keys; without keys ``right`` has one row."""
     if keys:
         return left.join(right, keys, how)
     return left.join(F.broadcast(right), F.lit(True), how)  # one row
@@ -73,7 +74,7 @@ def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 def accuracy_f1(rows: DataFrame, keys: list[str], thresholds: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """Accuracy and F1 of bonafide at ``threshold``, or at each group's own in ``thresholds`` (keys, threshold)."""
     known = scored(rows).filter("y is not null")
-    known = _join(known, thresholds, keys) if thresholds is not None else known.withColumn("threshold", F.lit(threshold))
+    known = join_on(known, thresholds, keys) if thresholds is not None else known.withColumn("threshold", F.lit(threshold))
     known = known.withColumn("hit", (F.col("s") >= F.col("threshold")).cast("int"))
     sums = known.groupBy(*keys).agg(F.avg((F.col("hit") == F.col("y")).cast("double")).alias("accuracy"), F.sum(F.col("hit") * F.col("y")).alias("tp"), F.sum("hit").alias("said"), F.sum("y").alias("p"))
     return sums.select(*keys, F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), F.when(F.col("said") + F.col("p") > 0, 2.0 * F.col("tp") / (F.col("said") + F.col("p"))).otherwise(0.0).alias("f1"))

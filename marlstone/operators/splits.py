@@ -61,3 +61,23 @@ def curate(candidates: DataFrame, speaker: str, keep: int, least: int, band: tup
     keyed = candidates.withColumn("__o", F.struct(F.when(inside, 0).otherwise(1).alias("a"), near.alias("b"), (-F.col("speech_ratio")).alias("c"), F.abs(F.col("mean_db") + 20).alias("d"), F.col("sample_id").alias("e")))
     ranked = ranks.ranked(keyed, [speaker], ["__o"], "place", "__all_rows")
     return ranked.filter((F.col("__all_rows") >= least) & (F.col("place") <= keep)).drop("__all_rows", "__o")
+
+
+def spread(rows: DataFrame, order: str, names: list[str], out: str) -> DataFrame:
+    """``rows`` with ``names`` in turn, in their order."""
+    ranked = ranks.ranked(rows, [], [order], "__r")
+    return ranked.withColumn(out, F.get(F.array(*map(F.lit, names)), ((F.col("__r") - 1) % len(names)).cast("int"))).drop("__r")
+
+
+def in_position(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their 1-based position in a total order: how a manifest is listed."""
+    return ranks.ranked(rows, [], order, "position")
+
+
+#: The orders in which manifests are listed.
+ORDERS = {
+    "deliveries": ["chain_family", "language", "split", "speaker_id", "sample_id"],
+    "dataset": ["language", "split", "speaker_id", "sample_id"],
+    "sources": ["language", "split", "speaker_id", "utterance_id"],
+    "generated": ["language", "split", "speaker_id", "sample_id"],
+}

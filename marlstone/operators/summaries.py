@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.buckets import number
 from ..functions.text import clean, strip
 
 
@@ -55,7 +56,7 @@ def parent_coverage(rows: DataFrame, required: list[str], parent: str = "parent_
 
 def status_summary(rows: DataFrame, fields: list[str]) -> DataFrame:
     """Rows, parents, ok share and field means: overall, by family, by family and language (a ROLLUP)."""
-    means = [F.avg(F.col(f).cast("string").try_cast("double")).alias(f"mean_{f}") for f in fields]
+    means = [F.avg(number(F.col(f))).alias(f"mean_{f}") for f in fields]
     out = rows.rollup("chain_family", "language").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct(clean(F.col("parent_id").cast("string"))).alias("parents"), F.count_if(F.col("status") == "ok").alias("ok_rows"), F.grouping_id().alias("gid"), *means
     )

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
 from ..functions.text import fold_name
+from ..storage import written
 from . import ranks
 from .robustness import complete_pairs
 
@@ -102,3 +103,91 @@ def sample_pack(pack: DataFrame, ratio: dict[str, float], salt: str = "pack") ->
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ratio.items() for x in kv]), F.col("split")), F.lit(1.0))
     ranked = ranks.ranked(own, ["task_id", "variant", "split"], ["__h", "sample_id"], "__r", "__all_rows").withColumnRenamed("__all_rows", "__n")
     return ranked.filter(F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("long"))).select(PACK)
+
+
+#: Splits in their order, and what folds may be asked for.
+SPLITS = ["train", "dev", "test"]
+PROTOCOLS, SCOPES = {"template_holdout": ["in_chain_detection"]}, ["per_family"]
+ANNOTATIONS = ["operator_multiset_key", "swap_group_id", "path_group_id", "parameter_group_id", "substitution_group_id"]
+BUILDERS = {"in_chain_detection": in_chain, "operator_substitution": operator_substitution, "parameter_perturbation": parameter_perturbation, "order_swap": order_swap, "delivery_robustness": delivery_robustness}
+
+
+def ratio(value: float | str, name: str = "sample_ratio") -> float:
+    out = float(value)
+    if not 0 < out <= 1:
+        raise ValueError(f"{name} must be above 0 and at most 1, not {value}")
+    return out
+
+
+def split_ratios(value, name: str = "sample_ratio") -> dict[str, float]:
+    """A ratio for each split from one number, three of them, or a mapping with exactly the three."""
+    if isinstance(value, (int, float)):
+        return dict.fromkeys(SPLITS, ratio(value, name))
+    if isinstance(value, (list, tuple)) and len(value) == len(SPLITS):
+        return {s: ratio(v, f"{name}.{s}") for s, v in zip(SPLITS, value)}
+    if isinstance(value, dict) and set(value) == set(SPLITS):
+        return {s: ratio(value[s], f"{name}.{s}") for s in SPLITS}
+    raise ValueError(f"{name} must be a number, or one for each of {', '.join(SPLITS)}")
+
+
+def task_ratios(task_ids: list[str], value) -> dict[str, dict[str, float]]:
+    """Ratios by task: one number for all, or a mapping from some of them."""
+    if value is None:
+        return {}
+    if isinstance(value, (int, float)):
+        return {t: split_ratios(value) for t in task_ids}
+    if not isinstance(value, dict) or set(value) - set(task_ids):
+        raise ValueError(f"sample_ratio must be a number or map tasks among {', '.join(task_ids)}")
+    return {t: split_ratios(v, f"sample_ratio.{t}") for t, v in value.items()}
+
+
+def generalization(raw, task_ids: list[str]) -> dict[str, str] | None:
+    """A checked request for folds: protocol and scope; None or blank asks for none."""
+    if raw is None or raw == "":
+        return None
+    if not isinstance(raw, dict) or str(raw.get("protocol", "")).strip() not in PROTOCOLS:
+        raise ValueError(f"generalization needs a protocol of {', '.join(PROTOCOLS)}")
+    protocol, scope = str(raw["protocol"]).strip(), str(raw.get("scope") or "").strip() or SCOPES[0]
+    if scope not in SCOPES:
+        raise ValueError(f"generalization.scope must be one of {', '.join(SCOPES)}")
+    others = [t for t in task_ids if t not in PROTOCOLS[protocol]]
+    if others:
+        raise ValueError(f"{protocol} isn't for {', '.join(others)}")
+    return {"protocol": protocol, "scope": scope}
+
+
+def annotated(rows: DataFrame) -> DataFrame:
+    """``rows``, mined and matched if any of the columns is missing that this gives."""
+    from .matching import annotate
+
+    missing = [c for c in ANNOTATIONS if c not in rows.columns]
+    # what is there of them is dropped, so that no group id of an earlier matching stays
+    return annotate(rows.drop(*ANNOTATIONS, "parameter_axis", "substitution_detail", "swap_gap", "path_step_index", "path_endpoint_key")) if missing else rows
+
+
+def truncated(packs: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """The first rows by ``ord`` of each split of each pack."""
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("split"))
+    kept = ranks.ranked(packs, ["task_id", "variant", "split"], ["ord"], "__r")
+    return kept.filter(limit.isNull() | (F.col("__r") <= limit)).drop("__r")
+
+
+def build_packs(rows: DataFrame, task_ids: list[str], config: dict | None = None) -> DataFrame:
+    """Packs of all ``task_ids``, sampled by ``config``'s sample_ratio and cut by its limits (split -> rows).
+
+    Rows are annotated once, if a task asks for groups. Within a task the in-chain
+    one samples test rows by family.
+    """
+    config = config or {}
+    folds, ratios = generalization(config.get("generalization"), task_ids), task_ratios(task_ids, config.get("sample_ratio"))
+    grouped = {"operator_substitution", "parameter_perturbation", "order_swap"}
+    own = written(annotated(rows), "annotated") if grouped & set(task_ids) else rows
+    out = None
+    for task in task_ids:
+        made = template_holdout(own) if folds and task == "in_chain_detection" else BUILDERS[task](own)
+        if task in ratios:
+            made = sample_pack(made, ratios[task])
+        out = made if out is None else out.unionByName(made)
+    if config.get("limits"):
+        out = truncated(out.join(rows.select("sample_id", "ord"), "sample_id"), config["limits"]).select(PACK)
+    return out

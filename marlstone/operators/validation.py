@@ -64,3 +64,28 @@ def speech_reason(limits: dict) -> Column:
     """Why a candidate is refused: mean volume, then peak, then share of speech (1 - silence / duration, not below 0)."""
     speech = F.greatest(F.lit(0.0), 1 - F.col("silence_sec") / F.col("duration_sec"))
     return ladder((F.col("mean_db") < limits["min_mean_db"], "mean_volume"), (F.col("max_db") > limits["max_db"], "peak"), (speech < limits["min_speech"], "speech_ratio"))
+
+
+def output_reason(limits: dict) -> Column:
+    """Why an output isn't taken: duration, then rate, channels and codec, then an empty file. Delivered and rendered samples are held to the same."""
+    duration = F.coalesce(F.col("duration_sec"), F.lit(0.0))
+    seconds = lambda what: F.concat(F.lit(f"duration too {what}: "), F.format_string("%.3fs", duration))
+    unexpected = lambda name: (~F.col(name).eqNullSafe(F.lit(limits[name])), F.concat(F.lit(f"unexpected {name.replace('_', ' ')}: "), F.coalesce(F.col(name).cast("string"), F.lit(""))))
+    return ladder(
+        (duration < limits["min_duration"], seconds("short")), (duration > limits["max_duration"], seconds("long")), unexpected("sample_rate"), unexpected("channels"), unexpected("codec_name"),
+        (F.coalesce(F.col("size_bytes"), F.lit(0)) <= 0, "empty output file"),
+    )
+
+
+def is_final(final: dict) -> Column:
+    """Whether a probed file has the final format already, so that it can be copied."""
+    same = [F.col(c).eqNullSafe(F.lit(final[c])) for c in ("sample_rate", "channels", "codec_name")]
+    return same[0] & same[1] & same[2] & (F.coalesce(F.col("size_bytes"), F.lit(0)) > 0)
+
+
+def active(generators: dict[str, dict], only: list[str] | None = None) -> dict[str, dict]:
+    """The enabled generators, of ``only`` where that is given; an error if none is left."""
+    kept = {k: g for k, g in generators.items() if g.get("enabled", False) and (not only or k in only)}
+    if not kept:
+        raise ValueError("no generator is active")
+    return kept

@@ -1,9 +1,7 @@
-"""The engine's queries on the driver's tables, each with SQL that gives the same rows where SQL can."""
+"""Queries of the mining, matching, metric, sampling, planning and streaming operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,24 +10,10 @@ from .fixtures import DELIVERIES, DOC_SCORES, TRANSCRIPTS, deliveries, doc_score
 from .functions import arrays, buckets, chains, hashing, text
 from .operators import joins, matching, metrics, preservation, projections, robustness, sampling, signals, splits, summaries, tasks, validation
 from .plans import planner
+from .registry import ORACLES, QUERIES, query  # noqa: F401  the registry is also known from here
 from .sources import readers, writers
 from .streaming import summary as streaming
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 # --- sources, filters, projections ---------------------------------------------------------------
 
 

@@ -10,9 +10,26 @@ from ..functions.hashing import md5_shard
 from ..functions.text import clean, english_transcript, spaced_transcript, strip
 
 
-def csv_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """All columns as text; quoted fields may hold line breaks."""
-    return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"')
+def csv_rows(spark: SparkSession, path: str, sep: str = ",", breaks: bool = True) -> DataFrame:
+    """All columns as text. With ``breaks`` quoted fields may hold line breaks, and a file is one task; without, files are split."""
+    return spark.read.csv(path, header=True, sep=sep, multiLine=breaks, escape='"')
+
+
+def csv_scores(spark: SparkSession, path: str, column: str = "score") -> DataFrame:
+    """(sample_id, score, raw_path) of a CSV whose rows are known by the stem of their audio's path."""
+    rows = csv_rows(spark, path, breaks=False)
+    return rows.select(path_stem(F.col("audio_path")).alias("sample_id"), F.col(column).alias("score"), F.col("audio_path").alias("raw_path"))
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row: a JSON document of several lines."""
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def finished_rows(rows: DataFrame, keys: list[str], ord: str) -> DataFrame:
+    """Rows of an earlier run, the first of each key: what a resumed run starts from. The key is the first column of ``keys`` that isn't blank."""
+    key = F.coalesce(*[clean(F.col(k)) for k in keys], F.to_json(F.struct(*keys)))
+    return rows.withColumn("__key", key).groupBy("__key").agg(F.min_by(F.struct(*rows.columns), ord).alias("r")).select("r.*")
 
 
 def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:

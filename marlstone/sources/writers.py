@@ -59,3 +59,99 @@ def write_protocol(rows: DataFrame, path: str, ord: str = "ord") -> None:
 def write_scores(rows: DataFrame, path: str) -> None:
     """``id score`` lines."""
     rows.select(F.concat_ws(" ", "sample_id", F.col("score").cast("string")).alias("value")).write.text(path)
+
+
+def write_json_lines(rows: DataFrame, path: str, mode: str = "error") -> None:
+    """A JSON object a line, nulls as nulls, text as it is; ``append`` makes it a log of results."""
+    rows.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def write_document(rows: DataFrame, path: str) -> None:
+    """One row as an indented JSON document in ``path``: a summary, so it passes the driver. Any file system that Spark reaches will do."""
+    first = rows.select(F.to_json(F.struct(*rows.columns), {"pretty": "true", "ignoreNullFields": "false"}).alias("value")).limit(1)
+    first.coalesce(1).write.mode("overwrite").text(path)
+
+
+#: The tables of counts that go with a release.
+COUNT_TABLES = {"label_language_split": ["label", "language", "split"], "chain_family_label": ["chain_family", "label"], "generator_family_label": ["generator_family", "label"]}
+
+
+def write_count_tables(rows: DataFrame, path: str) -> dict[str, str]:
+    """Counts by each of ``COUNT_TABLES`` as sorted CSV; returns their paths."""
+    out = {}
+    for name, keys in COUNT_TABLES.items():
+        out[name] = f"{path}/stats_{name}"
+        rows.groupBy(*keys).agg(F.count(F.lit(1)).cast("string").alias("samples")).orderBy(*keys).write.mode("overwrite").csv(out[name], header=True)
+    return out
+
+
+def write_metrics(per_run: DataFrame, path: str) -> None:
+    """JSON metrics in a folder for each (task, variant, baseline)."""
+    per_run.repartition("task_id", "variant", "baseline").write.mode("overwrite").partitionBy("task_id", "variant", "baseline").json(path)
+
+
+def write_score_table(rows: DataFrame, path: str) -> None:
+    """The four columns of scores as CSV."""
+    write_csv(rows, path, ["sample_id", "score", "label", "raw_path"], "overwrite")
+
+
+#: Lines that a detector wants to find, whatever is evaluated.
+PLACEHOLDER_SCORES = ["utt_tar_1 target 0.95", "utt_tar_2 target 0.82", "utt_non_1 nontarget -0.45", "utt_non_2 nontarget -0.22", "utt_spoof_1 spoof -0.71", "utt_spoof_2 spoof -0.54"]
+
+
+def placeholder_scores(spark) -> DataFrame:
+    return spark.createDataFrame([(k, x) for k, x in enumerate(PLACEHOLDER_SCORES)], "ord int, value string")
+
+
+def exported_path(rows: DataFrame) -> DataFrame:
+    """``rows`` with file_name, where a release keeps their audio: split/audio/language/label/id and the suffix of audio_path."""
+    suffix = F.regexp_extract("audio_path", r"[^/](\.[^./]*)$", 1)
+    return rows.withColumn("file_name", F.concat(F.concat_ws("/", "split", F.lit("audio"), "language", "label", "sample_id"), suffix))
+
+
+def linked(rows: DataFrame, database: str, track: str = "LA", suffix: str = "flac") -> DataFrame:
+    """``rows`` with linked_audio_path, their place in a detector's folders by split."""
+    split = F.when(F.col("split") == "test", "eval").otherwise(F.col("split"))
+    return rows.withColumn("linked_audio_path", F.concat(F.lit(f"{database}/ASVspoof2019_{track}_"), split, F.lit(f"/{suffix}/"), F.col("sample_id"), F.lit(f".{suffix}")))
+
+
+def write_view(pack: DataFrame, path: str, track: str = "LA") -> DataFrame:
+    """A detector's view of one pack (split, ord, speaker_id, sample_id, label): a protocol for each split and the placeholder scores, rewritten if the pack has changed.
+
+    Returns its rows (split, ord, line). The view's manifest holds the digest of
+    the pack's rows; where that is the same nothing is written.
+    """
+    spark = pack.sparkSession
+    parts = []
+    for split in ("train", "dev", "test"):
+        made = attack_label(pack.filter(F.col("split") == split))
+        parts.append(made.select(F.lit(split).alias("split"), "ord", F.concat_ws(" ", "speaker", "sample_id", F.lit("-"), "attack", "label").alias("line")))
+    lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # independent of the order of summing; ord is part of a line's hash
+    digest = lines.agg(*[F.coalesce(F.sum(F.conv(F.substring(F.sha1(F.concat_ws(" ", "split", F.col("ord").cast("string"), "line")), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"d{k}") for k in range(4)])
+    now = f"{track} " + "-".join(digest.first())
+    if read_text(spark, f"{path}/manifest") == [now]:
+        return spark.read.schema(lines.schema).parquet(f"{path}/lines")
+    lines.write.mode("overwrite").parquet(f"{path}/lines")
+    for split in ("train", "dev", "test"):
+        own = spark.read.parquet(f"{path}/lines").filter(F.col("split") == split)
+        own.orderBy("ord").select("line").write.mode("overwrite").text(f"{path}/protocols/{split}")
+    placeholder_scores(spark).orderBy("ord").select("value").write.mode("overwrite").text(f"{path}/asv_scores")
+    spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return spark.read.schema(lines.schema).parquet(f"{path}/lines")
+
+
+def list_lines(pack: DataFrame, root: str, track: str = "LA") -> DataFrame:
+    """(split, ord, line) of the lists that another detector reads: first the root, then each row's file below it."""
+    of = F.when(F.col("split") == "test", "eval").otherwise(F.col("split"))
+    files = pack.select("split", "ord", F.concat(F.lit(f"ASVspoof2019_{track}_"), of, F.lit("/flac/"), F.col("sample_id"), F.lit(".flac")).alias("line"))
+    heads = pack.select("split").distinct().select("split", F.lit(-1).cast(dict(pack.dtypes)["ord"]).alias("ord"), F.lit(root).alias("line"))
+    return heads.unionByName(files)
+
+
+def read_text(spark, path: str) -> list[str]:
+    """The lines of a small text file, [] where there is none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+        return []
+    return [r["value"] for r in spark.read.text(path).collect()]
