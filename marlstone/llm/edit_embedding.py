@@ -248,39 +248,40 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, Da
     classes = store(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     named = classes.select("node", "fingerprint")
 
-    @F.pandas_udf("double")
-    def alike(left, right):
-        import pandas as pd
-
-        return pd.Series([likeness(a, b) for a, b in zip(left, right)])
-
-    def tile(frame):
-        import pandas as pd
-
-        low, high = frame["i"].iloc[0], frame["j"].iloc[0]
-        left, right = (frame[frame["block"] == k] for k in (low, high))
-        like = likeness_grid(left["fingerprint"].tolist(), right["fingerprint"].tolist())
-        ra, rb = left["root"].to_numpy(), right["root"].to_numpy()
-        x, y = np.nonzero((like >= threshold) & (ra[:, None] != rb[None, :]))
-        both = np.stack([np.minimum(ra[x], rb[y]), np.maximum(ra[x], rb[y])])
-        _, one = np.unique(both, axis=1, return_index=True)
-        a, b = left["node"].to_numpy()[x[one]], right["node"].to_numpy()[y[one]]
-        return pd.DataFrame({"x": np.minimum(a, b), "y": np.maximum(a, b), "likeness": like[x[one], y[one]]}).astype({"x": "int64", "y": "int64", "likeness": "float64"})
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            like = np.array([likeness(a, b) for a, b in zip(*(batch.column(k).to_pylist() for k in (2, 3)))], float)
+            keep = pa.array(like >= threshold)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(like).filter(keep)], names=["x", "y", "likeness"])
+
+    def tile(rows: pa.Table) -> pa.Table:
+        low, high = rows.column("i")[0].as_py(), rows.column("j")[0].as_py()
+        node, root, block = (rows.column(c).to_numpy() for c in ("node", "root", "block"))
+        prints = np.array(rows.column("fingerprint").to_pylist(), object)
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        like = likeness_grid(prints[left].tolist(), prints[right].tolist())
+        x, y = np.nonzero((like >= threshold) & (root[left][:, None] != root[right][None, :]))
+        ra, rb = root[left[x]], root[right[y]]
+        _, one = np.unique(np.stack([np.minimum(ra, rb), np.maximum(ra, rb)]), axis=1, return_index=True)
+        a, b = node[left[x[one]]], node[right[y[one]]]
+        return pa.table({"x": pa.array(np.minimum(a, b), pa.int64()), "y": pa.array(np.maximum(a, b), pa.int64()), "likeness": pa.array(like[x[one], y[one]], pa.float64())})
 
     rows = classes.select("node", F.explode(F.array_distinct("bands")).alias("bucket"))
     hubs = store(rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1"), "hubs")
     members = store(rows.join(hubs, "bucket"), "members")
     pairs = members.filter("node <> hub").select(F.col("hub").alias("x"), F.col("node").alias("y")).distinct()
     ends = lambda c: named.select(F.col("node").alias(c), F.col("fingerprint").alias(f"{c}_print"))
-    stars = pairs.join(ends("x"), "x").join(ends("y"), "y").select("x", "y", alike("x_print", "y_print").alias("likeness"))
-    stars = store(stars.filter(F.col("likeness") >= threshold), "stars")
+    met = pairs.join(ends("x"), "x").join(ends("y"), "y").select("x", "y", "x_print", "y_print")
+    stars = store(met.mapInArrow(verified, "x long, y long, likeness double"), "stars")
     root = store(components(stars.select(F.col("x").alias("a"), F.col("y").alias("b"))), "roots")
     placed = store(members.join(root, "node", "left").select("bucket", "node", "m", F.coalesce("root", "node").alias("root")), "placed")
     open_ = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("bucket")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     own = placed.join(open_, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     tiles = own.select("bucket", "node", "root", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    missed = tiles.join(named, "node").groupBy("bucket", "i", "j").applyInPandas(tile, "x long, y long, likeness double")
+    # tiles are small to send and long to compute, so they are dealt over all partitions, whatever their size
+    dealt = tiles.join(named, "node").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
+    missed = dealt.groupBy("bucket", "i", "j").applyInArrow(tile, "x long, y long, likeness double")
     return classes, stars.unionByName(missed).dropDuplicates(["x", "y"])
 
 
@@ -357,7 +358,7 @@ def with_next(docs: DataFrame, beside: DataFrame | None = None, partitions: int
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_class long"
 
 
-def edit_report(docs: DataFrame, batch_chars: int = 24_000_000, threshold: float = 0.9) -> DataFrame:
+def edit_report(docs: DataFrame, batch_chars: int = 12_000_000, threshold: float = 0.9) -> DataFrame:
     """Per row: fingerprints of its text and of its text edited with the next one, how alike they are, and its class of near texts.
 
     near_class is the smallest doc_id of the class that ``near_classes`` gives the row; its own if it is alone.
