@@ -7,10 +7,11 @@ run's threshold as one row.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
+from ..storage import written
 from . import joins, metrics, robustness
 from .splits import spread
 
@@ -25,23 +26,34 @@ PROFILES = {
 PAIR_FIGURES = {"pairs": "pair_count", "consistency": "pair_consistency_rate", "joint_accuracy": "pair_joint_accuracy", "risk": "pair_symmetric_misclassification_risk", "drift": "mean_normalized_score_drift"}
 
 
+def _roc(own: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n_bonafide, n_spoof, n_samples, eer, threshold) of scored rows; eer is 1 and threshold 0 with one class, null without known labels."""
+    counts = metrics.label_counts(own, keys).withColumn("n_samples", F.col("n_bonafide") + F.col("n_spoof") + F.col("n_unknown")).drop("n_unknown")
+    return metrics.join_on(counts, metrics.eer(own, keys), keys, "left")
+
+
+def _two_classes() -> Column:
+    return (F.col("n_bonafide") > 0) & (F.col("n_spoof") > 0)
+
+
+def _calibrated() -> Column:
+    return F.when(F.col("n_bonafide") + F.col("n_spoof") > 0, F.col("threshold")).otherwise(0.5)
+
+
 def thresholds(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, calibrated, paired): the threshold of the EER (0.5 without scored rows, 0 with one class), and that of pairs (0.5 in both cases)."""
-    counts = metrics.label_counts(rows, keys)
-    found = metrics.eer(rows, keys).select(*keys, F.col("threshold").alias("t"))
-    met = metrics.join_on(counts, found, keys, "left")
-    two = (F.col("n_bonafide") > 0) & (F.col("n_spoof") > 0)
-    return met.select(*keys, F.coalesce("t", F.lit(0.5)).alias("calibrated"), F.when(two, F.coalesce("t", F.lit(0.5))).otherwise(0.5).alias("paired"))
+    return _roc(rows, keys).select(*keys, _calibrated().alias("calibrated"), F.when(_two_classes(), _calibrated()).otherwise(0.5).alias("paired"))
 
 
 def base_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, eer, auc, accuracy, f1, calibrated_threshold, n_samples) of scores with labels; rows of unknown label count in n_samples alone."""
-    at = thresholds(rows, keys).select(*keys, F.col("calibrated").alias("threshold"))
-    n = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_samples"))
-    out = metrics.join_on(n, at.withColumnRenamed("threshold", "calibrated_threshold"), keys, "left")
-    for part in (metrics.eer_or_zero(rows, keys).select(*keys, "eer"), metrics.auc(rows, keys), metrics.accuracy_f1(rows, keys, at)):
+    own = written(rows.select(*keys, *[c for c in ("sample_id", "ord", "score", "label") if c in rows.columns]), "scores")  # several metrics read them
+    roc = written(_roc(own, keys), "roc")
+    at = roc.select(*keys, _calibrated().alias("threshold"))
+    out = roc.select(*keys, F.when(_two_classes(), F.col("eer")).otherwise(0.0).alias("eer"), _calibrated().alias("calibrated_threshold"), "n_samples")
+    for part in (metrics.auc(own, keys), metrics.accuracy_f1(own, keys, at)):
         out = metrics.join_on(out, part, keys, "left")
-    return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("eer", "auc", "accuracy", "f1")], F.coalesce("calibrated_threshold", F.lit(0.5)).alias("calibrated_threshold"), "n_samples")
+    return out.select(*keys, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("eer", "auc", "accuracy", "f1")], "calibrated_threshold", "n_samples")
 
 
 def names_of_pairs(profile: str) -> dict[str, str]:

@@ -33,13 +33,13 @@ def limit(x: np.ndarray, top: float = 0.98) -> np.ndarray:
 
 @register("packet_loss")
 def packet_loss(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
-    """Two-state losses of 20 ms frames with bursts; lost frames fade the last good one, are interpolated or filled with noise."""
+    """Two-state losses of 20 ms frames with bursts; lost frames repeat the last good one (repeat) or fade it, are interpolated or filled with noise."""
     random, size = np.random.default_rng(seed), max(1, int(params.get("frame", RATE // 50)))
     n = -(-len(x) // size)
     out = np.zeros(n * size)
     out[: len(x)] = x
     frames = out.reshape(n, size)
-    loss, burst = float(params.get("loss_rate_pct", 1)) / 100, max(1.0, float(params.get("burst", 2)))
+    loss, burst = float(params.get("loss_rate_pct", 1)) / 100, max(1.0, float(params.get("avg_burst_frames", 2)))
     leave = 1 / burst
     enter = min(1.0, loss * leave / max(1e-9, 1 - loss))
     draws, bad, lost = random.random(n), False, np.zeros(n, bool)
@@ -57,6 +57,8 @@ def packet_loss(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
             after = good[good > k]
             following = frames[after[0]] if len(after) else last
             frames[k] = (last + following) / 2
+        elif how == "repeat":
+            frames[k] = last
         else:
             frames[k] = last * 0.8 ** (k - before[-1] if len(before) else 1)
     return out[: len(x)]
@@ -145,14 +147,26 @@ def resample(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
     return x
 
 
-@register("codec")
-def companded(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
-    """A round trip through 8-bit mu-law; other codecs need an encoder outside the engine and are registered by name."""
+def _mu_law(x: np.ndarray) -> np.ndarray:
     y = np.sign(x) * np.log1p(255 * np.minimum(np.abs(x), 1)) / np.log(256)
     y = np.round(y * 127) / 127
     return np.sign(y) * np.expm1(np.abs(y) * np.log(256)) / 255
 
 
+def _a_law(x: np.ndarray) -> np.ndarray:
+    a, m = 87.6, np.minimum(np.abs(x), 1)
+    whole = 1 + np.log(a)
+    y = np.where(m < 1 / a, a * m, 1 + np.log(np.maximum(a * m, 1))) / whole
+    y = np.round(y * 127) / 127 * whole
+    return np.sign(x) * np.where(y < 1, y, np.exp(np.maximum(y, 1) - 1)) / a
+
+
+@register("codec")
+def companded(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
+    """A round trip through eight bits, A-law for ``pcm_alaw``, else mu-law; what needs an encoder outside the engine is registered by name."""
+    return _a_law(x) if params.get("codec") == "pcm_alaw" else _mu_law(x)
+
+
 KERNELS["reencode"] = companded
 
 
@@ -166,7 +180,7 @@ def call_path(x: np.ndarray, params: dict, seed: int) -> np.ndarray:
 
 
 def apply(rows: DataFrame, signal: str, operators: str, seed: Column, out: str = "rendered") -> DataFrame:
-    """``rows`` with ``operators`` (JSON list of objects with op) folded over ``signal``; null with unknown operators or signals."""
+    """``rows`` with ``operators`` (JSON list of objects with op) folded over ``signal``; null without a signal or with text that isn't JSON. An unknown operator is an error."""
     import json
 
     import pandas as pd
@@ -179,9 +193,12 @@ def apply(rows: DataFrame, signal: str, operators: str, seed: Column, out: str =
                 steps = json.loads(text or "[]")
             except ValueError:
                 steps = None
-            if signal_ is None or steps is None or any(o.get("op") not in KERNELS for o in steps):
+            if signal_ is None or steps is None:
                 result.append(None)
                 continue
+            unknown = [o.get("op") for o in steps if o.get("op") not in KERNELS]
+            if unknown:
+                raise ValueError(f"unknown operators: {unknown}")
             y = np.nan_to_num(np.asarray(signal_, float))
             for k, o in enumerate(steps):
                 y = KERNELS[o["op"]](y, o, int(s) + k)
@@ -189,3 +206,24 @@ def apply(rows: DataFrame, signal: str, operators: str, seed: Column, out: str =
         return pd.Series(result, dtype=object)
 
     return rows.withColumn(out, fold(F.col(signal), F.col(operators), seed))
+
+
+def quality(rows: DataFrame, signal: str, rate: int = RATE, floor_db: float = -50.0, least_sec: float = 0.5) -> DataFrame:
+    """``rows`` with mean_db, max_db and silence_sec: the seconds in runs of at least ``least_sec`` below ``floor_db``. Null without samples."""
+    import pandas as pd
+
+    @F.pandas_udf("mean_db double, max_db double, silence_sec double")
+    def of(x):
+        out = []
+        for s in x:
+            y = np.abs(np.nan_to_num(np.asarray(s if s is not None else [], float)))
+            if not len(y):
+                out.append((None, None, None))
+                continue
+            quiet = np.concatenate([[0], (y < 10 ** (floor_db / 20)).astype(np.int8), [0]])
+            turns = np.flatnonzero(np.diff(quiet))
+            runs = turns[1::2] - turns[::2]
+            out.append((10 * np.log10(max(np.mean(y**2), 1e-12)), 20 * np.log10(max(y.max(), 1e-6)), float(runs[runs >= least_sec * rate].sum()) / rate))
+        return pd.DataFrame(out, columns=["mean_db", "max_db", "silence_sec"])
+
+    return rows.withColumn("__q", of(F.col(signal))).select(*rows.columns, "__q.*")

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from .fixtures import DELIVERIES, deliveries, table
 from .functions import arrays, buckets, chains, text
-from .operators import preservation, validation
+from .operators import preservation, signals, validation
 from .registry import query
+from .sources import audio
 
 #: Characters that count as white space, as SQL text; the fixed values are in functions/text.py.
 BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(8195) || chr(12288)"
@@ -165,3 +166,22 @@ def mth08_cosine_within_labels(spark, d):
     v = table(spark, d, "embeddings")
     a, b = (v.select("label", F.col("vec_id").alias(k), F.col("embedding").alias(f"{side}_vector")) for k, side in (("a", "parent"), ("b", "child")))
     return preservation.speaker_similarity(a.join(b, "label").filter("a < b")).select("a", "b", F.round("similarity", 5).alias("similarity"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT vec_id, CASE WHEN vec_id % 10 > 0 THEN len(e) / 8000.0 END AS duration, CASE WHEN vec_id % 10 > 0 THEN 44 + 2 * len(e) END AS size, CASE WHEN vec_id % 10 > 0 THEN 8000 END AS sample_rate, CASE WHEN vec_id % 10 > 0 THEN round(list_sum(list_transform(e, lambda x: round_even(greatest(-1, least(x, CAST(32767 AS DOUBLE) / 32768)) * 32768, 0) / 32768)), 4) END AS total FROM v""")
+def src08_probe_and_decode(spark, d):
+    """Files made from arrays, probed and decoded; what isn't a file has neither."""
+    made = F.when(F.col("vec_id") % 10 > 0, audio.encode(F.col("embedding"), 8000)).otherwise(F.lit("no file").cast("binary"))
+    rows = table(spark, d, "embeddings").select("vec_id", made.alias("content")).select("vec_id", audio.probe(F.col("content")).alias("p"), audio.decode(F.col("content")).alias("x"))
+    total = F.when(F.col("x").isNotNull(), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v.cast("double")), 4))
+    return rows.select("vec_id", "p.duration", "p.size", "p.sample_rate", total.alias("total"))
+
+
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)
+SELECT vec_id, round(10 * log10(greatest(list_dot_product(e, e) / len(e), 1e-12)), 6) AS mean_db, round(20 * log10(greatest(list_max(list_transform(e, lambda x: abs(x))), 1e-6)), 6) AS max_db, len(list_filter(e, lambda x: abs(x) < CAST(power(10, -1) AS DOUBLE))) / 16000.0 AS silence_sec FROM v""")
+def sig19_quality(spark, d):
+    """Runs of any length count as silence here; tests have longer ones."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    made = signals.quality(rows, "e", floor_db=-20.0, least_sec=0.0)
+    return made.select("vec_id", F.round("mean_db", 6).alias("mean_db"), F.round("max_db", 6).alias("max_db"), "silence_sec")
