@@ -78,7 +78,7 @@ def mix_order(docs: DataFrame, weights: DataFrame | None = None, block: int = BL
     mix_order is unique and sorts the rows into the mixed stream. row is the key
     that ``keyed`` gives the row (of a copy of ``docs``, if that isn't a scan).
     """
-    light = keyed(docs, "documents", "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), "source")
+    light = keyed(docs.select("doc_id", "source"), "documents", "row").select("row", F.col("doc_id").cast("long").alias("doc_id"), "source")
     order = ["source", "doc_id", "row"]
     placed = store(light.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "mixing")
     placed = placed.withColumn("part", F.shiftrightunsigned("place", 33)).withColumn("at", F.col("place").bitwiseAND((1 << 33) - 1))

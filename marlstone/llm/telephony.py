@@ -231,7 +231,7 @@ def decode_column(df: DataFrame, media: str, out: str, to_rate: int = 16000) ->
     import pandas as pd
 
     @F.pandas_udf(PCM_TYPE)
-    def to_pcm(column: pd.Series) -> pd.DataFrame:
+    def to_pcm(column):
         rows = []
         for m in column:
             if m is None:

@@ -68,7 +68,7 @@ def write_captures(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", least_r
     Payloads of at least ``least_revisit`` bytes that equal an earlier one are
     written as revisit records, which have its headers but no payload.
     """
-    rows = keyed(scanned(pages, "pages"), "pages", "row").select(
+    rows = keyed(scanned(pages.select("page_id", "url", "html"), "pages"), "pages", "row").select(
         "row", F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).alias("html")
     ).withColumn("digest", base32_sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html").cast("long"))
     # digests that occur more than once, with the capture that keeps the payload; a third of all rows may have one of them
