@@ -66,13 +66,12 @@ DOC_SCORES = "doc_scores AS (SELECT CAST(doc_id AS VARCHAR) AS sample_id, CAST(n
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns as references and their followers as hypotheses, ASCII only."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace("text", r"[^\x00-\x7F]", "").alias("text"))
+    """Turns as references and their followers as hypotheses."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("hypothesis"))
     return rows.join(after, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("reference"), "hypothesis")
 
 
 TRANSCRIPTS = r"""
-ascii AS (SELECT conv_id, turn, regexp_replace(text, '[^\x00-\x7F]', '', 'g') AS text FROM conversations),
-normal AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM ascii),
+normal AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g'))), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS text FROM conversations),
 transcripts AS (SELECT a.conv_id, a.turn, a.text AS reference, b.text AS hypothesis FROM normal a JOIN normal b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)"""

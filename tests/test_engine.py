@@ -189,14 +189,14 @@ def test_protocol_numbers_run_on_over_ranges(spark):
 
 
 def test_protocol_holds_every_event(spark):
-    assert queries.snk12_protocol_all(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert queries.snk12_protocol(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
 
 
 def test_coverage_names_missing_families_and_holds_every_parent(spark):
     rows = [("a", "direct"), ("a", "hybrid"), ("a", "telephony"), ("b", "direct"), ("b", "direct"), ("c", "other"), ("d", "hybrid"), ("d", None), ("d", "telephony")]
     got = dict(map(tuple, summaries.parent_coverage(spark.createDataFrame(rows, "parent_id string, chain_family string"), ["direct", "hybrid", "telephony"]).collect()))
     assert got == {"complete": 1, "incomplete": 3, "missing:direct": 2, "missing:hybrid": 2, "missing:telephony": 2}
-    states = dict(map(tuple, queries.agg12_parent_coverage_all(spark, SF).collect()))
+    states = dict(map(tuple, queries.agg12_parent_coverage(spark, SF).collect()))
     assert states.get("complete", 0) + states.get("incomplete", 0) == queries.deliveries(spark, SF).select("parent_id").distinct().count()
 
 
@@ -335,7 +335,7 @@ def test_word_errors_of_all_pairs_equal_brute_force(spark):
         return re.sub(" +", " ", re.sub("[^a-z0-9 ]", " ", re.sub(r"\s+", " ", t).strip().lower())).split()
 
     want = {(r.conv_id, r.turn): (words(r.reference or ""), words(r.hypothesis or "")) for r in transcripts(spark, SF).collect()}
-    for r in queries.str08_wer_all(spark, SF).collect():
+    for r in queries.str08_wer(spark, SF).collect():
         a, b = want.pop((r.conv_id, r.turn))
         assert r.wer == (distance(a, b) / len(a) if a else 1.0 if b else None)
     assert not want
