@@ -74,3 +74,8 @@ def union_named(frames: list[DataFrame]) -> DataFrame:
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out.fillna("")
+
+
+def missing_names(asked: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """The distinct names that are asked for and not known."""
+    return asked.select(name).subtract(known.select(name))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import arrays, text
+from . import projections
+from .jobs import load
 
 
 def transcript_metrics(rows: DataFrame, language: str = "language") -> DataFrame:
@@ -39,39 +41,43 @@ class Identity(Backend):
         return [r.get("reference") or "" for r in rows]
 
 
-def load(spec: str, **kwargs) -> Backend:
-    import importlib
+def transcribe(rows: DataFrame, make: type[Backend] | str = Identity, out: str = "hypothesis", **options) -> DataFrame:
+    """``rows`` with a transcript from the backend, and a status.
 
-    module, _, name = spec.partition(":")
-    return getattr(importlib.import_module(module), name)(**kwargs)
-
-
-def transcribe(rows: DataFrame, make: type[Backend] | str = Identity, out: str = "hypothesis") -> DataFrame:
-    """``rows`` with a transcript from the backend; a batch that fails is tried row by row, then the error is the status."""
+    Rows whose status isn't ok already are passed over. A batch that fails is
+    tried row by row; then the error is the row's status.
+    """
     import pandas as pd
 
-    schema = T.StructType(list(rows.schema.fields)).add(out, "string")  # a copy: add() changes its object
-    judged = "status" in rows.columns
-    schema = schema if judged else schema.add("status", "string")
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in (out, "status")]).add(out, "string").add("status", "string")
+    given = rows if "status" in rows.columns else rows.withColumn("status", F.lit("ok"))
 
     def run(frames):
-        backend = load(make) if isinstance(make, str) else make()
+        backend = load(make, **options) if isinstance(make, str) else make(**options)
         for frame in frames:
+            state, said = frame["status"].tolist(), [None] * len(frame)
+            due = [k for k, s in enumerate(state) if s == "ok"]
             records = frame.to_dict("records")
-            state = ["ok"] * len(records)
             try:
-                said = backend.transcribe(records)
+                for k, t in zip(due, backend.transcribe([records[k] for k in due])):
+                    said[k] = t
             except Exception:  # noqa: BLE001  then one by one
-                said = []
-                for k, r in enumerate(records):
+                for k in due:
                     try:
-                        said += backend.transcribe([r])
+                        said[k] = backend.transcribe([records[k]])[0]
                     except Exception as error:  # noqa: BLE001
-                        said.append(None)
                         state[k] = f"failed: {type(error).__name__}"
             frame[out] = pd.Series(said, index=frame.index, dtype=object)
-            if not judged:
-                frame["status"] = state
-            yield frame
+            frame["status"] = pd.Series(state, index=frame.index, dtype=object)
+            yield frame[schema.names]
+
+    return given.mapInPandas(run, schema)
+
 
-    return rows.mapInPandas(run, schema)
+def analyse(rows: DataFrame, make: type[Backend] | str = Identity, language: str = "language", **options) -> DataFrame:
+    """All stages on rows (reference, parent_path, child_path, child_duration): the status ladder, transcripts of parent and child, error rates. A row that fails a stage skips the later ones and has null figures."""
+    judged = projections.status_ladder(rows)
+    heard = transcribe(transcribe(judged, make, "parent", **options), make, "child", **options)
+    figures = transcript_metrics(heard, language)
+    ok = F.col("status") == "ok"
+    return figures.select(*[F.when(ok, F.col(c)).alias(c) if c.endswith(("_wer", "_cer", "wer_drift", "cer_drift")) else F.col(c) for c in figures.columns])

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import fixtures
 from .fixtures import DELIVERIES, deliveries, table
-from .operators import joins, matching, projections, runs, sampling, splits, states, summaries, tasks
+from .operators import jobs, joins, preservation, projections, runs, sampling, splits, states, summaries, tasks
 from .queries import MATCHES, SCORED, _auc_sql, _eer_sql, _matches, _pair_sql
 from .registry import query
+from .storage import shared_path
+from .streaming import summary as streaming
 
 ROOT = "/data/work"
 #: Rows of speech: an order each, with its customer as the speaker.
@@ -365,3 +366,67 @@ def orc08_training_keys(spark, d):
     packs = tasks.in_chain(deliveries(spark, d))
     keys = states.training_key({"epochs": 2}, packs).unionByName(states.training_key({"epochs": 2}, packs.withColumn("task_id", F.lit("copy"))))
     return keys.agg((F.count(F.lit(1)) / 2).cast("long").alias("packs"), F.count_distinct("training_key").cast("int").alias("keys"))
+
+
+# --- jobs, stages, streams ------------------------------------------------------------------------
+
+
+class Upper(jobs.Worker):
+    """Upper-cases a job's text; a job without one fails."""
+
+    def setup(self) -> None:
+        self.loaded = True
+
+    def run(self, job: dict) -> str:
+        if not self.loaded or job["text"] is None:
+            raise ValueError("no text")
+        return job["text"].upper()
+
+
+@query(f"""WITH {SPEECH} SELECT ord, CASE WHEN ord % 5 = 0 THEN 'skipped_existing' WHEN raw_transcript IS NULL THEN 'failed' ELSE 'ok' END AS status, CASE WHEN ord % 5 = 0 THEN 'old' ELSE upper(raw_transcript) END AS output, CASE WHEN ord % 5 > 0 AND raw_transcript IS NULL THEN 'ValueError: no text' END AS error FROM speech""")
+def orc05_jobs(spark, d):
+    rows = speech(spark, d).select("ord", F.col("raw_transcript").alias("text"))
+    return jobs.run_jobs(rows, Upper, "ord", rows.filter("ord % 5 = 0").select("ord", F.lit("old").alias("output")))
+
+
+class Deaf(preservation.Backend):
+    """Echoes references; a batch with a text of a 7 fails, and then that row."""
+
+    def transcribe(self, rows: list[dict]) -> list[str]:
+        if any("7" in r["reference"] for r in rows):
+            raise RuntimeError("deaf")
+        return [r["reference"] for r in rows]
+
+
+@query(f"""WITH {SPEECH}, j AS (SELECT ord, transcript, CASE WHEN ord % 6 = 0 THEN 'missing_child' WHEN ord % 6 = 1 THEN 'missing_parent' WHEN ord % 6 = 2 THEN 'unreadable_audio' WHEN contains(transcript, '7') THEN 'failed: RuntimeError' ELSE 'ok' END AS status FROM speech)
+SELECT ord, status, CASE WHEN status = 'ok' THEN transcript END AS child, CASE WHEN status = 'ok' THEN 0.0 END AS child_wer, CASE WHEN status = 'ok' THEN 0.0 END AS cer_drift FROM j""")
+def udf08_stages(spark, d):
+    """A row that fails a stage skips the later ones; a batch that fails is tried row by row."""
+    part = F.col("ord") % 6
+    rows = speech(spark, d).select("ord", F.col("transcript").alias("reference"), "language", F.when(part != 0, "c").alias("child_path"), F.when(part != 1, "p").alias("parent_path"), F.when(part != 2, F.lit(1.0)).alias("child_duration"))
+    return preservation.analyse(rows, Deaf).select("ord", "status", "child", "child_wer", "cer_drift")
+
+
+@query("""WITH l AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n, user_id % 97 = 3 AND event_type > 'd' AS start FROM events), s AS (SELECT event_type, max(r) AS s FROM l WHERE start GROUP BY 1)
+SELECT event_type, event_id FROM l LEFT JOIN s USING (event_type) WHERE CASE WHEN s IS NULL THEN r > n - 40 ELSE r >= s AND r < s + 40 END""")
+def str18_failure_text(spark, d):
+    line = F.when((F.col("user_id") % 97 == 3) & (F.col("event_type") > "d"), "Traceback (most recent call last):").otherwise("x")
+    return jobs.failure_text(table(spark, d, "events").select("event_type", "event_id", line.alias("line")), ["event_type"], "event_id").select("event_type", "event_id")
+
+
+@query("SELECT DISTINCT 'u' || user_id AS name FROM events WHERE event_type = (SELECT min(event_type) FROM events) EXCEPT SELECT 'u' || user_id FROM events WHERE event_id % 3 = 0")
+def set04_missing_names(spark, d):
+    events = table(spark, d, "events").withColumn("name", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    first = events.agg(F.min("event_type")).first()[0]
+    return joins.missing_names(events.filter(F.col("event_type") == first), events.filter("event_id % 3 = 0"), "name")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stm03_snapshot(spark, d):
+    """What a stream has published after its last batch."""
+    root = shared_path(spark, "publish")
+    schema = table(spark, d, "events").schema
+    rows = streaming.stream_files(spark, d, "events.parquet", schema).select("event_id", "event_type", "user_id", "value")
+    summary = lambda r: r.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("users"), F.round(F.sum("value"), 4).alias("total"))
+    streaming.publish(rows, root, f"{root}/checkpoint", summary)
+    return streaming.latest(spark, root).select("event_type", "n", "users", "total")

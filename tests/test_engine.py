@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone import queries, queries_files, queries_runs, queries_values, registry  # noqa: F401  they register queries
 from marlstone.functions import arrays, buckets, chains, hashing, text
-from marlstone.operators import joins, matching, metrics, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
+from marlstone.operators import jobs, joins, matching, metrics, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
 from marlstone.plans import catalogue, planner
 from marlstone.sources import audio, readers, writers
 from tests.compare import connect, difference
@@ -339,3 +339,20 @@ def test_word_errors_of_all_pairs_equal_brute_force(spark):
         a, b = want.pop((r.conv_id, r.turn))
         assert r.wer == (distance(a, b) / len(a) if a else 1.0 if b else None)
     assert not want
+
+
+def test_streams_refuse_other_arguments(spark, tmp_path):
+    from marlstone.streaming import summary as streaming
+
+    count = lambda rows: rows.groupBy("event_type").agg(F.count("*").alias("n"))
+    for _ in range(2):  # the second run finds nothing new
+        got = streaming.analyse(spark, SF, "events.parquet", lambda r: r.select("event_type"), count, root=str(tmp_path / "s"), limit=1)
+        assert got.agg(F.sum("n")).first()[0] == spark.read.parquet(f"{SF}/events.parquet").count()
+    with pytest.raises(ValueError, match="other arguments"):
+        streaming.analyse(spark, SF, "events.parquet", lambda r: r.select("event_type"), count, root=str(tmp_path / "s"), limit=2)
+
+
+def test_factories_get_what_they_take():
+    assert jobs.load("marlstone.sources.readers:path_stem", path=F.lit("a/b.c"), device="gpu") is not None
+    with pytest.raises(AttributeError):
+        jobs.load("marlstone.sources.readers:nothing")
