@@ -24,7 +24,9 @@ no bucket's pairs are ever emitted.
 Defined results: rows without words have the empty set and link with nothing.
 Rows that repeat are members of one class; a null doc_id never names a component
 unless there is no other id in it (then component_id is null). kept is
-doc_id = component_id, and true where both are null. Other columns are ignored.
+doc_id = component_id, and true where both are null. Very long texts count with
+all their shingles. An empty table gives no rows. Other columns are ignored, and
+``deduplicate`` passes them through, whatever their names.
 """
 
 from __future__ import annotations

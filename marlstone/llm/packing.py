@@ -8,10 +8,11 @@ cut every ``CAPACITY`` tokens, so that a sequence holds neighbours on the curve
 and only the very last one can need padding.
 
 Only (row, key, length) is sorted. Offsets are sums within each range plus the
-totals of the ranges before it, one number per range on the driver. The ids
-are written once and meet their offsets in one join.
+totals of the ranges before it, a row per range. The ids are written once and meet their offsets in one join.
 
-Defined results: null and empty texts are documents of the end id alone. Rows
+Defined results: null and empty texts are documents of the end id alone; very
+long ones run over many sequences; an empty table gives no pieces; columns other
+than doc_id, text and the window are ignored. Rows
 that repeat are packed as often as they occur; ties on the curve go by doc_id
 and row. ``window`` names a column whose values are packed one after another,
 each along its own curve.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import tokens
@@ -123,13 +124,10 @@ def offsets(encoded: DataFrame) -> DataFrame:
     order = ["window", "key", "doc_id", "row"]
     light = encoded.select(*order, "n")
     placed = store(light.repartitionByRange(*order).sortWithinPartitions(*order).select("row", "n").mapInArrow(run, "row long, part long, local long, n long"), "places")
-    totals = placed.groupBy("part").agg(F.max(F.col("local") + F.col("n")).alias("n")).collect()  # a number per range
-    base, bases = 0, {}
-    for r in sorted(totals):
-        bases[r["part"]] = base
-        base += r["n"]
-    starts = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv]) if bases else None
-    return placed.select("row", (F.col("local") + starts[F.col("part")] if bases else F.col("local")).cast("long").alias("at"))
+    totals = placed.groupBy("part").agg(F.max(F.col("local") + F.col("n")).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))  # a row per range
+    return placed.join(F.broadcast(bases), "part").select("row", (F.col("base") + F.col("local")).alias("at"))
 
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"

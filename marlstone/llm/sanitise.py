@@ -21,7 +21,10 @@ Offsets are in code points, ends exclusive. A kind's matches are leftmost and do
 not overlap; matches that fail their test are dropped and not tried again.
 
 Defined results: null text counts as empty. Rows that repeat count as documents
-of their own. Statistics are taken over all rows of the table that is given.
+of their own. Statistics are taken over all rows of the table that is given. Very
+long texts are searched to their end; a document without entities has no terms.
+An empty table gives no rows. Columns whose names begin with __ pass through
+``redact`` like others.
 """
 
 from __future__ import annotations
