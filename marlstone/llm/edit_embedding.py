@@ -236,8 +236,8 @@ def _slices(batch: pa.RecordBatch, column: int, size: int = 4_000_000) -> Iterat
             first, held = k + 1, 0
 
 
-def near_links(prints: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
-    """Classes (node, k1, k2, rep, rows, fingerprint) of equal fingerprints, and links (x, y, likeness) between their nodes.
+def near_links(prints: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes (node, k1, k2, rep, rows, fingerprint) of equal fingerprints, links (x, y, likeness) between their nodes, and (node, root) of all linked nodes.
 
     The links join all classes of near texts which share a bucket: in a bucket
     every class first meets the smallest one. What such a star misses is found
@@ -282,12 +282,20 @@ def near_links(prints: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, Da
     # tiles are small to send and long to compute, so they are dealt over all partitions, whatever their size
     dealt = tiles.join(named, "node").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
     missed = dealt.groupBy("bucket", "i", "j").applyInArrow(tile, "x long, y long, likeness double")
-    return classes, stars.unionByName(missed).dropDuplicates(["x", "y"])
-
-
-def near_pairs(docs: DataFrame, threshold: float = 0.9, bands: int = BANDS, symbols: int = SYMBOLS) -> DataFrame:
+    missed = store(missed, "missed")
+    # what a star has missed lies between components, which then are the nodes
+    ends_ = missed.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    for end in ("a", "b"):
+        ends_ = ends_.join(root.select(F.col("node").alias(end), F.col("root").alias("r")), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    top = components(ends_).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    own = root.unionByName(missed.select(F.explode(F.array("x", "y")).alias("node")).join(root, "node", "left_anti").distinct().select("node", F.col("node").alias("root")))
+    joined = own.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return classes, stars.unionByName(missed).dropDuplicates(["x", "y"]), joined
+
+
+def near_pairs(docs: DataFrame, threshold: float = 0.8, bands: int = 24, symbols: int = 6) -> DataFrame:
     """The links of ``near_links`` as (a, b, likeness), each class named by its smallest doc_id, or by null where it has no other."""
-    classes, links = near_links(store(print_documents(docs, bands, symbols), "prints"), threshold)
+    classes, links, _ = near_links(store(print_documents(docs, bands, symbols), "prints"), threshold)
     named = links.join(classes.select(F.col("node").alias("x"), F.col("rep").alias("x_rep")), "x").join(classes.select(F.col("node").alias("y"), F.col("rep").alias("y_rep")), "y")
     swap = F.col("x_rep").isNull() | (F.col("y_rep") < F.col("x_rep"))  # the smaller id first, null last
     return named.select(F.when(swap, F.col("y_rep")).otherwise(F.col("x_rep")).alias("a"), F.when(swap, F.col("x_rep")).otherwise(F.col("y_rep")).alias("b"), "likeness")
@@ -296,8 +304,7 @@ def near_pairs(docs: DataFrame, threshold: float = 0.9, bands: int = BANDS, symb
 def near_classes(docs: DataFrame, threshold: float = 0.9, bands: int = BANDS, symbols: int = SYMBOLS) -> DataFrame:
     """(doc_id, k1, k2, near_class) of the rows that aren't alone: near_class is the smallest doc_id that links lead to."""
     prints = store(print_documents(docs, bands, symbols), "prints")
-    classes, links = near_links(prints, threshold)
-    root = store(components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))), "classed")
+    classes, _, root = near_links(prints, threshold)
     light = classes.select("node", "k1", "k2", "rep", "rows").join(root, "node", "left").withColumn("linked", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "node"))
     light = store(light.filter("linked or rows > 1"), "light")
     firsts = light.groupBy("root").agg(F.min("rep").alias("near_class"))

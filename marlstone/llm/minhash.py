@@ -233,6 +233,8 @@ def components(edges: DataFrame) -> DataFrame:
     that a hub's join can be split.
     """
     now = store(edges.filter("a is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = store(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
