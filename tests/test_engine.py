@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone import queries, queries_files, queries_runs, queries_values, registry  # noqa: F401  they register queries
+from marlstone import queries, queries_files, queries_parts, queries_runs, queries_values, registry  # noqa: F401  they register queries
 from marlstone.functions import arrays, buckets, chains, hashing, text
 from marlstone.operators import jobs, joins, matching, metrics, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
 from marlstone.plans import catalogue, planner
