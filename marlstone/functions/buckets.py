@@ -46,11 +46,38 @@ def bitrate_bucket(value: Column) -> Column:
     return _named(F.when(_is_number(value), value.try_cast("double")).otherwise(without_k), BITRATE)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A double with ``digits`` decimals, rounded by its exact binary value, ties to even, as C's printf does.
+
+    Java's formats round the shortest decimal that reads back as the value, and halves of that up. The fraction is
+    scaled as a sum of two doubles, so nothing is lost; from 2^63 on, where no fraction is left, the format stays Java's.
+    """
+    scale = 10**digits
+    x = value.cast("double")
+    size = F.abs(x)
+    whole = F.floor(size)
+    part = size - whole
+    # Veltkamp's and Dekker's splits: part * scale is scaled + rest exactly
+    high = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    scaled = part * F.lit(float(scale))
+    head, tail = high(part), part - high(part)
+    rest = (head * F.lit(float(scale)) - scaled) + tail * F.lit(float(scale))
+    n = F.floor(scaled)
+    left = scaled - n
+    up = (left > 0.5) | ((left == 0.5) & ((rest > 0) | ((rest == 0) & ((whole if digits == 0 else n) % 2 == 1))))
+    m = n + up.cast("long")
+    sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
+    tail_text = [F.lit("."), F.lpad((m % scale).cast("string"), digits, "0")] if digits else []
+    shown = F.concat(sign, (whole + F.floor(m / scale)).cast("string"), *tail_text)
+    odd = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    return odd.when(size < float(1 << 63), shown).otherwise(F.format_string(f"%.{digits}f", x))
+
+
 def compact_number(value: Column) -> Column:
     """At most three decimals without trailing zeros; other text as it is, blank null."""
     x = number(value)
     text = strip(value.cast("string"))
-    shown = F.regexp_replace(F.format_string("%.3f", x), r"\.?0+$", "")
+    shown = F.regexp_replace(fixed(x, 3), r"\.?0+$", "")
     return F.when(x.isNotNull(), F.when(shown.isin("-0", ""), "0").otherwise(shown)).otherwise(F.when(text != "", text))
 
 

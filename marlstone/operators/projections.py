@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.buckets import fixed
 from ..functions.chains import parse_operators
 from ..functions.text import first_of, reference_text, requested_split
 
@@ -35,10 +36,6 @@ def _kept(rows: DataFrame, names: list[str], inside: str | None = None) -> list[
     return [(F.coalesce(value(n), F.lit("")) if n in there else F.lit("")).alias(n) for n in names]
 
 
-def _decimals(value: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", value.cast("double"))
-
-
 def relative_path(path: Column, root: str) -> Column:
     """``path`` from ``root`` on; as it is, where it lies elsewhere."""
     head = root.rstrip("/") + "/"
@@ -63,8 +60,8 @@ def source_rows(samples: DataFrame, root: str, raw_root: str) -> DataFrame:
     return samples.select(
         F.concat_ws("_", "speaker_id", "utterance_id").alias("sample_id"), *_kept(samples, SPEECH),
         *_texts(label="bona_fide", generator_family="none", generator_name="none", chain_family="source_clean", **NO_CHAIN), F.col("seed").cast("string").alias("seed"),
-        _decimals(F.col("duration"), 3).alias("duration_sec"), *_kept(samples, ["sample_rate", "channels", "codec_name"]), _decimals(F.col("mean_volume_db"), 2).alias("mean_volume_db"), _decimals(F.col("max_volume_db"), 2).alias("max_volume_db"),
-        _decimals(F.col("silence_duration_sec"), 3).alias("silence_duration_sec"), _decimals(F.col("speech_ratio"), 3).alias("effective_speech_ratio"), *_kept(samples, ["source_split", "license_tag"]),
+        fixed(F.col("duration"), 3).alias("duration_sec"), *_kept(samples, ["sample_rate", "channels", "codec_name"]), fixed(F.col("mean_volume_db"), 2).alias("mean_volume_db"), fixed(F.col("max_volume_db"), 2).alias("max_volume_db"),
+        fixed(F.col("silence_duration_sec"), 3).alias("silence_duration_sec"), fixed(F.col("speech_ratio"), 3).alias("effective_speech_ratio"), *_kept(samples, ["source_split", "license_tag"]),
         relative_path(source, root).alias("source_audio_path"), relative_path(target, root).alias("stage1_audio_path"),
         first_of(meta, "gender").alias("speaker_gender"), first_of(meta, "age", "age_group").alias("speaker_age"), first_of(meta, "accent", "accents").alias("speaker_accent"), first_of(meta, "variant").alias("speaker_variant"),
         *[first_of(extra, c).alias(c) for c in ("sentence_id", "locale", "sentence_domain")],
@@ -78,7 +75,7 @@ def clean_rows(rows: DataFrame, steps: str, params: str) -> DataFrame:
     figures = ["duration_sec", "sample_rate", "channels", "codec_name"]
     new = {
         "parent_id": F.col("sample_id"), "clean_parent_path": text("path"), "audio_path": text("path"), "preprocess_stage": F.lit("stage2_clean_master"), "preprocess_steps": F.lit(steps), "preprocess_params": F.lit(params),
-        **{f"source_{c}": F.col(c) for c in figures}, "duration_sec": _decimals(F.coalesce(out["duration"], F.lit(0.0)), 3), "sample_rate": text("sample_rate"), "channels": text("channels"), "codec_name": text("codec_name"),
+        **{f"source_{c}": F.col(c) for c in figures}, "duration_sec": fixed(F.coalesce(out["duration"], F.lit(0.0)), 3), "sample_rate": text("sample_rate"), "channels": text("channels"), "codec_name": text("codec_name"),
         "sample_fmt": text("sample_fmt"), "output_size_bytes": text("size"), "chain_family": F.lit("clean_parent"), **{k: F.lit(v) for k, v in NO_CHAIN.items()},
     }
     return rows.withColumns(new).drop("output")
@@ -103,7 +100,7 @@ def spoof_rows(done: DataFrame, root: str) -> DataFrame:
     text = lambda c, blank="": F.coalesce(probe[c].cast("string"), F.lit(blank))
     return done.select(
         *_kept(done, ["sample_id", "parent_id", "source_parent_id", "prompt_parent_id", *SPEECH]), *_texts(label="spoof"), *_kept(done, ["generator_family", "generator_name"]), *_texts(chain_family="clean_parent", **NO_CHAIN), *_kept(done, ["seed"]),
-        _decimals(probe["duration"], 3).alias("duration_sec"), *[text(c).alias(c) for c in ("sample_rate", "channels", "codec_name", "sample_fmt")], *_kept(done, ["source_duration_sec", "source_sample_rate", "source_channels", "source_codec_name"]),
+        fixed(probe["duration"], 3).alias("duration_sec"), *[text(c).alias(c) for c in ("sample_rate", "channels", "codec_name", "sample_fmt")], *_kept(done, ["source_duration_sec", "source_sample_rate", "source_channels", "source_codec_name"]),
         F.col("final_output_relpath").alias("clean_parent_path"), F.col("final_output_relpath").alias("audio_path"), *_kept(done, ["source_clean_parent_path"]), F.col("raw_output_relpath").alias("raw_generator_output_path"),
         relative_path(F.col("prompt_audio_path"), root).alias("prompt_audio_path"), text("size", "0").alias("output_size_bytes"), *_kept(done, [*ABOUT, "assignment_idx", "generator_key"]), F.col("status").alias("stage3_status"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.buckets import fixed
+
 
 def ladder(*steps: tuple[Column, Column | str]) -> Column:
     """The message of the first condition that holds; null without conditions."""
@@ -69,7 +71,7 @@ def speech_reason(limits: dict) -> Column:
 def output_reason(limits: dict) -> Column:
     """Why an output isn't taken: duration, then rate, channels and codec, then an empty file. Delivered and rendered samples are held to the same."""
     duration = F.coalesce(F.col("duration_sec"), F.lit(0.0))
-    seconds = lambda what: F.concat(F.lit(f"duration too {what}: "), F.format_string("%.3fs", duration))
+    seconds = lambda what: F.concat(F.lit(f"duration too {what}: "), fixed(duration, 3), F.lit("s"))
     unexpected = lambda name: (~F.col(name).eqNullSafe(F.lit(limits[name])), F.concat(F.lit(f"unexpected {name.replace('_', ' ')}: "), F.coalesce(F.col(name).cast("string"), F.lit(""))))
     return ladder(
         (duration < limits["min_duration"], seconds("short")), (duration > limits["max_duration"], seconds("long")), unexpected("sample_rate"), unexpected("channels"), unexpected("codec_name"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone import queries, queries_files, queries_parts, queries_runs, queries_values, registry  # noqa: F401  they register queries
 from marlstone.functions import arrays, buckets, chains, hashing, text
-from marlstone.operators import jobs, joins, matching, metrics, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
+from marlstone.operators import jobs, joins, matching, metrics, projections, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
 from marlstone.plans import catalogue, planner
 from marlstone.sources import audio, readers, writers
 from tests.compare import connect, difference
@@ -356,3 +356,19 @@ def test_factories_get_what_they_take():
     assert jobs.load("marlstone.sources.readers:path_stem", path=F.lit("a/b.c"), device="gpu") is not None
     with pytest.raises(AttributeError):
         jobs.load("marlstone.sources.readers:nothing")
+
+
+def test_decimals_are_rounded_by_the_binary_value(spark):
+    draw = random.Random(5)
+    xs = [0.0125, 0.2975, 0.125, 0.375, 2.5, -1.005, 0.9995, 999999.9995, -0.0001, -0.0, 2.0**62, 5e-324, float("nan"), float("-inf")]
+    xs += [draw.randrange(-(10**7), 10**7) / 2000 for _ in range(500)] + [draw.uniform(-1, 1) * 10 ** draw.randrange(-8, 18) for _ in range(500)]
+    for x, *got in values(spark, [(x,) for x in xs], "x double", "x", *[buckets.fixed(F.col("x"), k) for k in range(4)]):
+        assert got == [f"{x:.{k}f}" for k in range(4)], x
+
+
+def test_speech_ratios_at_a_tie_equal_printf(spark):
+    schema = "language string, split string, source_corpus string, speaker_id string, source_speaker_id string, utterance_id string, transcript string, raw_transcript string, seed int, duration double, sample_rate int, channels int, codec_name string, mean_volume_db double, max_volume_db double, silence_duration_sec double, speech_ratio double, source_split string, license_tag string, source_audio_path string, speaker_meta map<string,string>, extra_meta map<string,string>"
+    row = ("en", "dev", "c", "s", "S", "u", "t", "t", 1, 1.0005, 1, 1, "x", 0.125, -0.125, 2.0005, 0.2975, "all", "l", "/r/in/u.wav", {}, {})
+    made = projections.source_rows(spark.createDataFrame([row], schema), "/r", "/r/raw")
+    want = {"duration_sec": f"{1.0005:.3f}", "mean_volume_db": "0.12", "max_volume_db": "-0.12", "silence_duration_sec": f"{2.0005:.3f}", "effective_speech_ratio": "0.297"}
+    assert made.select(*want).first().asDict() == want
