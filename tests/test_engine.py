@@ -372,3 +372,9 @@ def test_speech_ratios_at_a_tie_equal_printf(spark):
     made = projections.source_rows(spark.createDataFrame([row], schema), "/r", "/r/raw")
     want = {"duration_sec": f"{1.0005:.3f}", "mean_volume_db": "0.12", "max_volume_db": "-0.12", "silence_duration_sec": f"{2.0005:.3f}", "effective_speech_ratio": "0.297"}
     assert made.select(*want).first().asDict() == want
+
+
+def test_clean_durations_at_a_tie_equal_printf(spark):
+    rows = spark.createDataFrame([("s", "1", "2", "3", "x")], "sample_id string, duration_sec string, sample_rate string, channels string, codec_name string")
+    output = F.expr("named_struct('path', 'p', 'duration', 0.2975D, 'sample_rate', 1, 'channels', 1, 'codec_name', 'x', 'sample_fmt', 's', 'size', 1L)")
+    assert projections.clean_rows(rows.withColumn("output", output), "[]", "{}").first().duration_sec == "0.297"
