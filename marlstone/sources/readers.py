@@ -12,7 +12,7 @@ from ..functions.text import clean, english_transcript, spaced_transcript, strip
 
 def csv_rows(spark: SparkSession, path: str, sep: str = ",", breaks: bool = True) -> DataFrame:
     """All columns as text. With ``breaks`` quoted fields may hold line breaks, and a file is one task; without, files are split."""
-    return spark.read.csv(path, header=True, sep=sep, multiLine=breaks, escape='"')
+    return spark.read.csv(path, header=True, sep=sep, multiLine=breaks, escape='"', charToEscapeQuoteEscaping='"')
 
 
 def csv_scores(spark: SparkSession, path: str, column: str = "score") -> DataFrame:

@@ -10,11 +10,11 @@ from ..storage import written
 
 
 def write_csv(rows: DataFrame, path: str, columns: list[str] | None = None, mode: str = "error") -> None:
-    """Chosen columns, nulls blank; an empty table is an error."""
+    """Chosen columns, nulls blank, white space and control characters at the ends of a value kept; an empty table is an error."""
     if rows.isEmpty():
         raise ValueError(f"no rows for {path}")
     chosen = columns or rows.columns
-    rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in chosen]).write.mode(mode).csv(path, header=True, escape='"', emptyValue="")
+    rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in chosen]).write.mode(mode).csv(path, header=True, escape='"', charToEscapeQuoteEscaping='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_partitioned(rows: DataFrame, path: str, by: list[str], fmt: str = "parquet", mode: str = "error") -> None:

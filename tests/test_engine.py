@@ -378,3 +378,11 @@ def test_clean_durations_at_a_tie_equal_printf(spark):
     rows = spark.createDataFrame([("s", "1", "2", "3", "x")], "sample_id string, duration_sec string, sample_rate string, channels string, codec_name string")
     output = F.expr("named_struct('path', 'p', 'duration', 0.2975D, 'sample_rate', 1, 'channels', 1, 'codec_name', 'x', 'sample_fmt', 's', 'size', 1L)")
     assert projections.clean_rows(rows.withColumn("output", output), "[]", "{}").first().duration_sec == "0.297"
+
+
+def test_csv_keeps_white_space_and_control_characters(spark, tmp_path):
+    draw = random.Random(6)
+    texts = [" a", "a\t", "\n", "\r\n", "\x00a", "a\x1f", 'a\\"', '"\r\n" ', "", "\x01"] + ["".join(draw.choice('ab"\\,\n\r \t\x00\'#') for _ in range(draw.randrange(1, 9))) for _ in range(300)]
+    writers.write_csv(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), str(tmp_path / "csv"))
+    got = readers.csv_rows(spark, str(tmp_path / "csv")).fillna("").collect()
+    assert {int(r.i): r.x for r in got} == dict(enumerate(texts))
