@@ -31,6 +31,11 @@ def minable(rows: DataFrame) -> DataFrame:
     return written(rows.select("sample_id", *own, "sig").filter(" and ".join(f"{c} is not null" for c in GROUP)), "minable")
 
 
+def _grows(side: DataFrame) -> DataFrame:
+    """A join's side that grows with the table: sorted and merged, as the size of its files says nothing of its rows once they are unpacked, and the driver would hold them all."""
+    return side.hint("merge")
+
+
 def _sides(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     a = rows.select(*GROUP, *keys, F.col("sample_id").alias("a"), F.col("sig").alias("sig_a"))
     b = rows.select(*GROUP, *keys, F.col("sample_id").alias("b"), F.col("sig").alias("sig_b"))
@@ -49,7 +54,7 @@ def _parameter_pairs(own: DataFrame) -> DataFrame:
     keyed = slots.withColumn("key", wild)
     a = keyed.select(*GROUP, "slot", "key", F.col("sample_id").alias("a"), F.col("token").alias("ta"))
     b = keyed.select(*GROUP, "slot", "key", F.col("sample_id").alias("b"), F.col("token").alias("tb"))
-    pairs = a.join(b, [*GROUP, "slot", "key"]).filter("a < b and ta <> tb")
+    pairs = a.join(_grows(b), [*GROUP, "slot", "key"]).filter("a < b and ta <> tb")
     return _named(pairs.withColumn("detail", F.concat(F.lit("parameter@"), F.col("slot").cast("string"))), "parameter", "detail")
 
 

@@ -386,3 +386,21 @@ def test_csv_keeps_white_space_and_control_characters(spark, tmp_path):
     writers.write_csv(spark.createDataFrame(list(enumerate(texts)), "i int, x string"), str(tmp_path / "csv"))
     got = readers.csv_rows(spark, str(tmp_path / "csv")).fillna("").collect()
     assert {int(r.i): r.x for r in got} == dict(enumerate(texts))
+
+
+def _chains(spark, n: int = 60):
+    """Rows of few groups, with chains of one to three tokens."""
+    draw = random.Random(9)
+    names = ["codec[bitrate=low]", "codec[bitrate=high]", "noise[snr=low]", "noise[snr=high]", "plr[x=1]"]
+    rows = [(f"r{i}", str(i % 3), "hybrid", "spoof", [draw.choice(names) for _ in range(draw.randrange(1, 4))]) for i in range(n)]
+    return spark.createDataFrame(rows, "sample_id string, parent_id string, chain_family string, label string, sig array<string>")
+
+
+def _unbroadcast(frame, rows_joined: int) -> None:
+    """All joins of the plan are sorted and merged, whatever the tables' files weigh."""
+    plan = frame._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == rows_joined and "Broadcast" not in plan, plan
+
+
+def test_parameter_pairs_are_not_broadcast(spark):
+    _unbroadcast(matching.parameter_pairs(_chains(spark)), 1)
