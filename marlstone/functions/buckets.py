@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import bound, strip
 
 #: Fixed values: (upper bound, name) in order, the name beyond the last, and whether the bound itself is inside.
 BITRATE = ([(16, "very_low"), (24, "low"), (32, "medium")], "high", True)
@@ -23,13 +23,12 @@ def _is_number(value: Column) -> Column:
 
 def number(value: Column) -> Column:
     """A number as double; text as double too, null where it isn't a number (trailing d or f, which a cast takes, is none)."""
-    text = strip(value.cast("string"))
-    parsed = F.when(text.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"), text.try_cast("double"))
+    parsed = bound(strip(value.cast("string")), lambda text: F.when(text.rlike(r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$|^[+-]?(inf|infinity|nan)$"), text.try_cast("double")))
     return F.when(_is_number(value), value.try_cast("double")).otherwise(parsed)
 
 
 def bucket(value: Column, scale: tuple) -> Column:
-    return _named(number(value), scale)
+    return bound(number(value), lambda x: _named(x, scale))
 
 
 def _named(x: Column, scale: tuple) -> Column:
@@ -43,7 +42,7 @@ def _named(x: Column, scale: tuple) -> Column:
 
 def bitrate_bucket(value: Column) -> Column:
     without_k = number(F.regexp_replace(strip(value.cast("string")), "[kK]$", ""))
-    return _named(F.when(_is_number(value), value.try_cast("double")).otherwise(without_k), BITRATE)
+    return bound(F.when(_is_number(value), value.try_cast("double")).otherwise(without_k), lambda x: _named(x, BITRATE))
 
 
 def fixed(value: Column, digits: int) -> Column:

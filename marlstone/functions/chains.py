@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import buckets
-from .text import clean, strip
+from .text import bound, clean, strip
 
 OPERATOR = "array<struct<op:string,codec:string,bitrate:string,encode_sample_rate:string,loss_rate_pct:string,concealment:string,mode:string,snr_db:string,noise_type:string,rt60:string,distance:string,room:struct<name:string,room_dim:array<double>>,backend:string,profile:string,agc_profile:string,jitter_ms:string>>"
 
@@ -48,12 +48,15 @@ def token(op: Column, fields: tuple[str, ...] = FIELDS) -> Column:
         "rir": [part("rt60", "rt60", scaled(buckets.RT60)), part("distance", "distance", scaled(buckets.DISTANCE)), part("room", "room", plain)],
         "call_path": [part("profile", "profile", plain), codec[0], codec[2], *loss, part("agc", "agc_profile", plain), part("jitter", "jitter_ms", buckets.compact_number)],
     }
-    name = clean(op["op"])
-    parts = F.when(name.isin("codec", "reencode"), F.array(*codec))
-    for kind, own in kinds.items():
-        parts = parts.when(name == kind, F.array(*own))
-    parts = F.array_sort(F.filter(parts.otherwise(F.array().cast("array<string>")), lambda p: p.isNotNull()))
-    return F.when(F.size(parts) > 0, F.concat(name, F.lit("["), F.array_join(parts, ","), F.lit("]"))).otherwise(name)
+
+    def named(name: Column) -> Column:
+        parts = F.when(name.isin("codec", "reencode"), F.array(*codec))
+        for kind, own in kinds.items():
+            parts = parts.when(name == kind, F.array(*own))
+        parts = F.sort_array(F.filter(parts.otherwise(F.array().cast("array<string>")), lambda p: p.isNotNull()))
+        return bound(parts, lambda own: F.when(F.size(own) > 0, F.concat(name, F.lit("["), F.array_join(own, ","), F.lit("]"))).otherwise(name))
+
+    return bound(strip(op["op"]), lambda name: named(F.nullif(name, F.lit(""))))
 
 
 def tokens(operators: Column, fields: tuple[str, ...] = FIELDS) -> Column:

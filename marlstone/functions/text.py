@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,11 @@ CJK = r"\x{4E00}-\x{9FFF}"
 WHITE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once: expressions in lambdas aren't compiled, and repeat what they name twice."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(value: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.btrim(value, F.lit(WHITE))

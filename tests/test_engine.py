@@ -404,3 +404,9 @@ def _unbroadcast(frame, rows_joined: int) -> None:
 
 def test_parameter_pairs_are_not_broadcast(spark):
     _unbroadcast(matching.parameter_pairs(_chains(spark)), 1)
+
+
+def test_a_token_reads_its_name_once(spark):
+    plan = spark.createDataFrame([("codec", "16K")], "op string, bitrate string").select(F.struct("op", "bitrate").alias("o")).select(chains.token(F.col("o"), ("bitrate",)))
+    text_of = plan._jdf.queryExecution().analyzed().toString().splitlines()[0]
+    assert text_of.count(".op") == 1 and text_of.count(".bitrate") <= 2, text_of
