@@ -410,3 +410,12 @@ def test_a_token_reads_its_name_once(spark):
     plan = spark.createDataFrame([("codec", "16K")], "op string, bitrate string").select(F.struct("op", "bitrate").alias("o")).select(chains.token(F.col("o"), ("bitrate",)))
     text_of = plan._jdf.queryExecution().analyzed().toString().splitlines()[0]
     assert text_of.count(".op") == 1 and text_of.count(".bitrate") <= 2, text_of
+
+
+def test_matching_broadcasts_nothing(spark, monkeypatch):
+    rows, seen, real = _chains(spark), [], matching.written
+    for mine, joins_of in ((matching.substitution_pairs, 3), (matching.swap_pairs, 1), (matching.prefix_pairs, 1)):
+        _unbroadcast(mine(rows), joins_of)
+    monkeypatch.setattr(matching, "written", lambda df, name: (seen.append(df._jdf.queryExecution().sparkPlan().toString()), real(df, name))[1])
+    matching.match_all(rows)
+    assert len(seen) > 4 and not any("Broadcast" in plan for plan in seen)
