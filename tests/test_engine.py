@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone import queries, queries_files, queries_parts, queries_runs, queries_values, registry  # noqa: F401  they register queries
 from marlstone.functions import arrays, buckets, chains, hashing, text
-from marlstone.operators import jobs, joins, matching, metrics, projections, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
+from marlstone.operators import jobs, joins, matching, metrics, preservation, projections, ranks, robustness, runs, sampling, signals, splits, states, summaries, tasks, validation
 from marlstone.plans import catalogue, planner
 from marlstone.sources import audio, readers, writers
 from tests.compare import connect, difference
@@ -419,3 +419,16 @@ def test_matching_broadcasts_nothing(spark, monkeypatch):
     monkeypatch.setattr(matching, "written", lambda df, name: (seen.append(df._jdf.queryExecution().sparkPlan().toString()), real(df, name))[1])
     matching.match_all(rows)
     assert len(seen) > 4 and not any("Broadcast" in plan for plan in seen)
+
+
+def test_vectors_meet_in_blocks(spark):
+    draw = random.Random(4)
+    rows = [(k, k % 3 if k % 7 else None, [draw.uniform(-1, 1) for _ in range(4)]) for k in range(40)]
+    odd = [None, [], [0.0] * 4, [1.0, None, 0.0, 0.0], [1.0, 2.0], [2.0, 1.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0]]
+    rows += [(100 + k, k % 2, v) for k, v in enumerate(odd * 2)] + [(5, 2, [1.0, 0.0, 0.0, 1.0]), (None, 1, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    a, b = (table.select("label", F.col("vec_id").alias(k), F.col("embedding").alias(f"{side}_vector")) for k, side in (("a", "parent"), ("b", "child")))
+    want = preservation.speaker_similarity(a.join(b, "label").filter("a < b")).select("a", "b", F.round("similarity", 9).cast("string").alias("similarity"))
+    for block in (1, 3, 1000):
+        got = preservation.pairs_within(table, "label", "vec_id", "embedding", block)
+        assert sorted(map(str, got.select("a", "b", F.round("similarity", 9).cast("string").alias("similarity")).collect())) == sorted(map(str, want.collect())), block
