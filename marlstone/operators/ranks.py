@@ -8,6 +8,8 @@ all rows is spread over a third of the ranges.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,26 @@ def running(rows: DataFrame, keys: list[str], order: list[str | Column], sums: d
     following = [F.coalesce(F.lead(c).over(inside), F.col(f"__next {name}")).alias(f"next_{c}") for name, c in sums.items()]
     first = (F.lag("__at").over(inside).isNull() & F.col("__opens")).alias("first")
     return made.select(*rows.columns, *columns, *following, first)
+
+
+def lowest(rows: DataFrame, keys: list[str], by: str, tie: str | Column, take: Callable[[Column], Column], flag: str = "chosen", width: int = 3) -> DataFrame:
+    """``rows`` with ``flag``: whether a row is among the first ``take``(rows of its key) by (by, tie). ``by`` is text, a hash best.
+
+    Rows are counted by the first ``width`` characters of ``by``. Whole such bins lie before or after the place where a
+    key's count is reached; only the bin that holds the place is ranked, so of hashes 1 row of 4,096 is sorted. ``rows``
+    are read three times and must not change between, so they are best written.
+    """
+    own = rows.withColumn("__bin", F.coalesce(F.substring(by, 1, width), F.lit("")))
+    counts = own.groupBy(*keys, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    upto, whole = Window.partitionBy(*keys).orderBy("__bin"), Window.partitionBy(*keys)  # a row per key and bin
+    summed = counts.withColumn("__upto", F.sum("__n").over(upto)).withColumn("__due", F.least(take(F.sum("__n").over(whole)), F.sum("__n").over(whole)))
+    edge = summed.filter("__due > __upto - __n and __due <= __upto")
+    right = edge.select(*[F.col(k).alias(f"__k {i}") for i, k in enumerate(keys)], F.col("__bin").alias("__edge"), (F.col("__due") - F.col("__upto") + F.col("__n")).alias("__rest"))
+    test = F.lit(True)
+    for i, k in enumerate(keys):
+        test = test & F.col(k).eqNullSafe(F.col(f"__k {i}"))
+    met = own.join(right if keys else F.broadcast(right), test, "left")  # without keys it is one row
+    columns = [F.col(c) for c in rows.columns]
+    clear = met.filter("__edge is null or __bin <> __edge").select(*columns, F.coalesce(F.col("__bin") < F.col("__edge"), F.lit(False)).alias(flag))
+    tied = met.filter("__bin = __edge").select(*columns, "__rest")
+    return clear.unionByName(ranked(tied, keys, [by, tie], "__r").select(*columns, (F.col("__r") <= F.col("__rest")).alias(flag)))

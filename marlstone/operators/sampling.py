@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
 from ..functions.text import strip
+from ..storage import written
 from . import ranks
 
 
@@ -15,17 +16,23 @@ def target_size(n: Column, ratio: float) -> Column:
     return n if ratio >= 1 else F.least(n, F.greatest(F.lit(1), F.bround(n * F.lit(float(ratio))).cast("long")))
 
 
+#: Rows that one task may gather to choose from.
+TOP = 10_000
+
+
 def bottom_k(rows: DataFrame, k: int, salt: str, token: str = "sample_id", tie: str = "ord") -> DataFrame:
-    """k rows of all; a top-k on each partition, so no task sorts the table."""
-    ranked = rows.withColumn("__hash", salted(salt, F.col(token).cast("string")))
-    return ranked.orderBy("__hash", tie).limit(k).drop("__hash")
+    """k rows of all; a top-k on each partition where k is small, else by counts of the hashes, so no task sorts or gathers the table."""
+    hashed = rows.withColumn("__hash", salted(salt, F.col(token).cast("string")))
+    if k <= TOP:
+        return hashed.orderBy("__hash", tie).limit(k).drop("__hash")
+    return ranks.lowest(written(hashed, "hashed"), [], "__hash", tie, lambda n: F.lit(k)).filter("chosen").drop("__hash", "chosen")
 
 
 def ratio_sample(rows: DataFrame, ratio: float, salt: str, token: str = "sample_id", tie: str = "ord") -> DataFrame:
     if ratio >= 1:
         return rows
-    n = rows.count()
-    return bottom_k(rows, min(n, max(1, round(n * ratio))), salt, token, tie) if n else rows
+    hashed = written(rows.withColumn("__hash", salted(salt, F.col(token).cast("string"))), "hashed")
+    return ranks.lowest(hashed, [], "__hash", tie, lambda n: target_size(n, ratio)).filter("chosen").drop("__hash", "chosen")
 
 
 def stratified(rows: DataFrame, ratio: float, salt: str, group: str, token: str = "sample_id", tie: str = "ord") -> DataFrame:

@@ -432,3 +432,23 @@ def test_vectors_meet_in_blocks(spark):
     for block in (1, 3, 1000):
         got = preservation.pairs_within(table, "label", "vec_id", "embedding", block)
         assert sorted(map(str, got.select("a", "b", F.round("similarity", 9).cast("string").alias("similarity")).collect())) == sorted(map(str, want.collect())), block
+
+
+def test_samples_are_gathered_by_no_task(spark, monkeypatch):
+    draw = random.Random(8)
+    rows = spark.createDataFrame([(f"s{k}", k) for k in range(900)], "sample_id string, ord long")
+    token = lambda k: __import__("hashlib").sha1(f"salt\0s{k}".encode()).hexdigest()
+    want = sorted(range(900), key=token)
+    monkeypatch.setattr(sampling, "TOP", 10, raising=False)
+    for made, n in ((sampling.ratio_sample(rows, 0.07, "salt"), 63), (sampling.bottom_k(rows, 450, "salt"), 450), (sampling.bottom_k(rows, 1000, "salt"), 900), (sampling.ratio_sample(rows, 1e-9, "salt"), 1)):
+        assert "TakeOrdered" not in made._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(r.ord for r in made.collect()) == sorted(want[:n])
+    assert sampling.ratio_sample(rows.limit(0), 0.5, "salt").count() == 0
+    # hashes in one bin, null keys and keys of which nothing is due
+    odd = [(draw.choice("ab") if k % 9 else None, "same" if k % 4 else f"{k:03d}", k) for k in range(200)]
+    got = ranks.lowest(spark.createDataFrame(odd, "key string, h string, ord long"), ["key"], "h", "ord", lambda n: F.when(F.col("key") == "b", 0).otherwise(F.floor(n * 0.6)))
+    for key in ("a", "b", None):
+        own = sorted((h, k) for x, h, k in odd if x == key)
+        due = 0 if key == "b" else int(len(own) * 0.6)
+        assert sorted((r.h, r.ord) for r in got.collect() if r.key == key and r.chosen) == own[:due]
+    assert got.count() == 200
