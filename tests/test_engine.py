@@ -452,3 +452,26 @@ def test_samples_are_gathered_by_no_task(spark, monkeypatch):
         due = 0 if key == "b" else int(len(own) * 0.6)
         assert sorted((r.h, r.ord) for r in got.collect() if r.key == key and r.chosen) == own[:due]
     assert got.count() == 200
+
+
+def test_folds_meet_no_rows_by_name(spark, monkeypatch):
+    draw = random.Random(2)
+    rows = [(f"s{k}", draw.choice(["direct", "hybrid"]), draw.choice(["t1", "t2", "t3", None]), draw.choice(["train", "train", "test", "dev"]), k) for k in range(300)]
+    rows = [r for r in rows if (r[1], r[3]) != ("direct", "dev")] + [("x", "telephony", "only", "train", 1), ("y", "simreplay", "a", "train", 1), ("z", "simreplay", "b", "test", 1)]
+    table = spark.createDataFrame(rows, "sample_id string, chain_family string, chain_template_id string, split string, ord long")
+    used = {}
+    for s, family, template, split, _ in rows:
+        for held in {r[2] for r in rows if r[1] == family and r[2]} if template else ():
+            if (template == held) == (split == "test"):
+                used.setdefault((family, held), []).append((split, s))
+    want = set()
+    for (family, held), own in used.items():
+        name = spark.range(1).select(text.fold_name(F.lit(family), F.lit(held))).first()[0]
+        train = sorted((s for split, s in own if split == "train"), key=lambda s: __import__("hashlib").sha1(f"dev:{name}\0{s}".encode()).hexdigest())
+        if train and any(split == "test" for split, _ in own):
+            lends = len(train) > 1 and not any(split == "dev" for split, _ in own)
+            moved = set(train[: min(len(train) - 1, max(1, round(len(train) * 0.1)))] if lends else [])
+            want |= {("template_holdout", name, "dev" if s in moved else split, s) for split, s in own}
+    made = tasks.template_holdout(table)
+    assert "sample_id" not in "".join(line for line in made._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line)
+    assert sorted(map(tuple, made.collect())) == sorted(want)
