@@ -6,7 +6,7 @@ intervention tasks also the columns that ``matching.annotate`` adds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import salted
@@ -18,12 +18,18 @@ from .robustness import complete_pairs
 #: The families that tasks know.
 FAMILIES = ["direct", "platform_like", "telephony", "simreplay", "hybrid"]
 PACK = ["task_id", "variant", "split", "sample_id"]
+#: A row's order, which packs carry on from rows that have it under this name, so that packs which are cut meet no rows again.
+PLACE = "__place"
+
+
+def _carried(rows: DataFrame) -> list[str]:
+    return [PLACE] if PLACE in rows.columns else []
 
 
 def _usable(pack: DataFrame) -> DataFrame:
     """Variants that have train and test rows."""
     whole = pack.groupBy("task_id", "variant").agg(F.count_if(F.col("split") == "train").alias("a"), F.count_if(F.col("split") == "test").alias("b")).filter("a > 0 and b > 0")
-    return pack.join(whole.select("task_id", "variant"), ["task_id", "variant"], "left_semi")
+    return pack.join(F.broadcast(whole.select("task_id", "variant")), ["task_id", "variant"], "left_semi")  # a row per variant
 
 
 def supported(rows: DataFrame) -> DataFrame:
@@ -32,7 +38,7 @@ def supported(rows: DataFrame) -> DataFrame:
 
 def in_chain(rows: DataFrame) -> DataFrame:
     """A variant for each family."""
-    return _usable(supported(rows).select(F.lit("in_chain_detection").alias("task_id"), F.col("chain_family").alias("variant"), "split", "sample_id"))
+    return _usable(supported(rows).select(F.lit("in_chain_detection").alias("task_id"), F.col("chain_family").alias("variant"), "split", "sample_id", *_carried(rows)))
 
 
 def template_holdout(rows: DataFrame, dev_share: float = 0.1) -> DataFrame:
@@ -42,7 +48,7 @@ def template_holdout(rows: DataFrame, dev_share: float = 0.1) -> DataFrame:
     stays), by salted hash. Rows meet folds through their family's few templates;
     what a fold holds follows from the counts of templates, so rows meet no rows.
     """
-    own = written(supported(rows).select("chain_family", "chain_template_id", "split", "sample_id"), "holdout")
+    own = written(supported(rows).select("chain_family", "chain_template_id", "split", "sample_id", *_carried(rows)), "holdout")
     counts = own.groupBy("chain_family", "chain_template_id", "split").agg(F.count(F.lit(1)).alias("n"))
     folds = counts.select("chain_family", F.col("chain_template_id").alias("held")).distinct()
     several = folds.groupBy("chain_family").agg(F.count(F.lit(1)).alias("t")).filter("t > 1").select("chain_family")
@@ -54,18 +60,18 @@ def template_holdout(rows: DataFrame, dev_share: float = 0.1) -> DataFrame:
     plan = written(named.join(usable, "variant").select("chain_family", "held", "variant", ((F.col("dev") == 0) & (F.col("train") > 1)).alias("lends")), "folds")
     used = own.join(F.broadcast(plan), "chain_family").filter(test | rest)  # a row per family and template
     lent = F.col("lends") & (F.col("split") == "train")
-    shown = lambda frame, split: frame.select(F.lit("template_holdout").alias("task_id"), "variant", split.alias("split"), "sample_id")
+    shown = lambda frame, split: frame.select(F.lit("template_holdout").alias("task_id"), "variant", split.alias("split"), "sample_id", *_carried(rows))
     out = shown(used.filter(~lent), F.col("split"))
     if plan.filter("lends").isEmpty():
         return out
     take = lambda n: F.least(n - 1, F.greatest(F.lit(1), F.bround(n * dev_share).cast("long")))
-    movable = used.filter(lent).select("variant", "sample_id", salted(F.concat(F.lit("dev:"), F.col("variant")), F.col("sample_id")).alias("h"))
+    movable = used.filter(lent).select("variant", "sample_id", *_carried(rows), salted(F.concat(F.lit("dev:"), F.col("variant")), F.col("sample_id")).alias("h"))
     moved = ranks.lowest(movable, ["variant"], "h", "sample_id", take)
     return out.unionByName(shown(moved, F.when(F.col("chosen"), "dev").otherwise("train")))
 
 
 def _train_dev(rows: DataFrame, task: str) -> DataFrame:
-    return supported(rows).filter("split in ('train', 'dev')").select(F.lit(task).alias("task_id"), F.lit("default").alias("variant"), "split", "sample_id")
+    return supported(rows).filter("split in ('train', 'dev')").select(F.lit(task).alias("task_id"), F.lit("default").alias("variant"), "split", "sample_id", *_carried(rows))
 
 
 def paired(rows: DataFrame, task: str, group: str, where: Column | None = None) -> DataFrame:
@@ -73,7 +79,8 @@ def paired(rows: DataFrame, task: str, group: str, where: Column | None = None)
     test = supported(rows).filter("split = 'test'")
     test = test if where is None else test.filter(where)
     pairs = complete_pairs(test.withColumn("score", F.lit(0.0)), group).select(F.explode(F.array("id_l", "id_r")).alias("sample_id"))
-    return _usable(_train_dev(rows, task).unionByName(pairs.select(F.lit(task).alias("task_id"), F.lit("default").alias("variant"), F.lit("test").alias("split"), "sample_id")))
+    pairs = pairs.join(test.select("sample_id", PLACE), "sample_id") if _carried(rows) else pairs
+    return _usable(_train_dev(rows, task).unionByName(pairs.select(F.lit(task).alias("task_id"), F.lit("default").alias("variant"), F.lit("test").alias("split"), "sample_id", *_carried(rows))))
 
 
 def operator_substitution(rows: DataFrame) -> DataFrame:
@@ -95,7 +102,7 @@ def delivery_robustness(rows: DataFrame) -> DataFrame:
 
     test = lineages(supported(rows).filter("split = 'test'"))
     enough = test.groupBy("lineage").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("lineage")
-    own = test.join(enough, "lineage", "left_semi").select(F.lit("delivery_robustness").alias("task_id"), F.lit("default").alias("variant"), "split", "sample_id")
+    own = test.join(enough, "lineage", "left_semi").select(F.lit("delivery_robustness").alias("task_id"), F.lit("default").alias("variant"), "split", "sample_id", *_carried(rows))
     return _usable(_train_dev(rows, "delivery_robustness").unionByName(own))
 
 
@@ -109,8 +116,8 @@ def sample_pack(pack: DataFrame, ratio: dict[str, float], salt: str = "pack") ->
     """``ratio`` of each split of each variant, at least one row; salted by task and split alone where variants share training rows."""
     own = pack.withColumn("__h", salted(F.concat_ws(":", F.lit(salt), "split"), F.col("sample_id")))
     share = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ratio.items() for x in kv]), F.col("split")), F.lit(1.0))
-    ranked = ranks.ranked(own, ["task_id", "variant", "split"], ["__h", "sample_id"], "__r", "__all_rows").withColumnRenamed("__all_rows", "__n")
-    return ranked.filter(F.col("__r") <= F.greatest(F.lit(1), F.bround(F.col("__n") * share).cast("long"))).select(PACK)
+    take = lambda n: F.greatest(F.lit(1), F.bround(n * share).cast("long"))
+    return ranks.lowest(own, ["task_id", "variant", "split"], "__h", "sample_id", take).filter("chosen").select(PACK + _carried(pack))
 
 
 #: Splits in their order, and what folds may be asked for.
@@ -173,23 +180,34 @@ def annotated(rows: DataFrame) -> DataFrame:
     return annotate(rows.drop(*ANNOTATIONS, "parameter_axis", "substitution_detail", "swap_gap", "path_step_index", "path_endpoint_key")) if missing else rows
 
 
+#: Rows of a key that one task may gather to rank them; Spark cuts no partition's rows above a thousand.
+FEW = 1000
+
+
 def truncated(packs: DataFrame, limits: dict[str, int]) -> DataFrame:
-    """The first rows by ``ord`` of each split of each pack."""
+    """The first rows by ``ord`` of each split of each pack. Splits without a limit aren't ranked; of small limits each partition keeps no more than it needs."""
     limit = F.try_element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("split"))
-    kept = ranks.ranked(packs, ["task_id", "variant", "split"], ["ord"], "__r")
-    return kept.filter(limit.isNull() | (F.col("__r") <= limit)).drop("__r")
+    cut, keys, most = packs.filter(F.col("split").isin(*limits)), ["task_id", "variant", "split"], max(limits.values())
+    if most <= FEW:
+        kept = cut.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy("ord"))).filter(F.col("__r") <= most)
+    else:
+        kept = ranks.ranked(cut, keys, ["ord"], "__r")
+    whole = packs.filter(F.col("split").isNull() | ~F.col("split").isin(*limits))
+    return whole.unionByName(kept.filter(F.col("__r") <= limit).drop("__r"))
 
 
 def build_packs(rows: DataFrame, task_ids: list[str], config: dict | None = None) -> DataFrame:
     """Packs of all ``task_ids``, sampled by ``config``'s sample_ratio and cut by its limits (split -> rows).
 
-    Rows are annotated once, if a task asks for groups. Within a task the in-chain
+    Rows are written once, annotated if a task asks for groups. Within a task the in-chain
     one samples test rows by family.
     """
     config = config or {}
     folds, ratios = generalization(config.get("generalization"), task_ids), task_ratios(task_ids, config.get("sample_ratio"))
     grouped = {"operator_substitution", "parameter_perturbation", "order_swap"}
-    own = written(annotated(rows), "annotated") if grouped & set(task_ids) else rows
+    placed = rows.withColumn(PLACE, F.col("ord")) if config.get("limits") else rows
+    used = [c for c in ("sample_id", "parent_id", "split", "chain_family", "chain_template_id", "label", PLACE) if c in placed.columns]
+    own = written(annotated(placed), "annotated") if grouped & set(task_ids) else written(placed.select(used), "rows")
     out = None
     for task in task_ids:
         made = template_holdout(own) if folds and task == "in_chain_detection" else BUILDERS[task](own)
@@ -197,5 +215,5 @@ def build_packs(rows: DataFrame, task_ids: list[str], config: dict | None = None
             made = sample_pack(made, ratios[task])
         out = made if out is None else out.unionByName(made)
     if config.get("limits"):
-        out = truncated(out.join(rows.select("sample_id", "ord"), "sample_id"), config["limits"]).select(PACK)
+        out = truncated(out.withColumnRenamed(PLACE, "ord"), config["limits"]).select(PACK)
     return out

@@ -475,3 +475,24 @@ def test_folds_meet_no_rows_by_name(spark, monkeypatch):
     made = tasks.template_holdout(table)
     assert "sample_id" not in "".join(line for line in made._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line)
     assert sorted(map(tuple, made.collect())) == sorted(want)
+
+
+def test_packs_read_their_rows_once(spark, tmp_path):
+    draw = random.Random(6)
+    rows = [(f"s{k}", f"p{k % 5}", draw.choice(["direct", "hybrid"]), draw.choice(["t1", "t2"]), draw.choice(["train", "test", "dev"]), draw.choice(["spoof", "bona_fide"]), -k) for k in range(400)]
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        read.add(1)
+        return x
+
+    table = spark.createDataFrame(rows, "sample_id string, parent_id string, chain_family string, chain_template_id string, split string, label string, ord long").withColumn("sample_id", F.udf(seen)("sample_id"))
+    for most in (7, 2000):
+        config = {"sample_ratio": {"in_chain_detection": (0.5, 1.0, 1.0)}, "limits": {"train": most, "test": 30}}
+        before = read.value
+        got = [tuple(r) for r in tasks.build_packs(table, ["in_chain_detection", "delivery_robustness"], config).collect()]
+        assert read.value - before == len(rows)
+        robust = [r for r in rows if r[4] == "train"]
+        assert {r[3] for r in got if r[0] == "delivery_robustness" and r[2] == "train"} == {r[0] for r in sorted(robust, key=lambda r: r[6])[:most]}
+        assert sum(r[0] == "in_chain_detection" and r[1] == "direct" and r[2] == "dev" for r in got) == sum(r[2] == "direct" and r[4] == "dev" for r in rows)
+        assert sum(r[0] == "in_chain_detection" and r[2] == "test" for r in got) == 60
