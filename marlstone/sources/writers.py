@@ -121,24 +121,27 @@ def write_view(pack: DataFrame, path: str, track: str = "LA") -> DataFrame:
     Returns its rows (split, ord, line). The view's manifest holds the digest of
     the pack's rows; where that is the same nothing is written.
     """
-    spark = pack.sparkSession
+    spark, used, splits = pack.sparkSession, ["split", "ord", "speaker_id", "sample_id", "label"], ("train", "dev", "test")
+    pack = written(pack.select(used).filter(F.col("split").isin(*splits)), "pack")
+    # independent of the order of summing; of the rows themselves, so that an unchanged pack is neither sorted nor numbered
+    part = lambda k: F.coalesce(F.sum(F.conv(F.substring("h", 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string")
+    digest = pack.select(F.sha1(F.to_json(F.struct(*used))).alias("h")).agg(*[part(k).alias(f"d{k}") for k in range(4)])
+    now = f"{track} " + "-".join(digest.first())
+    kept = f"split string, ord {dict(pack.dtypes)['ord']}, line string"
+    if read_text(spark, f"{path}/manifest") == [now]:
+        return spark.read.schema(kept).parquet(f"{path}/lines")
     parts = []
-    for split in ("train", "dev", "test"):
+    for split in splits:
         made = attack_label(pack.filter(F.col("split") == split))
         parts.append(made.select(F.lit(split).alias("split"), "ord", F.concat_ws(" ", "speaker", "sample_id", F.lit("-"), "attack", "label").alias("line")))
     lines = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    # independent of the order of summing; ord is part of a line's hash
-    digest = lines.agg(*[F.coalesce(F.sum(F.conv(F.substring(F.sha1(F.concat_ws(" ", "split", F.col("ord").cast("string"), "line")), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"d{k}") for k in range(4)])
-    now = f"{track} " + "-".join(digest.first())
-    if read_text(spark, f"{path}/manifest") == [now]:
-        return spark.read.schema(lines.schema).parquet(f"{path}/lines")
     lines.write.mode("overwrite").parquet(f"{path}/lines")
     for split in ("train", "dev", "test"):
         own = spark.read.parquet(f"{path}/lines").filter(F.col("split") == split)
         own.orderBy("ord").select("line").write.mode("overwrite").text(f"{path}/protocols/{split}")
     placeholder_scores(spark).orderBy("ord").select("value").write.mode("overwrite").text(f"{path}/asv_scores")
     spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
-    return spark.read.schema(lines.schema).parquet(f"{path}/lines")
+    return spark.read.schema(kept).parquet(f"{path}/lines")
 
 
 def list_lines(pack: DataFrame, root: str, track: str = "LA") -> DataFrame:

@@ -496,3 +496,34 @@ def test_packs_read_their_rows_once(spark, tmp_path):
         assert {r[3] for r in got if r[0] == "delivery_robustness" and r[2] == "train"} == {r[0] for r in sorted(robust, key=lambda r: r[6])[:most]}
         assert sum(r[0] == "in_chain_detection" and r[1] == "direct" and r[2] == "dev" for r in got) == sum(r[2] == "direct" and r[4] == "dev" for r in rows)
         assert sum(r[0] == "in_chain_detection" and r[2] == "test" for r in got) == 60
+
+
+def test_rendering_is_work_for_all_cores(spark):
+    assert "Repartition" in queries.sig23_rendered(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    import numpy as np
+
+    x = np.random.default_rng(1).normal(size=64)
+    for seed, params in enumerate(({"rt60": 0.8, "distance": 2.0}, {"rt60": 0.4, "distance": 0.5}, {})):
+        random_, rt60 = np.random.default_rng(seed), params.get("rt60", 0.4)
+        n = int(rt60 * signals.RATE)
+        decay = 10 ** (-3 * np.arange(n) / (rt60 * signals.RATE))
+        want = 0.01 * random_.normal(size=n) * decay
+        at = random_.integers(1, n, 24)
+        want[at] += random_.uniform(-0.5, 0.5, 24) * decay[at]
+        want[0] = 1 / max(0.5, params.get("distance", 1))
+        want /= np.abs(want).max()
+        assert (signals.impulse_response(params, seed) == want).all()
+        assert np.abs(signals.convolve(x, want) - np.convolve(x, want)[:64]).max() < 1e-12
+
+
+def test_an_unchanged_view_is_not_numbered_again(spark, tmp_path, monkeypatch):
+    rows = [(split, k, "s" if k % 2 else None, f"{split}{k}", "spoof" if k % 3 else "bona_fide") for split in ("train", "dev", "test", "other") for k in range(20)]
+    pack = spark.createDataFrame(rows, "split string, ord long, speaker_id string, sample_id string, label string")
+    path, calls, real = str(tmp_path / "v"), [], writers.attack_label
+    monkeypatch.setattr(writers, "attack_label", lambda *a: (calls.append(1), real(*a))[1])
+    first = sorted(map(tuple, writers.write_view(pack, path).collect()))
+    assert len(first) == 60 and len(calls) == 3
+    assert sorted(map(tuple, writers.write_view(pack, path).collect())) == first and len(calls) == 3
+    # a speaker that is another row's field now is a change
+    moved = pack.withColumn("speaker_id", F.when(F.col("ord") == 0, "s").otherwise(F.col("speaker_id")))
+    assert sorted(map(tuple, writers.write_view(moved, path).collect())) != first and len(calls) == 6
