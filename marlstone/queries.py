@@ -186,7 +186,8 @@ def sig13_levels(spark, d):
 def sig23_rendered(spark, d):
     """Default plans of one parent folded over toy waveforms."""
     plan = planner.plan_jobs(spark.createDataFrame([("p",)], "parent_id string")).select("job_id", "operator_params", "seed")
-    waves = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("signal"))
+    # a small file of vectors is a task or two, its jobs are work for all cores
+    waves = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("signal")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     jobs = waves.crossJoin(F.broadcast(plan))  # one parent's jobs, seventeen rows
     out = signals.apply(jobs, "signal", "operator_params", F.col("seed") + F.col("vec_id"))
     return out.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.array_max("rendered")), 6).alias("mean_peak"))
