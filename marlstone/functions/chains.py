@@ -108,6 +108,19 @@ def substitution_detail(a: Column, b: Column) -> Column:
     return F.when(_same_length(a, b) & (F.size(d) > 0) & named, F.concat(F.lit("indices="), F.array_join(d.cast("array<string>"), ",")))
 
 
+def named_slots(chain: Column) -> Column:
+    """A chain's tokens with their operators' names, so that a name is cut once for a chain, not for a pair."""
+    return F.transform(chain, lambda t: F.struct(operator_name(t).alias("name"), t.alias("token")))
+
+
+def slots_detail(a: Column, b: Column) -> Column:
+    """``substitution_detail`` of the named slots of two chains of one length."""
+    alike, other, same_name = 0, 1, 2
+    marks = F.zip_with(a, b, lambda x, y: F.when(x["token"].eqNullSafe(y["token"]), alike).when(x["name"] != y["name"], other).otherwise(same_name))
+    shown = lambda m: F.concat(F.lit("indices="), F.array_join(F.filter(F.transform(m, lambda x, i: F.when(x == other, i.cast("string"))), lambda x: x.isNotNull()), ","))
+    return bound(marks, lambda m: F.when(F.array_contains(m, other) & ~F.array_contains(m, same_name), shown(m)))
+
+
 def swap_gap(a: Column, b: Column) -> Column:
     """Distance of the two slots that are each other's, null if the chains aren't a swap."""
     d = differences(a, b)

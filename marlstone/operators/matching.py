@@ -65,15 +65,18 @@ def _substitution_pairs(own: DataFrame) -> DataFrame:
     """Pairs of equal length whose differing slots all differ in the operator; detail lists them.
 
     Chains are compared once for each two distinct ones of a group and length, not
-    for each two rows; the rows meet only where their chains are a pair.
+    for each two rows; the rows meet only where their chains are a pair, by the
+    numbers of these, as groups and chains are many times as wide.
     """
     own = own.filter("size(sig) > 0")
-    chain = own.select(*GROUP, "sig", F.size("sig").alias("length")).distinct()
-    a = chain.select(*GROUP, "length", F.col("sig").alias("sig_a"))
-    b = chain.select(*GROUP, "length", F.col("sig").alias("sig_b"))
-    pairs = a.join(grows(b), [*GROUP, "length"]).filter("sig_a < sig_b").withColumn("detail", chains.substitution_detail(F.col("sig_a"), F.col("sig_b"))).filter("detail is not null")
-    left, right = (own.select(*GROUP, F.col("sig").alias(f"sig_{x}"), F.col("sample_id").alias(x)) for x in "ab")
-    met = pairs.join(grows(left), [*GROUP, "sig_a"]).join(grows(right), [*GROUP, "sig_b"])
+    chain = numbered(own, GROUP)
+    placed = written(own.join(grows(chain), [*GROUP, "sig"]).select(*GROUP, "node", "sample_id"), "placed")
+    a, b = (chain.select(*GROUP, F.size("sig").alias("length"), F.col("node").alias(f"node_{x}"), chains.named_slots(F.col("sig")).alias(f"slots_{x}")) for x in "ab")
+    detail = F.when(F.col("node_a") < F.col("node_b"), chains.slots_detail(F.col("slots_a"), F.col("slots_b")))
+    # a generator, as a filter on what a projection makes would make it twice
+    pairs = a.join(grows(b), [*GROUP, "length"]).select("node_a", "node_b", F.explode(F.array_compact(F.array(detail))).alias("detail"))
+    left, right = placed.select(*GROUP, F.col("node").alias("node_a"), F.col("sample_id").alias("a")), placed.select(F.col("node").alias("node_b"), F.col("sample_id").alias("b"))
+    met = pairs.join(grows(left), "node_a").join(grows(right), "node_b")
     return _named(met.withColumn("low", F.least("a", "b")).withColumn("b", F.greatest("a", "b")).withColumn("a", F.col("low")), "operator", "detail")
 
 

@@ -527,3 +527,17 @@ def test_an_unchanged_view_is_not_numbered_again(spark, tmp_path, monkeypatch):
     # a speaker that is another row's field now is a change
     moved = pack.withColumn("speaker_id", F.when(F.col("ord") == 0, "s").otherwise(F.col("speaker_id")))
     assert sorted(map(tuple, writers.write_view(moved, path).collect())) != first and len(calls) == 6
+
+
+def test_substituted_rows_meet_by_number(spark):
+    rows = _chains(spark)
+    plan = matching.substitution_pairs(rows)._jdf.queryExecution().sparkPlan().toString()
+    assert sum("sig" in line for line in plan.splitlines() if "SortMergeJoin" in line) == 0, plan
+    assert plan.count("indices=") == 1, plan
+    own = [(r.sample_id, r.parent_id, r.sig) for r in rows.collect()]
+    want = set()
+    for (a, p, x), (b, q, y) in itertools.combinations(sorted(own), 2):
+        d = [i for i, (s, t) in enumerate(zip(x, y)) if s != t]
+        if p == q and len(x) == len(y) and d and all(x[i].split("[")[0] != y[i].split("[")[0] for i in d):
+            want.add((a, b, "indices=" + ",".join(map(str, d))))
+    assert {(r.a, r.b, r.detail) for r in matching.substitution_pairs(rows).collect()} == want
