@@ -81,6 +81,7 @@ def refreshed(known: DataFrame, scores: DataFrame, keys: list[str], compute) ->
     What scores hold tells whether they are the same, not when they were written.
     """
     part = lambda k: F.sum(F.conv(F.substring(F.sha1(F.concat_ws("\0", "sample_id", F.col("score").cast("string"))), 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)")).cast("string")
+    scores = written(scores, "scores")  # read for the digests and several times by what computes
     now = written(scores.groupBy(*keys).agg(F.concat_ws("-", F.count(F.lit(1)).cast("string"), part(0), part(1)).alias("digest")), "digests")
     fresh = known.join(now, [*keys, "digest"], "left_semi")
     stale = now.join(fresh, keys, "left_anti")
