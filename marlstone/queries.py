@@ -12,6 +12,7 @@ from .operators import joins, matching, metrics, preservation, projections, robu
 from .plans import planner
 from .registry import ORACLES, QUERIES, query  # noqa: F401  the registry is also known from here
 from .sources import readers, writers
+from .storage import written
 from .streaming import summary as streaming
 
 # --- sources, filters, projections ---------------------------------------------------------------
@@ -283,7 +284,7 @@ OWN_TEST = "own AS (SELECT parent_id || '|' || chain_family || '|' || CASE label
 
 @query(f"WITH RECURSIVE {DELIVERIES}, {OWN_TEST}, {EDITS} SELECT lineage, distance, count(*) AS chains FROM near_ref GROUP BY ALL")
 def grf01_distances(spark, d):
-    own = matching.lineages(deliveries(spark, d).filter("split = 'test'"))
+    own = written(matching.lineages(deliveries(spark, d).filter("split = 'test'")).select("lineage", "sample_id", "sig"), "lineages")
     refs = own.groupBy("lineage").agg(F.min_by("sig", F.struct(F.size("sig"), "sample_id")).alias("sig"), F.count(F.lit(1)).alias("n")).filter("n >= 2").select("lineage", "sig")
     found = matching.graph_distances(own.join(refs.select("lineage"), "lineage", "left_semi").select("lineage", "sig"), refs, ["lineage"])
     return found.groupBy("lineage", "distance").agg(F.count(F.lit(1)).alias("chains"))
