@@ -68,7 +68,7 @@ def fixed(value: Column, digits: int) -> Column:
     sign = F.when(x.cast("string").startswith("-"), "-").otherwise("")
     tail_text = [F.lit("."), F.lpad((m % scale).cast("string"), digits, "0")] if digits else []
     shown = F.concat(sign, (whole + F.floor(m / scale)).cast("string"), *tail_text)
-    odd = F.when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf")))
+    odd = F.when(x.isNull(), F.lit(None).cast("string")).when(F.isnan(x), "nan").when(size == float("inf"), F.concat(sign, F.lit("inf")))
     return odd.when(size < float(1 << 63), shown).otherwise(F.format_string(f"%.{digits}f", x))
 
 

@@ -541,3 +541,40 @@ def test_substituted_rows_meet_by_number(spark):
         if p == q and len(x) == len(y) and d and all(x[i].split("[")[0] != y[i].split("[")[0] for i in d):
             want.add((a, b, "indices=" + ",".join(map(str, d))))
     assert {(r.a, r.b, r.detail) for r in matching.substitution_pairs(rows).collect()} == want
+
+
+def _reads(spark, frame):
+    """``frame`` with a count of the rows that are made of it."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    return frame.withColumn("sample_id", F.udf(seen)("sample_id")), made
+
+
+def test_scores_are_made_once(spark):
+    keys = ["task_id", "variant", "baseline"]
+    rows = [("t", "v", "m", f"s{k}", float(k % 7), "spoof" if k % 2 else "bona_fide") for k in range(60)]
+    scores, made = _reads(spark, spark.createDataFrame(rows, "task_id string, variant string, baseline string, sample_id string, score double, label string"))
+    none = spark.createDataFrame([], "task_id string, variant string, baseline string, eer double, auc double, digest string")
+    assert states.refreshed(none, scores, keys, lambda s: runs.base_metrics(s, keys).select(*keys, "eer", "auc")).count() == 1
+    assert made.value == 60
+
+
+def test_rows_of_pairs_and_lineages_are_made_once(spark):
+    rows, made = _reads(spark, _chains(spark).withColumn("score", F.rand(3)).withColumn("parameter", F.col("parent_id")))
+    robustness.pair_robustness(rows, "parameter", 0.5).collect()
+    assert made.value == 60
+    robustness.lineage_radii(rows, 0.5).collect()
+    assert made.value == 120
+
+
+def test_clean_rows_without_a_price(spark, tmp_path):
+    for name in ("orders", "customer"):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        rows = rows.withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice"))) if name == "orders" else rows
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    for name in ("prj02_clean_rows", "prj03_generation_jobs"):
+        assert difference(registry.QUERIES[name](spark, str(tmp_path)), connect(str(tmp_path)), registry.ORACLES[name]) == ""
